@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, exact, packing, secrets, simhash, token_counts
+from . import bpe, dac, embeddings, exact, packing, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 JSON = "byte_bpe_50k.json"
@@ -20,10 +20,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path(JSON))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_files(documents(spark, sf_dir), public_tokenizers.path(JSON))
 
@@ -41,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op4_best_fit_packing, op6_token_files, op7_token_counts, op9_byte_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op9_byte_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import in_batches
 
@@ -211,8 +212,8 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches(batches, work, INDEX_BYTES)
 
-    schema = docs.schema.add("_spans", "array<struct<start:int,end:int,kind:string>>")
-    return docs.mapInArrow(run, schema)
+    spans = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_spans", spans)]))
 
 
 def span_digest(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
