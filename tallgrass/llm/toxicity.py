@@ -28,9 +28,9 @@ SAMPLE = 24_000
 #: Insult units kept at most, the strongest first.
 UNITS = 4_000
 #: Toxic documents, of different text, that a unit must occur in.
-SUPPORT = 5
+SUPPORT = 8
 #: How many times likelier a unit must be in toxic documents, by smoothed counts.
-RATIO = 25.0
+RATIO = 60.0
 #: A document is predicted toxic from this score on.
 CUT = 0.7
 
@@ -135,7 +135,7 @@ def clause_sums(text: str, automaton) -> np.ndarray | None:
 
 def features(sums: np.ndarray) -> np.ndarray:
     """Each sum flattened, so that one clear clause counts much and the hundredth little."""
-    return np.log1p(sums)
+    return 1 - np.exp(-sums)
 
 
 def score(model: Model, sums: np.ndarray | None) -> float:
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     fair = (totals["all"] - totals["bad"] + 1) / (totals["bad"] + 1)
     ratio = (F.col("bad") + 0.5) / (F.col("all") - F.col("bad") + 0.5) * fair
     best = counts.filter(F.col("bad") >= SUPPORT).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO)
-    units = {r["unit"]: math.log(r["ratio"]) / math.log(RATIO) for r in best.orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()}
+    units = {r["unit"]: math.log(r["ratio"] / (RATIO / 4)) / math.log(4) for r in best.orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()}
     model = Model(units)
     found = _sums(rows.filter("NOT half").select("doc_id", "text", "toxic"), model).toPandas()
     if found["toxic"].nunique() == 2:
