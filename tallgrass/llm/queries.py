@@ -49,7 +49,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op9_byte_bpe, op10_simhash)}
+    import corpus_pipeline  # stands beside the package, and comes and goes with this folder
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op9_byte_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
