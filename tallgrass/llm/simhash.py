@@ -1,10 +1,11 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint is cut into three segments.  Two fingerprints that differ in four
-bits at most differ in one bit at most in one of the segments, so every
-fingerprint is entered in each segment's table under its own value and looked
-up under the values of the Hamming ball of radius one; complete distances
-decide.  Of two values that differ in one bit, only the one without it looks.
+A fingerprint is cut into two segments.  Two fingerprints that differ in four
+(or five) bits at most differ in two bits at most in one of them, so the Hamming
+balls of radius one around both values of that segment meet.  Every fingerprint
+is entered in each segment's table under all values of its ball; what meets in
+an entry is a candidate, and complete distances decide.  Entries of 32 bits
+keep chance candidates few.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import components, forest, in_batches, runs, stash, tiled
 from .segments import SLICE_BYTES
 
-#: Bits of the three segments, lowest first.
-SEGMENTS = (21, 21, 22)
+#: Bits of the segments, lowest first.
+SEGMENTS = (32, 32)
 #: Rows of a tile of one table entry.
 TILE = 1024
 SEED = 42
@@ -58,23 +59,20 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """Rows (seg, value, own, fp, node): each class under its own value of each segment, and as a look-up under the values one bit more."""
+    """Rows (seg, value, fp, node): each class under every value of the ball of radius one around each of its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1 << 15):
                 part = batch.slice(at, 1 << 15)
-                fp, node = part.column("fp").to_numpy().view(np.uint64), part.column("node").to_numpy()
-                low = 0
+                fp, low = part.column("fp").to_numpy().view(np.uint64), 0
                 for seg, bits in enumerate(SEGMENTS):
-                    value = ((fp >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int32)
+                    value = ((fp >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64)
                     low += bits
-                    for bit in (None, *range(bits)):
-                        rows = np.arange(len(fp)) if bit is None else np.flatnonzero(value >> bit & 1 == 0)
-                        key = value[rows] if bit is None else value[rows] | np.int32(1 << bit)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), seg, np.int32)), pa.array(key), pa.array(np.full(len(rows), bit is None)), pa.array(fp[rows].view(np.int64)), pa.array(node[rows])], names=["seg", "value", "own", "fp", "node"])
+                    for flip in (0, *(1 << bit for bit in range(bits))):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), seg, np.int32)), pa.array(value ^ flip), part.column("fp"), part.column("node")], names=["seg", "value", "fp", "node"])
 
-    return classes.select("fp", "node").mapInArrow(run, "seg int, value int, own boolean, fp long, node long")
+    return classes.select("fp", "node").mapInArrow(run, "seg int, value long, fp long, node long")
 
 
 def _links(entries: DataFrame, radius: int) -> DataFrame:
@@ -84,7 +82,7 @@ def _links(entries: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, keys):
             cols = [table[k].to_numpy() for k in keys]
-            fp, node, own, tile = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), table["own"].to_numpy(), table["tile"].to_numpy()
+            fp, node, tile = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), table["tile"].to_numpy()
             new = np.zeros(len(fp), bool)
             new[:1] = True
             for c in cols:
@@ -99,7 +97,6 @@ def _links(entries: DataFrame, radius: int) -> DataFrame:
             while len(rows):
                 other = rows + step
                 near = np.bitwise_count(fp[rows] ^ fp[other]) <= radius
-                near &= own[rows] | own[other]
                 near &= ~cross[rows] | (tile[rows] != tile[other])
                 hit = np.flatnonzero(near)
                 a.append(node[rows[hit]])
@@ -114,7 +111,7 @@ def _links(entries: DataFrame, radius: int) -> DataFrame:
                 x, y = forest(np.concatenate(a), np.concatenate(b))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    dealt = tiled(entries, ["seg", "value"], F.col("fp"), TILE, F.max("own"))
+    dealt = tiled(entries, ["seg", "value"], F.col("fp"), TILE)
     sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys)
     return sorted_.mapInArrow(run, "a long, b long")
 
@@ -122,12 +119,12 @@ def _links(entries: DataFrame, radius: int) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable by links of at most radius bits).
 
-    radius is 5 at most (three segments with one bit each).  Documents without
+    radius is 5 at most (two bits in one of two segments).  Documents without
     words have fingerprint zero and link like any other.  Documents of one
     fingerprint are one class, whatever their number.  A null doc_id takes part
     in nothing and is its own null component; rows that repeat a doc_id stay.
     """
-    if radius > 2 * len(SEGMENTS) - 1:
+    if radius > 3 * len(SEGMENTS) - 1:
         raise ValueError("the segments don't bound so large a radius")
     marked = stash(fingerprints(docs, words), "fingerprints")
     classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
