@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, embeddings, exact, packing, secrets, simhash, token_counts, toxicity
+from . import bpe, dac, embeddings, exact, packing, repeats, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 JSON = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(JSON))
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_strings(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -51,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline  # stands beside the package, and comes and goes with this folder
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op9_byte_bpe, op10_simhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op8_repeated_strings, op9_byte_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
