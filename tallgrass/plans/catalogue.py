@@ -1,10 +1,8 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analytics, entities  # noqa: F401
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
