@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, entities  # noqa: F401
+from . import analytics, entities, extraction  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
