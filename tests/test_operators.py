@@ -1,0 +1,137 @@
+"""Goldens and small cases of functions, operators, sources and stages."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallgrass.functions import text as T
+from tallgrass.operators import contacts as C
+from tallgrass.operators import lifecycle as L
+from tallgrass.operators import planning as P
+from tallgrass.operators import resolve as R
+from tallgrass.operators import retrieve as V
+from tallgrass.operators import stages
+from tallgrass.sources import files
+
+
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize("raw, want", [("Joe's Auto Repair, LLC", "joes auto repair"), ("  ACME   Ltd. ", "acme"), ("", ""), (None, None)])
+def test_norm_name(spark, raw, want):
+    assert one(spark, raw, T.norm_name) == want
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("HTTP://Shop.Example.com/a/?utm_source=x&b=1#f", "http://shop.example.com/a?b=1"), ("example.com/", "https://example.com"),
+    ("https://www.facebook.com/joe", None), ("", None), (None, None),
+])
+def test_canonical_url(spark, raw, want):
+    assert one(spark, raw, T.canonical_url) == want
+
+
+@pytest.mark.parametrize("raw, want", [("shop.bar.co.uk", "bar.co.uk"), ("www.bar.com:8080", "bar.com"), ("a.b.c.de", "c.de"), ("localhost", "localhost")])
+def test_apex_domain(spark, raw, want):
+    assert one(spark, raw, T.apex_domain) == want
+
+
+@pytest.mark.parametrize("raw, region, want", [("(713) 555-0100", "US", "+17135550100"), ("020 7946 0958", "GB", "+442079460958"), ("+49 30 123456", "US", "+4930123456"), ("123", "US", None), (None, "US", None)])
+def test_e164(spark, raw, region, want):
+    assert one(spark, raw, lambda c: T.e164(c, region)) == want
+
+
+def test_names_and_cells(spark):
+    assert one(spark, "SMITH, Jane", T.natural_name) == "Jane Smith"
+    assert one(spark, "=1+1", T.safe_cell) == "'=1+1"
+    assert one(spark, "<p>a<script>x</script>b<style>never closed", T.html_text) == "a b" or one(spark, "<p>a<script>x</script>b<style>never closed", T.html_text) == "ab"
+
+
+@pytest.mark.parametrize("email, mx, want", [("info@a.com", True, "role"), ("j@a.com", True, "valid"), ("j@a.com", None, "unknown"), ("j@a.com", False, "invalid"), ("test@a.com", True, "invalid"), ("nonsense", True, "invalid")])
+def test_email_tier(spark, email, mx, want):
+    assert spark.createDataFrame([(email, mx)], "e string, m boolean").select(C.email_tier(F.col("e"), F.col("m")).alias("y")).first().y == want
+
+
+@pytest.mark.parametrize("email, domain, want", [("a@x.com", "x.com", "own_domain"), ("a@m.x.com", "x.com", "own_domain"), ("a@y.com", "x.com", "foreign"), ("joes@gmail.com", "x.com", "freemail_linked"), ("a@gmail.com", "x.com", "freemail_unlinked")])
+def test_affinity(spark, email, domain, want):
+    df = spark.createDataFrame([(email, domain)], "e string, d string")
+    assert df.select(C.email_affinity(F.col("e"), F.col("d"), F.lit("Joes Garage")).alias("y")).first().y == want
+
+
+def test_richest_merge(spark):
+    df = spark.createDataFrame([("k", 1, "", 4.0, "a"), ("k", 2, "x", None, "b"), ("k", 3, "y", 2.0, "a")], "key string, seq int, name string, rating double, cat string")
+    r = R.richest_merge(df, "key", "seq", ["name"], ["rating"], ["cat"]).first()
+    assert (r.name, r.rating, r.cat, r.n_rows) == ("x", 2.0, "a,b", 3)
+
+
+def test_unique_hits(spark):
+    target = spark.createDataFrame([("1", "a", "p"), ("2", "b", "p"), ("3", "b", "q")], "id string, domain string, phone string")
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "q"), (3, None, "q"), (4, None, "p"), (5, "z", "z")], "n int, domain string, phone string")
+    got = {r.n: (r.match_id, r.reason) for r in R.unique_hits(rows, target, ["domain", "phone"]).collect()}
+    assert got == {1: ("1", "domain"), 2: (None, "ambiguous:domain"), 3: ("3", "phone"), 4: (None, "ambiguous:phone"), 5: (None, "unmatched")}
+
+
+def test_phone_matches_one_listing_each(spark):
+    a = spark.createDataFrame([("m1", "1", "Joes Garage", "AB1 1CD", 2), ("m2", "1", "Joes Garage", "AB1 1CD", 1)], "id string, phone string, name string, postal string, seq int")
+    b = spark.createDataFrame([("r1", "1", "JOES", "ZZ9 9ZZ", 0), ("r2", "1", "Other", "QQ1 1QQ", 0)], "id string, phone string, name string, postal string, seq int")
+    assert [(r.drop_id, r.keep_id) for r in R.phone_matches(a, b).collect()] == [("r1", "m2")]
+
+
+def test_tiles(spark):
+    t = P.tiles(spark, (0.0, 0.0, 1.0, 1.0), 30.0, 100)
+    assert t.count() == 16
+    kids = P.children(t)
+    assert kids.count() == 64 and kids.first().depth == 1
+    assert P.grid_shape((0, 0, 1, 1), 30.0, 5)[2] > 30.0
+
+
+def test_lifecycle():
+    state = None
+    for event in ("view", "signup", "view", "click", "error", "purchase"):
+        state = L.step(state, L.ASKS[event])
+    assert state == "bounced"
+
+
+def test_bm25_prefers_the_holder(spark):
+    docs = spark.createDataFrame([(1, "red boat sails"), (2, "blue car drives"), (3, "red car stands")], "id int, text string")
+    q = spark.createDataFrame([(9, "red boat")], "id int, text string")
+    top = V.top_k(V.bm25(V.terms(docs, "id", "text"), V.terms(q, "id", "text")), 1).first()
+    assert top.doc == 1 and top.score > 0
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"title": "A", "tel": ""}\nnot json\n{"title": "B", "phone": "2"}\n')
+    rows = files.read_listings(spark, str(tmp_path / "l.json"), "title string, tel string, phone string")
+    good, bad = files.quarantined(rows, F.col("_bad").isNull())
+    assert (len(good.collect()), len(bad.collect())) == (2, 1)
+    assert {tuple(r) for r in files.mapped(good, {"name": ["title"], "phone": ["tel", "phone"], "site": ["web"]}).collect()} == {("A", None, None), ("B", "2", None)}
+    (tmp_path / "r.csv").write_bytes("Site_Number,Trading_Name,Town,Postcode,Phone\n1,Joe\x92s, leeds ,LS1,0\n".encode("latin-1"))
+    assert files.read_register(spark, str(tmp_path / "r.csv"), "Leeds").first().Trading_Name == "Joe’s"
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        files.read_register(spark, str(tmp_path / "x.csv"))
+    (tmp_path / "lab.txt").write_text('{"biz": "b1", "pick": 2}\nb2\t0\nnoise\n')
+    assert {tuple(r) for r in files.read_labels(spark, str(tmp_path / "lab.txt")).collect()} == {("b1", 2), ("b2", 0)}
+    files.write_sheet(good.select("title", "tel"), str(tmp_path / "out"))
+    assert {tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()} == {("A", "-"), ("B", "-")}
+    old, new = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, at int, v string"), spark.createDataFrame([(2, 2, "c")], "k int, at int, v string")
+    assert {tuple(r) for r in files.upserted(old, new, ["k"], "at").collect()} == {(1, 1, "a"), (2, 2, "c")}
+
+
+def test_paged_source(spark, tmp_path):
+    from tallgrass.sources.paged import PagedSearch
+
+    item = lambda n, s, c: {"company_number": n, "company_name": n, "company_status": s, "sic_codes": c, "registered_office_address": {"locality": "X"}}
+    (tmp_path / "1.json").write_text(json.dumps({"items": [item("1", "active", ["1"]), item("2", "dissolved", ["1"])]}))
+    (tmp_path / "2.json").write_text(json.dumps({"items": [item("3", "active", ["82200"])]}))
+    spark.dataSource.register(PagedSearch)
+    found = spark.read.format("paged_search").option("folder", str(tmp_path)).option("exclude", "82200").load()
+    assert [r.number for r in found.collect()] == ["1"]
+
+
+def test_stages_resume(spark, tmp_path):
+    plan = [("double", lambda s, d: d.withColumn("id", F.col("id") * 2)), ("keep", lambda s, d: d.filter("id > 2"))]
+    rows, ran = stages.run_stages(spark, spark.range(4), plan, str(tmp_path))
+    assert ran == ["double", "keep"] and rows.count() == 2
+    assert stages.run_stages(spark, spark.range(4), plan, str(tmp_path))[1] == []
