@@ -28,7 +28,10 @@ def mapped(rows: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
 
 def read_register(spark: SparkSession, path: str, town: str | None = None) -> DataFrame:
     """A register's CSV in Windows-1252, refused without its columns, filtered by town."""
-    rows = spark.read.option("header", True).option("encoding", "windows-1252").csv(path)
+    rows = spark.read.option("header", True).option("encoding", "iso-8859-1").csv(path)
+    # Spark reads no Windows-1252; it differs from ISO-8859-1 in these bytes.
+    pairs = [(chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))]
+    rows = rows.select(*[F.translate(F.col(c), "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias(c) for c in rows.columns])
     if missing := [c for c in REGISTER_COLUMNS if c not in rows.columns]:
         raise ValueError(f"register file without {', '.join(missing)}")
     return rows.filter(F.lower(F.trim("Town")) == town.strip().lower()) if town else rows
