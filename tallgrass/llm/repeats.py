@@ -6,7 +6,9 @@
    and those of grams that stand alone go.  Occurrences of equal bytes are one
    class, whose later members repeat the first in full.
 2. Ranking.  Where a gram has several classes, the bytes of each class's first
-   occurrence are gathered by gram.  Each task cuts them into shards, sorts the
+   occurrence are gathered by gram and cut into blocks of a few windows at the
+   same places about it; equal blocks are one.  Each task deals the different
+   blocks that are left of a place into shards, sorts the
    suffixes of each shard by itself, and merges the shards' transforms by
    refining their interleave, one more byte in each pass, without sorting the
    suffixes of all again; places that no pass has split share a prefix of so
@@ -35,6 +37,8 @@ GRAM = 32
 PLACES = 22
 #: Classes of one gram that one task ranks at most.
 CLASSES = 2_000
+#: Windows of an occurrence that are compared as a whole before they are ranked.
+BLOCK = 8
 #: Bytes of the shards whose transforms are merged, and of all shards of one merge.
 SHARD_BYTES, MERGE_BYTES = 1 << 19, 1 << 20
 
@@ -103,22 +107,23 @@ def occurrences(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np
     return {"text": text[first], "start": first - starts[text[first]], "n": n, "rel": rel, "gram": grams[pick[first]], "string": string}
 
 
-def suffix_order(data: np.ndarray, strings: int) -> np.ndarray:
-    """Order of all suffixes of strings laid end to end as symbols: 0 to strings - 1 are their ends, bytes come after. By doubling of the compared length."""
-    rank = data.astype(np.int64)
-    n, have = len(rank), 1
-    order = np.argsort(rank, kind="stable")
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of strings laid end to end, whose ends are symbols that stand once. By doubling of the compared length."""
+    n = len(data)
+    bits = max(1, int(data.max()).bit_length())
+    rank, have = data.astype(np.int64) + 1, 1
+    while 2 * have * (bits + 1) <= 62:  # the first symbols of a suffix fit in one number
+        rank = (rank << (have * (bits + 1))) + np.append(rank[have:], np.zeros(min(have, n), np.int64))
+        have *= 2
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - have] = rank[have:] if have < n else 0
-        key = rank * (max(n, int(rank.max()) + 1) + 2) + second + 1
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
-        rank = new
-        if rank.max() == n - 1:
+        order = np.argsort(rank)
+        sorted_ = rank[order]
+        dense = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
+        if dense[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = dense + 1
+        rank = rank * (n + 2) + np.append(rank[have:], np.zeros(min(have, n), np.int64))
         have *= 2
 
 
@@ -131,7 +136,7 @@ def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     inside[starts + sizes] = False
     data[inside] = np.concatenate(strings).astype(np.int32) + m
     data[~inside] = np.arange(m)
-    order = suffix_order(data, m)
+    order = suffix_order(data)
     string = np.repeat(np.arange(m), sizes + 1)
     before = np.where(np.arange(len(data)) == starts[string], 0, np.concatenate(([0], data[:-1])) - m + 1)
     return before[order].astype(np.uint16), string[order], (np.arange(len(data)) - starts[string])[order]
@@ -197,7 +202,7 @@ def _ids(docs: DataFrame) -> DataFrame:
 
 def _search(rows: DataFrame, length: int) -> DataFrame:
     """Occurrences by gram: for each task and class the first one, and as known repeats (kind 1) what follows it in the same task."""
-    names = ["gram", "string", "d", "x", "start", "n", "kind"]
+    names = ["gram", "string", "d", "x", "start", "n", "rel", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,11 +215,11 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
             gram, string = f["gram"][order], f["string"][order]
             again = np.zeros(len(order), np.int32)
             again[1:] = (gram[1:] == gram[:-1]) & (string[1:] == string[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(string.view(np.int64)), pa.array(d[order]), pa.array(x[order]), pa.array(f["start"][order].astype(np.int32)), pa.array(f["n"][order].astype(np.int32)), pa.array(again)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(string.view(np.int64)), pa.array(d[order]), pa.array(x[order]), pa.array(f["start"][order].astype(np.int32)), pa.array(f["n"][order].astype(np.int32)), pa.array(f["rel"][order].astype(np.int32)), pa.array(again)], names=names)
 
         return in_batches(batches, work, 4 << 20)
 
-    return rows.select("_d", "_x", "text").mapInArrow(run, "gram long, string long, d long, x long, start int, n int, kind int")
+    return rows.select("_d", "_x", "text").mapInArrow(run, "gram long, string long, d long, x long, start int, n int, rel int, kind int")
 
 
 def _sorted_out(found: DataFrame) -> DataFrame:
@@ -239,46 +244,84 @@ def _sorted_out(found: DataFrame) -> DataFrame:
 
 
 def _strings(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
-    """The bytes of occurrences: gram, d, x, start, bytes."""
-    spots = firsts.groupBy(F.col("d").alias("_d"), F.col("x").alias("_x")).agg(F.collect_list(F.struct("gram", "start", "n")).alias("spots"))
+    """The bytes of occurrences: gram, d, x, start, rel, bytes."""
+    spots = firsts.groupBy(F.col("d").alias("_d"), F.col("x").alias("_x")).agg(F.collect_list(F.struct("gram", "start", "n", "rel")).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, x, texts = batch.column("_d").to_numpy(), batch.column("_x").to_numpy(), batch.column("text").cast(pa.binary())
             for i in range(len(batch)):
                 own = batch.column("spots")[i].values
-                gram, start, n = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                gram, start, n, rel = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 text = texts[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), d[i])), pa.array(np.full(len(gram), x[i])), pa.array(start), pa.array([text[a : a + b + length - 1] for a, b in zip(start.tolist(), n.tolist())], pa.binary())], names=["gram", "d", "x", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), d[i])), pa.array(np.full(len(gram), x[i])), pa.array(start), pa.array(rel), pa.array([text[a : a + b + length - 1] for a, b in zip(start.tolist(), n.tolist())], pa.binary())], names=["gram", "d", "x", "start", "rel", "bytes"])
+
+    return rows.dropDuplicates(["_d", "_x"]).join(spots, ["_d", "_x"]).select("_d", "_x", "text", "spots").mapInArrow(run, "gram long, d long, x long, start int, rel int, bytes binary")
+
 
-    return rows.dropDuplicates(["_d", "_x"]).join(spots, ["_d", "_x"]).select("_d", "_x", "text", "spots").mapInArrow(run, "gram long, d long, x long, start int, bytes binary")
+def _blocks(gram, d, x, start, rel, texts, length):
+    """Cuts occurrences into blocks of windows at the same places about their gram.
+
+    All windows of a block hold its core, so blocks of different cores share no
+    window.  Returns the blocks that repeat an earlier one byte for byte, as
+    (row, place, windows), and the different blocks of a core that has several,
+    as (bytes, row, place), earliest first.
+    """
+    order = np.lexsort((start, x, d))
+    found: dict[int, dict[bytes, tuple[int, int]]] = {}
+    again, groups = [], []
+    for i in order.tolist():
+        text, r, g = texts[i], int(rel[i]), int(gram[i])
+        n = len(text) - length + 1
+        at = 0
+        while at < n:
+            first = at - (at - r) % BLOCK
+            to = min(n, first + BLOCK)
+            part = text[at : to + length - 1]
+            # Cores of one hash may meet: what follows compares bytes.
+            seen = found.setdefault(hash((g, (at - r) // BLOCK, text[first + BLOCK - 1 : first + length])), {})
+            if part in seen:
+                again.append((i, at, to - at))
+            else:
+                seen[part] = (i, at)
+            at = to
+    for seen in found.values():
+        if len(seen) > 1:
+            groups.append([(part, i, at) for part, (i, at) in seen.items()])
+    return again, groups
 
 
 def _ranked(strings: DataFrame, length: int) -> DataFrame:
-    """Windows (d, x, start, n = 1) that stand earlier in another class of their gram."""
+    """Runs of n windows (d, x, start, n) that stand earlier in another class of their gram."""
 
-    def work(gram, d, x, start, texts) -> pa.RecordBatch:
-        block, string, place = equal_windows(texts, length)
-        at = start[string] + place
-        order = np.lexsort((at, x[string], d[string], block))
+    def merged(d, x, start, blocks) -> list[tuple]:
+        block, string, place = equal_windows([np.frombuffer(b, np.uint8) for b, _, _ in blocks], length)
+        row, off = (np.array([b[k] for b in blocks]) for k in (1, 2))
+        at = start[row[string]] + off[string] + place
+        order = np.lexsort((at, x[row[string]], d[row[string]], block))
         block, string, at = block[order], string[order], at[order]
         later = np.flatnonzero(np.concatenate(([False], block[1:] == block[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(d[string[later]]), pa.array(x[string[later]]), pa.array(at[later].astype(np.int32))], names=["d", "x", "start"])
+        return list(zip(row[string[later]].tolist(), at[later].tolist(), [1] * len(later)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["gram"], least=4_000):
-            gram, d, x, start = (table[c].to_numpy() for c in ("gram", "d", "x", "start"))
-            texts = [np.frombuffer(b, np.uint8) for b in table["bytes"].to_pylist()]
-            size = np.cumsum([len(t) for t in texts])
-            new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))).tolist() + [len(gram)]
-            at = 0
-            for a, b in zip(new[1:], new[2:] + [None]):
-                if b is None or size[b - 1] - (size[at - 1] if at else 0) > MERGE_BYTES:
-                    yield work(gram[at:a], d[at:a], x[at:a], start[at:a], texts[at:a])
-                    at = a
+        for table in runs(batches, ["gram"], least=20_000):
+            gram, d, x, start, rel = (table[c].to_numpy() for c in ("gram", "d", "x", "start", "rel"))
+            again, groups = _blocks(gram, d, x, start, rel, table["bytes"].to_pylist(), length)
+            out, held, size = [(i, int(start[i]) + at, n) for i, at, n in again], [], 0
+            for group in groups:
+                held += group
+                size += sum(len(b) for b, _, _ in group)
+                if size >= MERGE_BYTES:
+                    out += merged(d, x, start, held)
+                    held, size = [], 0
+            if held:
+                out += merged(d, x, start, held)
+            if out:
+                row, at, n = (np.array(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(x[row]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "x", "start", "n"])
 
     sorted_ = strings.repartition("gram").sortWithinPartitions("gram")
-    return sorted_.mapInArrow(run, "d long, x long, start int")
+    return sorted_.mapInArrow(run, "d long, x long, start int, n int")
 
 
 def _by_window(strings: DataFrame, length: int) -> DataFrame:
@@ -287,7 +330,7 @@ def _by_window(strings: DataFrame, length: int) -> DataFrame:
     windows = strings.select("d", "x", "start", F.explode(F.transform(places, lambda p: F.struct(p.alias("p"), F.col("bytes").substr(p + 1, F.lit(length)).alias("w")))).alias("e"))
     windows = windows.select("d", "x", (F.col("start") + F.col("e.p")).alias("start"), F.col("e.w").alias("w"))
     earliest = stash(windows.groupBy("w").agg(F.min(F.struct("d", "x", "start")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "windows")
-    return windows.join(earliest, "w").filter(F.struct("d", "x", "start") != F.col("first")).select("d", "x", "start")
+    return windows.join(earliest, "w").filter(F.struct("d", "x", "start") != F.col("first")).select("d", "x", "start", F.lit(1).alias("n"))
 
 
 def _cut(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -338,7 +381,6 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     single = _ranked(strings.join(hot, "gram", "left_anti"), length)
     if not hot.isEmpty():
         single = single.unionByName(_by_window(strings.join(hot, "gram", "left_semi"), length))
-    # Windows in a row are one interval.
-    single = stash(single, "windows")
-    spans = single.select("d", "x", "start", (F.col("start") + length).alias("stop")).unionByName(found.filter("kind = 1").select("d", "x", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop")))
+    runs_ = stash(single, "windows").unionByName(found.filter("kind = 1").select("d", "x", "start", "n"))
+    spans = runs_.select("d", "x", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
     return _cut(rows, spans)
