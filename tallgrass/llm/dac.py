@@ -31,6 +31,8 @@ MAGIC = b"TGDAC\x00\x01\x00"
 BLOCK = 512
 #: Ids after which a file is closed.
 FILE_IDS = 4_000_000
+#: Ids that are read back at a time.
+RUN_IDS = 500_000
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -71,6 +73,15 @@ class Codes:
         part = np.where(inside, bitmap[np.minimum(byte, len(bitmap) - 1)], 0)
         return out + _ONES[part & ((1 << (at & 7)) - 1).astype(np.uint8)]
 
+    def _rank_one(self, level: int, at: int) -> int:
+        _, bitmap, directory = self.levels[level]
+        if not len(directory):
+            return 0
+        block, byte = min(at // BLOCK, len(directory) - 1), at >> 3
+        inside = int(_ONES[bitmap[block * (BLOCK // 8) : byte]].sum())
+        part = int(bitmap[byte]) & ((1 << (at & 7)) - 1) if byte < len(bitmap) else 0
+        return int(directory[block]) + inside + part.bit_count()
+
     def take(self, at: np.ndarray) -> np.ndarray:
         """The ids at any places."""
         at = np.asarray(at, np.int64)
@@ -97,7 +108,7 @@ class Codes:
             if not count:
                 break
             own = np.flatnonzero(bits) if own is None else own[bits]
-            start = int(self._rank(level, np.array([start]))[0])
+            start = self._rank_one(level, start)
             stop, shift = start + count, shift + 8
         return out
 
@@ -190,7 +201,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 with store.open_input_stream(path) as f:
                     tokens = TokenFile(f.read())
                 counts = np.diff(np.append(tokens.before, tokens.total))
-                crc = [zlib.crc32(tokens.document(i).astype("<u4").tobytes()) for i in range(len(counts))]
+                crc, run = [], 0
+                while run < len(counts):  # documents of some hundred thousand ids at a time
+                    stop = max(run + 1, int(np.searchsorted(tokens.before, tokens.before[run] + RUN_IDS)))
+                    ends = np.append(tokens.before, tokens.total)[run : stop + 1].tolist()
+                    raw = memoryview(tokens.codes.slice(ends[0], ends[-1]).astype("<u4").tobytes())
+                    crc += [zlib.crc32(raw[4 * (a - ends[0]) : 4 * (b - ends[0])]) for a, b in zip(ends, ends[1:])]
+                    run = stop
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.doc_ids.astype(np.int64), mask=tokens.null), pa.array(tokens.before + row["first"]), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row for each file: their number grows with the ids, by one for some millions.

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries after which a worker's memo starts anew: about 160 MB.
-MEMO_ENTRIES = 1_000_000
+#: Entries after which a worker's memo starts anew: about 130 MB.
+MEMO_ENTRIES = 800_000
 #: Bytes of text that are worked on at a time.
 SLICE_BYTES = 6 << 20
 
