@@ -42,8 +42,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of whole key groups of at least `least` rows (but the last) from batches that are sorted by integer keys."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 200_000, most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole key groups of at least `least` rows (but the last) from batches that are sorted by integer keys.
+
+    most: a group of at least so many rows comes in parts, each a table of its own.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -63,6 +66,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 200_00
             yield table.slice(0, cut)
         held = table.slice(cut).combine_chunks().to_batches()
         rows -= cut
+        if most and rows >= most:
+            yield table.slice(cut)
+            held, rows = [], 0
     if held and rows:
         yield pa.Table.from_batches(held)
 

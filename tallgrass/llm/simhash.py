@@ -75,45 +75,85 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("fp", "node").mapInArrow(run, "seg int, value long, fp long, node long")
 
 
-def _links(entries: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) that span the links found within each tile pair of each table entry."""
+def _spanning(keys: list[np.ndarray], fp: np.ndarray, node: np.ndarray, radius: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the links between rows of one key (rows stand sorted by keys): each row meets the next, the one after and so on.
+
+    apart: only rows whose values of it differ meet.
+    """
+    new = np.zeros(len(fp), bool)
+    new[:1] = True
+    for c in keys:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(fp)))
+    left = np.repeat(first + size, size) - np.arange(len(fp)) - 1  # rows of the group behind each
+    rows, a, b, found, step = np.flatnonzero(left), [node[:0]], [node[:0]], 0, 1
+    while len(rows):
+        near = np.bitwise_count(fp[rows] ^ fp[rows + step]) <= radius
+        if apart is not None:
+            near &= apart[rows] != apart[rows + step]
+        hit = rows[near]
+        a.append(node[hit])
+        b.append(node[hit + step])
+        found += len(hit)
+        if found > 2_000_000:
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            a, b, found = [x], [y], len(x)
+        step += 1
+        rows = rows[left[rows] >= step]
+    return forest(np.concatenate(a), np.concatenate(b)) if found else (node[:0], node[:0])
+
+
+def _links(entries: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) that span the links found within each table entry.
+
+    One shuffle brings an entry's rows together.  As a class has one row at most
+    in an entry and some in 65 others, an entry can't hold over a sixty-sixth of
+    all rows; those of more rows than a tile are passed on, as they stream by,
+    to be dealt in tiles.
+    """
+    keys = ["seg", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kind, seg, value, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(seg), pa.array(value), pa.array(a), pa.array(b)], names=["kind", "seg", "value", "a", "b"])
+
+        large = None  # the entry whose rows are being passed on
+        for table in runs(batches, keys, most=max(1 << 18, tile + 1)):
+            seg, value, fp, node = (table[c].to_numpy() for c in ("seg", "value", "fp", "node"))
+            new = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (value[1:] != value[:-1]))))
+            size = np.diff(np.append(new, len(seg)))
+            size[0] += tile * ((seg[0], value[0]) == large)
+            whole = np.repeat(size <= tile, np.diff(np.append(new, len(seg))))
+            large = None if whole[-1] else (seg[-1], value[-1])
+            a, b = _spanning([seg[whole], value[whole]], fp[whole].view(np.uint64), node[whole], radius)
+            yield out(0, np.zeros(len(a), np.int32), np.zeros(len(a), np.int64), a, b)
+            if not whole.all():
+                yield out(1, seg[~whole], value[~whole], fp[~whole], node[~whole])
+
+    sorted_ = entries.repartition(*keys).sortWithinPartitions(*keys)
+    found = stash(sorted_.mapInArrow(run, "kind int, seg int, value long, a long, b long"), "entries")
+    edges, large = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1")
+    if large.isEmpty():
+        return edges
+    return edges.unionByName(_in_tiles(large.select("seg", "value", F.col("a").alias("fp"), F.col("b").alias("node")), radius, tile))
+
+
+def _in_tiles(entries: DataFrame, radius: int, tile: int) -> DataFrame:
+    """The same for entries of many rows: every pair of tiles is a group of its own."""
     keys = ["seg", "value", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, keys):
             cols = [table[k].to_numpy() for k in keys]
-            fp, node, tile = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), table["tile"].to_numpy()
-            new = np.zeros(len(fp), bool)
-            new[:1] = True
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(fp)))
-            left = np.repeat(first + size, size) - np.arange(len(fp)) - 1  # rows of the group behind each
-            # In the pair of two tiles only rows of different tiles meet.
-            cross = cols[2] != cols[3]
-            rows, a, b, found = np.flatnonzero(left), [], [], 0
-            step = 1
-            while len(rows):
-                other = rows + step
-                near = np.bitwise_count(fp[rows] ^ fp[other]) <= radius
-                near &= ~cross[rows] | (tile[rows] != tile[other])
-                hit = np.flatnonzero(near)
-                a.append(node[rows[hit]])
-                b.append(node[other[hit]])
-                found += len(hit)
-                if found > 2_000_000:
-                    x, y = forest(np.concatenate(a), np.concatenate(b))
-                    a, b, found = [x], [y], len(x)
-                step += 1
-                rows = rows[left[rows] >= step]
-            if found:
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-
-    dealt = tiled(entries, ["seg", "value"], F.col("fp"), TILE)
-    sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return sorted_.mapInArrow(run, "a long, b long")
+            fp, node, own = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), table["tile"].to_numpy()
+            for cross in (False, True):  # in the pair of two tiles only rows of different tiles meet
+                some = (cols[2] != cols[3]) == cross
+                a, b = _spanning([c[some] for c in cols], fp[some], node[some], radius, own[some] if cross else None)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = tiled(entries, ["seg", "value"], F.col("fp"), tile)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

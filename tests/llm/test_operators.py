@@ -202,13 +202,14 @@ def test_simhash(docs, none, texts):
     assert simhash.near_groups(none).count() == 0
 
 
-def test_simhash_finds_every_close_pair_in_a_crowd(spark):
+@pytest.mark.parametrize("tile", [simhash.TILE, 16])  # 16: most entries are dealt in tiles
+def test_simhash_finds_every_close_pair_in_a_crowd(spark, tile):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 1 << 62))
     values = sorted({centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(1500)})
     signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     classes = spark.createDataFrame([(v, i) for i, v in enumerate(signed)], "fp long, node long")
-    found = {r.node: r.component for r in common.components(simhash._links(simhash._entries(classes), 4)).collect()}
+    found = {r.node: r.component for r in common.components(simhash._links(simhash._entries(classes), 4, tile)).collect()}
     links = [(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= 4]
     want = components(links, range(len(values)))
     assert {n: found.get(n, n) for n in range(len(values))} == want
