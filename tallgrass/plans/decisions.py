@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..operators import contacts as C
@@ -264,7 +265,7 @@ def heuristic_dm_label(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("pick")).filter("n = 1").select("o_custkey", "pick")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _token(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hmac.new(b"message-id", (t or "").encode(), hashlib.sha256).hexdigest()[:24])
 
