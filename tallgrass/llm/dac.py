@@ -210,11 +210,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     run = stop
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.doc_ids.astype(np.int64), mask=tokens.null), pa.array(tokens.before + row["first"]), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row for each file: their number grows with the ids, by one for some millions.
-    first = F.sum("ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.withColumn("first", F.coalesce(first, F.lit(0)))
-    count = max(1, manifest.count())
-    return files.repartition(count, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Ids before a file: those of the ranges before, a row each, and those of its range's files before.
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", before(Window.orderBy("part")).alias("ahead"))
+    files = manifest.withColumn("within", before(Window.partitionBy("part").orderBy("number"))).join(ranges, "part")
+    files = files.select("path", (F.col("ahead") + F.col("within")).alias("first"))
+    tasks = min(20_000, max(1, manifest.count()))  # a file each, but for very many
+    return files.repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
