@@ -122,12 +122,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     up = lambda a, b: F.when(F.col(a) > F.col(b), F.struct(F.col(a).alias("u"), F.col(b).alias("v"))).otherwise(F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
     now = stash(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(up("a", "b").alias("e")).select("e.u", "e.v").distinct(), "edges")
-    mark = None
     while True:
-        stats = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if stats.n == 0 or (stats.n, stats.x) == mark:
+        counts = now.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("nodes")).first()
+        # Done when only stars are left: every node has one link, to a node that has none of its own.
+        if counts.n == counts.nodes and now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
-        mark = (stats.n, stats.x)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stash(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
