@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallgrass.functions import cards as K
 from tallgrass.functions import text as T
 from tallgrass.operators import contacts as C
 from tallgrass.operators import lifecycle as L
@@ -135,3 +136,23 @@ def test_stages_resume(spark, tmp_path):
     rows, ran = stages.run_stages(spark, spark.range(4), plan, str(tmp_path))
     assert ran == ["double", "keep"] and rows.count() == 2
     assert stages.run_stages(spark, spark.range(4), plan, str(tmp_path))[1] == []
+
+
+@pytest.mark.parametrize("line, want", [("4.5 (1,234)", (4.5, 1234)), ("5", (5.0, None)), ("Open now", (None, None)), (None, (None, None))])
+def test_rating_line(spark, line, want):
+    df = spark.createDataFrame([(line,)], "x string")
+    a, b = K.rating_line(F.col("x"))
+    assert tuple(df.select(a.alias("a"), b.alias("b")).first()) == want
+
+
+@pytest.mark.parametrize("text, want", [("please book a table now", True), ("book one two three four table", False), ("table to book", True), ("booking a table", False), ("", False)])
+def test_near_words(spark, text, want):
+    assert one(spark, text, lambda c: K.near_words(c, "book", "table", 4)) is want
+
+
+def test_cards(spark):
+    assert one(spark, "dc576aff5f40dc49", K.hex_to_decimal) == "15877276656365263945"
+    assert one(spark, "https://x.example/url?q=https%3A%2F%2Fa.b%2Fc&sa=1", K.unwrap_redirect) == "https://a.b/c"
+    assert one(spark, "Open · Closes 5 · 020 7946 0958", K.last_segment_phone) == "020 7946 0958"
+    assert one(spark, "Left VM", K.outcome) == "voicemail" and one(spark, "Gate Keeper!", K.outcome) == "gate_keeper"
+    assert one(spark, 3725, K.duration, "int") == "1h 2m"
