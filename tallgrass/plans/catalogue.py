@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, decisions, entities, extraction, lifecycle, listings, search  # noqa: F401
+from . import analytics, decisions, entities, extraction, lifecycle, listings, search, sheets  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
