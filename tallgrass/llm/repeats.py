@@ -223,23 +223,34 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_out(found: DataFrame) -> DataFrame:
-    """Of occurrences by gram: kind 1, those that repeat an earlier one of their class; kind 0, the first of each class of a gram with several."""
+    """Of occurrences by gram: kind 1, those that repeat an earlier one of their class; kind 0, the first of each class of a gram with several.
+
+    Known repeats are spread by document, so that a gram's rows in one task are
+    at most one for each class and slice of the search; a gram of very many
+    classes streams by in parts.
+    """
+    part = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["gram"]):
+        last = None  # gram and string of the row before
+        for table in runs(batches, ["gram"], most=part):
             gram, string, kind = (table[c].to_numpy() for c in ("gram", "string", "kind"))
             same = gram[1:] == gram[:-1]
-            again = np.zeros(len(gram), bool)
-            again[1:] = same & (string[1:] == string[:-1])
-            # Classes of each gram.
+            again = kind == 1
+            again[1:] |= same & (string[1:] == string[:-1])
+            again[0] |= last == (gram[0], string[0])
             first = np.flatnonzero(np.concatenate(([True], ~same)))
             classes = np.add.reduceat((~again).astype(np.int64), first)
+            # What comes in parts counts as of several classes.
+            classes[0] += 2 * (len(first) == 1 and len(gram) >= part or last is not None and last[0] == gram[0])
             many = np.repeat(classes, np.diff(np.append(first, len(gram)))) > 1
+            last = gram[-1], string[-1]
             keep = again | many
             out = table.filter(pa.array(keep))
             yield from out.set_column(out.schema.get_field_index("kind"), "kind", pa.array(again[keep].astype(np.int32))).combine_chunks().to_batches()
 
-    sorted_ = found.repartition("gram").sortWithinPartitions("gram", "string", "d", "x", "start")
+    spread = F.when(F.col("kind") == 1, F.xxhash64("d", "x", "start")).otherwise(F.col("gram"))
+    sorted_ = found.repartition(spread).sortWithinPartitions("gram", "string", "d", "x", "start")
     return sorted_.mapInArrow(run, found.schema)
 
 
