@@ -51,7 +51,7 @@ EXTRA = (
 #: More alternatives than this make a part of an expression count as unknown.
 MOST_STRINGS = 64
 #: Bytes of text that one inverted index covers.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 4 << 20
 
 Query = frozenset  # of frozensets of trigrams: any of them wholly present
 

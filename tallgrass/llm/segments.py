@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries after which a worker's memo starts anew: about 130 MB.
-MEMO_ENTRIES = 800_000
+#: Entries after which a worker's memo starts anew: about 80 MB.
+MEMO_ENTRIES = 500_000
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 #: Segments that reach the library as one text.
 RUN = 64

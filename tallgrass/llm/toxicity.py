@@ -214,7 +214,7 @@ def _sums(rows: DataFrame, model: Model) -> DataFrame:
         sums = [s if s is not None else np.zeros(len(KINDS)) for s in (clause_sums(t or "", automaton) for t in batch.column("text").to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sums, pa.list_(pa.float64()))], names=["toxic", "sums"])
 
-    return rows.mapInArrow(lambda batches: in_batches(batches, work, 8 << 20), f"toxic {rows.schema['toxic'].dataType.simpleString()}, sums array<double>")
+    return rows.mapInArrow(lambda batches: in_batches(batches, work, 4 << 20), f"toxic {rows.schema['toxic'].dataType.simpleString()}, sums array<double>")
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -226,7 +226,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(batches, work, 8 << 20)
+        return in_batches(batches, work, 4 << 20)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
