@@ -200,6 +200,16 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).alias("_x"), "doc_id", text.alias("text"))
 
 
+def _apart(columns: list[np.ndarray], last: tuple | None = None) -> np.ndarray:
+    """Whether each sorted row differs from the one before it (the first: from last); rows that repeat id and text give equal occurrences, which are one."""
+    new = np.zeros(len(columns[0]), bool)
+    if len(new):
+        new[0] = last != tuple(c[0] for c in columns)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def _search(rows: DataFrame, length: int) -> DataFrame:
     """Occurrences by gram: for each task and class the first one, and as known repeats (kind 1) what follows it in the same task."""
     names = ["gram", "string", "d", "x", "start", "n", "rel", "kind"]
@@ -212,6 +222,7 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
             f = occurrences(data, offsets[1:] - offsets[0], length)
             d, x = batch.column("_d").to_numpy()[f["text"]], batch.column("_x").to_numpy()[f["text"]]
             order = np.lexsort((f["start"], x, d, f["string"], f["gram"]))
+            order = order[_apart([f["gram"][order], f["string"][order], d[order], x[order], f["start"][order]])]
             gram, string = f["gram"][order], f["string"][order]
             again = np.zeros(len(order), np.int32)
             again[1:] = (gram[1:] == gram[:-1]) & (string[1:] == string[:-1])
@@ -232,8 +243,15 @@ def _sorted_out(found: DataFrame) -> DataFrame:
     part = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # gram and string of the row before
+        last = spot = None  # gram and string of the row before, and its whole key
         for table in runs(batches, ["gram"], most=part):
+            size, keys = len(table), [table[c].to_numpy() for c in ("gram", "string", "d", "x", "start")]
+            # Equal occurrences of different tasks are one, too; what is known to repeat an earlier one stays.
+            fresh = _apart(keys, spot) | (table["kind"].to_numpy() == 1)
+            spot = tuple(c[-1] for c in keys)
+            table = table.filter(pa.array(fresh))
+            if not len(table):
+                continue
             gram, string, kind = (table[c].to_numpy() for c in ("gram", "string", "kind"))
             same = gram[1:] == gram[:-1]
             again = kind == 1
@@ -242,7 +260,7 @@ def _sorted_out(found: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], ~same)))
             classes = np.add.reduceat((~again).astype(np.int64), first)
             # What comes in parts counts as of several classes.
-            classes[0] += 2 * (len(first) == 1 and len(gram) >= part or last is not None and last[0] == gram[0])
+            classes[0] += 2 * (len(first) == 1 and size >= part or last is not None and last[0] == gram[0])
             many = np.repeat(classes, np.diff(np.append(first, len(gram)))) > 1
             last = gram[-1], string[-1]
             keep = again | many

@@ -337,3 +337,15 @@ def test_pipeline(spark):
     out = c.run(spark, sf)
     assert {r.doc_id for r in out.select("doc_id").collect()} == kept
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("classes", [repeats.CLASSES, 3])
+def test_repeats_of_rows_that_stand_twice(spark, texts, classes, parts, monkeypatch):
+    monkeypatch.setattr(repeats, "CLASSES", classes)
+    own = [(i, t) for i, t in texts if i != 4012 and i != 4014]
+    own += [(i, t) for i, t in own[::2]] + [(0, own[0][1])]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(parts, F.rand(3))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(df).collect())
+    want = brute_repeats(list(dict(own).items()))
+    assert got == Counter((i, *want[i]) for i, _ in own)
