@@ -66,7 +66,9 @@ class SegmentEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[str, int] = {}
+        #: Slots of segments that follow a space, and of first ones; no mark within a text could tell them apart.
+        self.slot: tuple[dict[str, int], dict[str, int]] = {}, {}
+        self.held = 0
         self.starts, self.lens = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.flat, self.used = np.empty(1 << 18, np.uint32), 0
 
@@ -78,52 +80,59 @@ class SegmentEncoder:
         b[: len(a)] = a
         return b
 
-    def _slots(self, segments: list[str]) -> np.ndarray:
-        if len(self.slot) > self.entries:
+    def _slots(self, segments: list[str], first: list[bool]) -> np.ndarray:
+        if self.held > self.entries:
             self._reset()
-        get, first = self.slot.get, len(self.slot)
-        slots = np.fromiter((get(s, -1) for s in segments), np.int64, len(segments))
+        held, get = self.held, [slot.get for slot in self.slot]
+        slots = np.fromiter((get[f](s, -1) for s, f in zip(segments, first)), np.int64, len(segments))
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            new = [segments[i] for i in missing]
-            ids, lens = self.encode([s[1:] if s[:1] == "\x00" else " " + s for s in new])
+            new = [(segments[i], first[i]) for i in missing]
+            ids, lens = self.encode([s if f else " " + s for s, f in new])
             n = len(new)
-            self.starts, self.lens = self._room(self.starts, first + n), self._room(self.lens, first + n)
+            self.starts, self.lens = self._room(self.starts, held + n), self._room(self.lens, held + n)
             self.flat = self._room(self.flat, self.used + len(ids))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.lens[first : first + n] = lens
-            self.starts[first : first + n] = self.used + np.cumsum(lens) - lens
+            self.lens[held : held + n] = lens
+            self.starts[held : held + n] = self.used + np.cumsum(lens) - lens
             self.used += len(ids)
-            slots[missing] = np.arange(first, first + n)
-            self.slot.update(zip(new, range(first, first + n)))
+            slots[missing] = np.arange(held, held + n)
+            for k, (s, f) in enumerate(new, held):
+                self.slot[f][s] = k
+            self.held += n
         return slots
 
     def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Segments of all texts in order, and their number in each; all but a text's first begin with the space before them."""
+        """Segments of all texts in order, and their number in each; a space that is left out stands before all but a text's first."""
         odd = pc.match_substring_regex(texts, _ODD_SPACE)
         if self.whole:
             odd = pc.or_(odd, pc.match_substring(texts, self.whole))
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        # A mark that no text starts with tells a first segment from the others.
+        lists = pc.split_pattern(texts, " ")
         if not len(odd):
-            lists = pc.split_pattern(pc.binary_join_element_wise("\x00", texts, ""), " ")
             return lists.flatten(), np.diff(lists.offsets.to_numpy())
-        parts = pc.split_pattern(pc.binary_join_element_wise("\x00", texts, ""), " ").to_pylist()
+        parts = lists.to_pylist()
         for i in odd:
             text = texts[int(i)].as_py()
-            parts[i] = ["\x00" + text] if self.whole and self.whole in text else _BREAK.split("\x00" + text)
+            parts[i] = [text] if self.whole and self.whole in text else _BREAK.split(text)
         return pa.array([s for p in parts for s in p], pa.string()), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def batch(self, texts: pa.Array) -> Ragged:
         """Ids of all texts in order and their number for each text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         segments, per_text = self.segments(texts)
+        at = np.concatenate(([0], np.cumsum(per_text)))
         coded = segments.dictionary_encode()
-        slots = self._slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = coded.indices.to_numpy().astype(np.int64) * 2
+        code[at[:-1]] += 1  # a text's first segment
+        used = np.flatnonzero(np.bincount(code, minlength=2 * len(words)))
+        slot_of = np.zeros(2 * len(words), np.int64)
+        slot_of[used] = self._slots([words[i] for i in (used >> 1).tolist()], (used & 1).astype(bool).tolist())
+        slots = slot_of[code]
         lens = self.lens[slots]
         ids = ragged_take(self.flat, self.starts[slots], lens)
         ends = np.concatenate(([0], np.cumsum(lens)))
-        at = np.concatenate(([0], np.cumsum(per_text)))
         return ids, np.diff(ends[at])
 
 

@@ -349,3 +349,29 @@ def test_repeats_of_rows_that_stand_twice(spark, texts, classes, parts, monkeypa
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(df).collect())
     want = brute_repeats(list(dict(own).items()))
     assert got == Counter((i, *want[i]) for i, _ in own)
+
+
+NULS = ["a \x00b", "\x00b", "a b", "\x00", " \x00", "x \x00 \x00y", "\x00\x00 \x00\x00z", "\x00a  \x00b ", "b \x00b <|endoftext|> \x00c", "", " ", "b"]
+
+
+def test_segments_of_texts_with_nul(library):
+    import pyarrow as pa
+
+    from tallgrass.llm.segments import library_encoder
+
+    want = [library.encode(t, add_special_tokens=False).ids for t in NULS]
+    encoder = library_encoder(JSON)
+    for texts in (NULS, NULS[::-1], NULS[:3], NULS[5:6], []):  # the memo stands from one batch to the next
+        ids, lens = encoder.batch(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])][: len(texts)] == [want[NULS.index(t)] for t in texts]
+
+
+def test_token_operators_keep_nul(spark, library, tmp_path):
+    df = spark.createDataFrame(list(enumerate(NULS)), "doc_id long, text string").repartition(2)
+    ids = [library.encode(t, add_special_tokens=False).ids for t in NULS]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, JSON).collect()} == {i: len(x) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_crc32 for r in packing.packed(df, JSON).collect()} == {i: crc([*x, 2]) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_crc32 for r in dac.token_files(df, JSON, str(tmp_path / "tokens")).collect()} == {i: crc([*x, 0]) for i, x in enumerate(ids)}
+    got = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(df, RANKS, P.PATTERN).collect()}
+    assert got == {i: sha(t.encode()) for i, t in enumerate(NULS)}
