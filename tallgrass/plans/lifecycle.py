@@ -107,14 +107,15 @@ def lifecycle_fold(spark, sf_dir):
 SELECT substr(sha1(event_type || '|' || user_id || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')), 1, 20) AS dedupe_key, user_id, event_type FROM events GROUP BY ALL""")
 def stream_event_dedupe(spark, sf_dir):
     """A stream of events, the first of each key."""
-    found = S.deduplicated(S.read_events(spark, f"{sf_dir}/events.parquet"), "60 days").select("dedupe_key", "user_id", "event_type")
+    path = f"{sf_dir}/events.parquet"
+    found = S.deduplicated(S.read_events(spark, path), S.whole_span(spark, path)).select("dedupe_key", "user_id", "event_type")
     return S.run_to_table(found, shared_path(spark, "dedupe"), "append")
 
 
 @query()
 def stream_state_machine(spark, sf_dir):
     """The lifecycle as a stateful stream."""
-    found = S.states(S.read_events(spark, f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type"))
+    found = S.states(S.read_events(spark, f"{sf_dir}/events.parquet", files=None).select("user_id", "ts", "event_id", "event_type"))
     return S.run_to_table(found, shared_path(spark, "states"), "update", ["user_id"])
 
 
@@ -123,6 +124,7 @@ WITH s AS (SELECT event_type, epoch_us(ts) // 1800000000 AS h FROM events), w AS
 SELECT h * 1800 AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_windowed_counts(spark, sf_dir):
     """Events of each hour, sliding by half an hour, from a stream in update mode."""
-    found = S.windowed(S.read_events(spark, f"{sf_dir}/events.parquet"))
+    path = f"{sf_dir}/events.parquet"
+    found = S.windowed(S.read_events(spark, path), delay=S.whole_span(spark, path))
     rows = S.run_to_table(found, shared_path(spark, "windows"), "update", ["start", "event_type"])
     return rows.select(F.unix_timestamp("start").alias("start"), "event_type", "n")

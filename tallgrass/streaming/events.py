@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,12 +13,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.lifecycle import ASKS, step
 
 
-def read_events(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
-    """A stream of event files, with event times in UTC."""
+def read_events(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
+    """A stream of a table's files (one file, or a folder of part files), with event times in UTC; files None: all of them at once."""
     schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        # A stream takes a single file only as what a pattern finds.
+        path = re.sub(r"([{}\[\]?*\\])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def whole_span(spark: SparkSession, path: str) -> str:
+    """A delay by which no row of a table is late, whatever the order of its files."""
+    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = spark.read.parquet(path).agg((F.max(ts) - F.min(ts)).alias("s")).first().s
+    return f"{(span or 0) + 86_400} seconds"
 
 
 def dedupe_key() -> F.Column:
@@ -34,7 +47,8 @@ def states(events: DataFrame) -> DataFrame:
     """(user_id, state, n): every target's state after each batch, by an ordered fold kept in the state store.
 
     A batch's events of a target are folded in the order of time and id; a
-    target's events must arrive in the order of batches.
+    target's events must arrive in the order of batches, so a table whose files
+    have no order comes as one batch (read_events with files None).
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
