@@ -21,8 +21,11 @@ def rating_line(line: Column) -> tuple[Column, Column]:
 
 
 def hex_to_decimal(c: Column) -> Column:
-    """An unsigned 64-bit number in hex as decimal text."""
-    return F.conv(c, 16, 10)
+    """An unsigned number in hex, of up to 26 digits, as decimal text."""
+    high = F.conv(F.substring(c, F.lit(1), F.length(c) - 10), 16, 10).cast("decimal(20,0)")
+    low = F.conv(F.right(c, F.lit(10)), 16, 10).cast("decimal(13,0)")
+    wide = (high * F.lit(1 << 40).cast("decimal(13,0)") + low).cast("string")
+    return F.when(F.length(c) <= 16, F.conv(c, 16, 10)).otherwise(wide)
 
 
 def unwrap_redirect(url: Column) -> Column:

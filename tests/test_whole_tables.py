@@ -29,3 +29,10 @@ def test_streams_of_many_files(spark, many_files, name):
     assert same(got, one)
     if name == "stream_state_machine":
         assert same(got, catalogue.QUERIES["lifecycle_fold"](spark, many_files))
+
+
+def test_every_order_has_its_number(spark, tmp_path):
+    keys = [(1, 7), (3_999_999, 8), (4_000_000, 9), ((1 << 24) - 1, 10), (1 << 24, 11), (6_000_000_000, 1_500_000_000)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.cid for r in catalogue.QUERIES["cid_hex_decode"](spark, str(tmp_path)).collect()}
+    assert got == {k: str((k << 40) + c) for k, c in keys}
