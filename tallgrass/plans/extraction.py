@@ -100,8 +100,11 @@ def extract_emails(spark, sf_dir):
 WITH e AS (SELECT doc_id, text, regexp_extract(text, '{EMAIL_SQL}') AS email FROM documents)
 SELECT doc_id, email, trim(regexp_replace(substr(text, greatest(1, instr(text, email) - 90), least(90, instr(text, email) - 1) + length(email) + 90), '\s+', ' ', 'g')) AS context FROM e WHERE email <> ''""")
 def email_context_window(spark, sf_dir):
-    """What stands around a document's first address."""
-    d = table(spark, sf_dir, "documents").withColumn("email", F.regexp_extract("text", T.EMAIL, 0)).filter("email <> ''")
+    """What stands around each of a document's addresses, at its first place; the SQL takes the first address only."""
+    found = F.regexp_extract_all("text", F.lit(T.EMAIL), F.lit(0))
+    lowered = F.transform(found, F.lower)
+    distinct = F.filter(found, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(distinct).alias("email"))
     at = F.instr("text", F.col("email"))
     start = F.greatest(F.lit(1), at - 90)
     window = F.substring(F.col("text"), start, F.least(F.lit(90), at - 1) + F.length("email") + 90)

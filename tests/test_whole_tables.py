@@ -36,3 +36,11 @@ def test_every_order_has_its_number(spark, tmp_path):
     spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.o_orderkey: r.cid for r in catalogue.QUERIES["cid_hex_decode"](spark, str(tmp_path)).collect()}
     assert got == {k: str((k << 40) + c) for k, c in keys}
+
+
+def test_every_address_has_its_context(spark, tmp_path):
+    text = "x" * 200 + " Sales: a@one.com, " + "y" * 200 + " press: b@two.org now, A@One.com again, b@two.org"
+    spark.createDataFrame([(1, text), (2, "none here"), (3, None), (4, "c@d.com")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.email): r.context for r in catalogue.QUERIES["email_context_window"](spark, str(tmp_path)).collect()}
+    want = {(1, e): " ".join(text[text.find(e) - 90 : text.find(e) + len(e) + 90].split()) for e in ("a@one.com", "b@two.org")}
+    assert got == want | {(4, "c@d.com"): "c@d.com"}
