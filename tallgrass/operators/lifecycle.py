@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,57 @@ def step(state: str | None, asked: str | None) -> str | None:
     return asked if asked in MOVES[state] else state
 
 
+def ordered_maps(events: DataFrame) -> DataFrame:
+    """(user_id, maps, n): what a user's events (user_id, ts, event_id, event_type) make of every state, as maps to be applied in order.
+
+    Events are dealt by ranges of user and time, so that a user of very many
+    events stands in several tasks.  A task streams by and leaves one map for
+    each of its users.
+    """
+    names = [None, *MOVES]
+    steps = {ask: np.array([names.index(step(s, ask)) for s in names]) for ask in [None, *MOVES]}
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, at, n, out = None, None, 0, []
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            if len(out) >= least:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
+
+        schema = pa.schema([("user_id", pa.int64()), ("ts", pa.int64()), ("event_id", pa.int64()), ("map", pa.list_(pa.int32())), ("n", pa.int64())])
+        for batch in batches:
+            for u, ts, event, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is None or u != user:
+                    if at is not None:
+                        out.append({"user_id": user, "ts": first[0], "event_id": first[1], "map": at.tolist(), "n": n})
+                        yield from flush(10_000)
+                    user, at, n, first = u, np.arange(len(names)), 0, (ts, event)
+                at, n = steps[ASKS.get(kind)][at], n + 1
+        if at is not None:
+            out.append({"user_id": user, "ts": first[0], "event_id": first[1], "map": at.tolist(), "n": n})
+        yield from flush(1)
+
+    order = ["user_id", "ts", "event_id"]
+    rows = events.select("user_id", F.unix_micros("ts").alias("ts"), "event_id", "event_type")
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(maps, "user_id long, ts long, event_id long, map array<int>, n long")
+    return parts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "map"))).alias("maps"), F.sum("n").alias("n"))
+
+
+def _names() -> Column:
+    return F.array(*[F.lit(s).cast("string") for s in (None, *MOVES)])
+
+
+def numbered(state: Column) -> Column:
+    """A state's place in the maps; no state: 0."""
+    return F.coalesce(F.array_position(_names(), state) - 1, F.lit(0)).cast("int")
+
+
+def applied(start: Column) -> Column:
+    """The state after all of `maps`, from the place of the one before."""
+    return F.get(_names(), F.aggregate("maps", start, lambda s, m: F.get(m["map"], s)))
+
+
 def last_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -91,16 +90,9 @@ def sessions(spark, sf_dir):
 
 @query()
 def lifecycle_fold(spark, sf_dir):
-    """Every user's last state by the ordered fold, in batch: one bounded history of a user at a time."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for kind in pdf.sort_values(["ts", "event_id"])["event_type"]:
-            state = L.step(state, L.ASKS.get(kind))
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "state": [state], "n": [len(pdf)]})
-
+    """Every user's last state by the ordered fold, in batch."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    return e.groupBy("user_id").applyInPandas(fold, "user_id long, state string, n long")
+    return L.ordered_maps(e).select("user_id", L.applied(F.lit(0)).alias("state"), "n")
 
 
 @query("""
@@ -115,8 +107,8 @@ def stream_event_dedupe(spark, sf_dir):
 @query()
 def stream_state_machine(spark, sf_dir):
     """The lifecycle as a stateful stream."""
-    found = S.states(S.read_events(spark, f"{sf_dir}/events.parquet", files=None).select("user_id", "ts", "event_id", "event_type"))
-    return S.run_to_table(found, shared_path(spark, "states"), "update", ["user_id"])
+    events = S.read_events(spark, f"{sf_dir}/events.parquet", files=None).select("user_id", "ts", "event_id", "event_type")
+    return S.run_to_table(events, shared_path(spark, "states"), "append", ["user_id"], S.states, S.STATES)
 
 
 @query("""

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lifecycle import ASKS, step
+from ..operators.lifecycle import applied, numbered, ordered_maps
 
 
 def read_events(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
@@ -43,23 +41,22 @@ def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
     return events.withColumn("dedupe_key", dedupe_key()).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-def states(events: DataFrame) -> DataFrame:
-    """(user_id, state, n): every target's state after each batch, by an ordered fold kept in the state store.
+STATES = "user_id long, state string, n long"
 
-    A batch's events of a target are folded in the order of time and id; a
-    target's events must arrive in the order of batches, so a table whose files
-    have no order comes as one batch (read_events with files None).
-    """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state, n = kept.get if kept.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            state, n = step(state, ASKS.get(kind)), n + 1
-        kept.update((state, n))
-        yield pd.DataFrame({"user_id": [key[0]], "state": [state], "n": [n]})
+def states(events: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """(user_id, state, n) of a batch's targets: an ordered fold that goes on from the states kept of earlier batches.
 
-    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, state string, n long", "state string, n long", "update", GroupStateTimeout.NoTimeout)
+    A batch's events are folded in the order of time and id, in tasks that
+    stream by; a target's events must arrive in the order of batches, so a table
+    whose files have no order comes as one batch (read_events with files None).
+    """
+    found = ordered_maps(events)
+    if kept is None:
+        return found.select("user_id", applied(F.lit(0)).alias("state"), "n")
+    old = kept.select(F.col("user_id").alias("_user"), F.col("state").alias("_state"), F.col("n").alias("_n"))
+    found = found.join(old, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+    return found.select("user_id", applied(numbered(F.col("_state"))).alias("state"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
 
 
 def windowed(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -67,17 +64,28 @@ def windowed(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes"
     return events.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def run_to_table(rows: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Runs a stream over what is there, into a Parquet table beside its checkpoint; with keys the latest row of each stays."""
+def run_to_table(rows: DataFrame, path: str, mode: str, keys: list[str] | None = None, each: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, into a Parquet table beside its checkpoint; with keys the latest row of each stays.
+
+    each: what becomes of a batch, given the latest rows of the batches before it (None: the first); schema: of its result.
+    """
     spark = rows.sparkSession
+    schema = schema or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def latest(spark: SparkSession, before: int | None = None) -> DataFrame:
+        found = spark.read.schema(f"{schema}, batch long").option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+        if before is not None:
+            found = found.filter(F.col("batch") < before)
+        names = [n for n in found.columns if n != "batch"]
+        if keys:
+            found = found.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "batch").alias("v")).select(*keys, "v.*")
+        return found.select(*names)
 
     def write(batch: DataFrame, number: int) -> None:
+        if each:
+            batch = each(batch, latest(batch.sparkSession, number) if number else None)
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/batch={number:08d}")
 
     query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    names = [f.name for f in rows.schema]
-    found = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, batch long").option("recursiveFileLookup", "true").parquet(f"{path}/rows")
-    if keys:
-        found = found.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "batch").alias("v")).select(*keys, "v.*")
-    return found.select(*names)
+    return latest(spark)
