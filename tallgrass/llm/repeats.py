@@ -1,22 +1,27 @@
 """Removal of repeated byte strings by merged Burrows-Wheeler transforms.
 
-1. Search.  Every window of `length` bytes picks the gram of the smallest hash
+1. Search.  Of equal texts only the first goes on; the others are repeats as a
+   whole.  Every window of `length` bytes picks the gram of the smallest hash
    inside it, so equal windows pick equal grams at equal places.  A run of
-   windows that pick one gram is an occurrence; occurrences are dealt by gram
-   and those of grams that stand alone go.  Occurrences of equal bytes are one
-   class, whose later members repeat the first in full.
-2. Ranking.  Where a gram has several classes, the bytes of each class's first
-   occurrence are gathered by gram and cut into blocks of a few windows at the
-   same places about it; equal blocks are one.  Each task deals the different
-   blocks that are left of a place into shards, sorts the
-   suffixes of each shard by itself, and merges the shards' transforms by
-   refining their interleave, one more byte in each pass, without sorting the
-   suffixes of all again; places that no pass has split share a prefix of so
-   many bytes.  After `length` passes the unsplit intervals are the repeated
-   strings.
-3. Removal.  The intervals found are gathered by document and cut out.
-
-Grams with very many classes are dealt window by window instead of to one task.
+   windows that pick one gram is cut into pieces of at most BLOCKS[0] windows at
+   fixed places about the gram; what all windows of such a block share is its
+   core.  Pieces are dealt by the hash of their core, and those whose core
+   stands alone go: equal windows have equal cores, so they always meet.
+2. Transforms.  The bytes of the pieces that are left are dealt by core.  Each
+   task spreads them over shards and sorts the suffixes of each shard by
+   itself.  A shard's transform holds, in suffix order, the symbol (STEP bytes)
+   before each suffix and the place of the suffix that begins with it.
+3. Merge.  The transforms of all shards are interleaved by refinement: places
+   start in blocks of equal first bytes, and each pass puts one more symbol in
+   front of every suffix, block by block, so that it sorts by one more symbol
+   without a look at the texts.  A place alone in its block has its common
+   prefix and leaves.  Blocks that are left when a pass reaches `length` are the
+   repeated strings; the earliest window of each stays.
+4. A core of more than PART pieces is dealt in parts, each merged by itself.
+   The pieces that a part leaves are cut into shorter blocks (BLOCKS), whose
+   longer cores split them up, and merged again; blocks of one window need no
+   merge, as their core is the window.
+5. Removal.  The intervals found are gathered by document and cut out.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, runs, stash
@@ -35,17 +40,21 @@ from .common import in_batches, runs, stash
 GRAM = 32
 #: Windows of one document that are searched at a time; their places fit in the low bits of a key.
 PLACES = 22
-#: Classes of one gram that one task ranks at most.
-CLASSES = 2_000
-#: Windows of an occurrence that are compared as a whole before they are ranked.
-BLOCK = 8
-#: Bytes of the shards whose transforms are merged, and of all shards of one merge.
-SHARD_BYTES, MERGE_BYTES = 1 << 19, 1 << 20
+#: Windows of a block on each level of merging.
+BLOCKS = (35, 5, 1)
+#: Pieces of one core that one merge takes; those of more are dealt in parts.
+PART = 1 << 13
+#: Pieces that are merged at a time at least, and shards that they are spread over.
+MERGE, SHARDS = 1 << 13, 4
+#: Bytes of a symbol of the transforms.
+STEP = 8
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: A number of 64 bits for each byte, by a rule.
 _BYTE = ((np.arange(1, 257, dtype=np.uint64) * _FACTOR) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(29))) * _MIX
+#: How start, gram's place and number of windows stand in one number, and where its flags begin.
+_START, _REL, _FLAG = 16, 8, 60
 
 
 def _hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -75,9 +84,9 @@ def _sliding_min(keys: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (size - have)], keys[size - have :]) if have < size else keys
 
 
-def occurrences(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Runs of windows of one gram over texts laid end to end: text, start (in its text), n windows, rel (gram's place), gram and string (hashes)."""
-    none = {k: np.empty(0, np.int64) for k in ("text", "start", "n", "rel")} | {k: np.empty(0, np.uint64) for k in ("gram", "string")}
+def pieces(data: np.ndarray, ends: np.ndarray, length: int, block: int) -> dict[str, np.ndarray]:
+    """Runs of at most `block` windows of one gram over texts laid end to end: text, start (in its text), n windows, rel (gram's place from start), core (hash)."""
+    none = {k: np.empty(0, np.int64) for k in ("text", "start", "n", "rel")} | {"core": np.empty(0, np.uint64)}
     if len(data) < length:
         return none
     grams = _hashes(data, GRAM)
@@ -90,281 +99,345 @@ def occurrences(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np
         found.append((_sliding_min(keys, length - GRAM + 1)[:step] & low).astype(np.int64) + at)
     pick = np.concatenate(found)
     starts = np.concatenate(([0], ends[:-1]))
-    text = np.searchsorted(ends, np.arange(0, len(pick), 1), side="right") if len(ends) == 1 else np.repeat(np.arange(len(ends)), ends - starts)[: len(pick)]
-    valid = np.arange(len(pick)) + length <= ends[text]
+    text = np.repeat(np.arange(len(ends)), ends - starts)[: len(pick)]
+    windows = np.arange(len(pick))
+    valid = windows + length <= ends[text]
+    number = (pick - windows) // block  # of the block about the gram
     new = np.ones(len(pick), bool)
-    new[1:] = (pick[1:] != pick[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (pick[1:] != pick[:-1]) | (text[1:] != text[:-1]) | (number[1:] != number[:-1])
     first = np.flatnonzero(new & valid)
     if not len(first):
         return none
-    # A run ends before the next run or the first window that leaves its text.
+    # A piece ends before the next one or the first window that leaves its text.
     stop = np.append(np.flatnonzero(new), len(pick))
     stop = np.minimum(stop[np.searchsorted(stop, first, side="right")], ends[text[first]] - length + 1)
-    n, rel = stop - first, pick[first] - first
-    # The hash of a run's whole string, from prefix hashes of what it spans beyond one window.
-    whole = _hashes(data, length)
-    string = (whole[first] * _MIX) ^ ((whole[stop - 1] + np.uint64(1)) * _FACTOR) ^ (n.astype(np.uint64) << np.uint64(40)) ^ rel.astype(np.uint64)
-    return {"text": text[first], "start": first - starts[text[first]], "n": n, "rel": rel, "gram": grams[pick[first]], "string": string}
+    core = _cores(data, pick[first], number[first], length, block)
+    return {"text": text[first], "start": first - starts[text[first]], "n": stop - first, "rel": pick[first] - first, "core": core}
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of strings laid end to end, whose ends are symbols that stand once. By doubling of the compared length."""
-    n = len(data)
-    bits = max(1, int(data.max()).bit_length())
-    rank, have = data.astype(np.int64) + 1, 1
-    while 2 * have * (bits + 1) <= 62:  # the first symbols of a suffix fit in one number
-        rank = (rank << (have * (bits + 1))) + np.append(rank[have:], np.zeros(min(have, n), np.int64))
-        have *= 2
-    while True:
-        order = np.argsort(rank)
-        sorted_ = rank[order]
-        dense = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
-        if dense[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = dense + 1
-        rank = rank * (n + 2) + np.append(rank[have:], np.zeros(min(have, n), np.int64))
-        have *= 2
+def _cores(data: np.ndarray, gram: np.ndarray, number: np.ndarray, length: int, block: int) -> np.ndarray:
+    """Hash of what all windows of a gram's block share: the bytes from its last window's start to its first window's end."""
+    return (_hashes(data, length - block + 1)[gram - number * block] + number.astype(np.uint64) * _MIX) * _FACTOR
 
 
-def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of strings with ends of their own: the transform (the byte + 1 before each suffix in order, 0 before a whole string), and each suffix's string and place."""
-    m, sizes = len(strings), np.array([len(s) for s in strings])
-    starts = np.cumsum(sizes + 1) - (sizes + 1)
-    data = np.empty(int((sizes + 1).sum()), np.int32)
-    inside = np.ones(len(data), bool)
-    inside[starts + sizes] = False
-    data[inside] = np.concatenate(strings).astype(np.int32) + m
-    data[~inside] = np.arange(m)
-    order = suffix_order(data)
-    string = np.repeat(np.arange(m), sizes + 1)
-    before = np.where(np.arange(len(data)) == starts[string], 0, np.concatenate(([0], data[:-1])) - m + 1)
-    return before[order].astype(np.uint16), string[order], (np.arange(len(data)) - starts[string])[order]
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
+    out = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    for n in (1, 2, 4):
+        out = (out[:-n] << np.uint64(8 * n)) | out[n:]
+    return out[: len(data)]
 
 
-def merge(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of two transforms and the intervals of equal prefixes of `depth` symbols, by iterative refinement.
+def transform(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings laid end to end: the order of their suffixes by the first `length` bytes, and each place's number in it, equal for equal ones.
 
-    Returns for each place of the merged order its source (False: left) and the
-    number of its interval.  Each pass sends the places, bucket by bucket of the
-    symbol before them, to where one more symbol in front sorts them.
+    By doubling of the compared length; only places that still stand together are compared again.
     """
-    source = np.concatenate((np.zeros(len(left), bool), np.ones(len(right), bool)))
-    block = np.zeros(len(source), np.int32)
-    ends = np.concatenate((np.zeros(np.count_nonzero(left == 0), bool), np.ones(np.count_nonzero(right == 0), bool)))
-    symbols = np.empty(len(source), np.uint16)
-    for _ in range(depth):
-        symbols[~source], symbols[source] = left, right
-        order = np.argsort(symbols, kind="stable")
-        s, b = symbols[order], block[order]
-        source = source[order]
-        source[: len(ends)] = ends  # ends of strings keep their own order
-        new = np.concatenate(([True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])))
-        new[: len(ends) + 1] = True
-        block = np.cumsum(new, dtype=np.int32)
-    return source, block
-
-
-def equal_windows(strings: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interval, string and place of every window of `length` bytes of the strings; windows of one interval are equal."""
-    shards, held, size = [], [], 0
-    for i, s in enumerate(strings):
-        if held and size + len(s) > SHARD_BYTES:
-            shards.append(held)
-            held, size = [], 0
-        held.append(i)
-        size += len(s)
-    shards.append(held)
-    merged = None
-    for own in shards:
-        bwt, string, place = transform([strings[i] for i in own])
-        string = np.array(own)[string]
-        if merged is None:
-            other = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
-        else:
-            other = merged
-        source, block = merge(other[0], bwt, length)
-        whole = [np.empty(len(source), x.dtype) for x in (bwt, string, place)]
-        for out, a, b in zip(whole, other, (bwt, string, place), strict=True):
-            out[~source], out[source] = a, b
-        merged = tuple(whole)
-    _, string, place = merged
-    sizes = np.array([len(s) for s in strings])
-    full = place + length <= sizes[string]
-    return block[full], string[full], place[full]
-
-
-def _ids(docs: DataFrame) -> DataFrame:
-    """Documents as (_d, _x, doc_id, text): the order of ids, nulls first, and the text's hash to tell rows of one id apart."""
+    n = len(data)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    word = _words(data)
+    short = left < 8
+    word[short] &= ~np.uint64(0) << ((8 - left[short]) * 8).astype(np.uint64)
+    order = np.argsort(word)
+    new = np.concatenate(([True], word[order[1:]] != word[order[:-1]]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied = order[~(new & np.append(new[1:], True))]
+    have = min(8, length)
+    while have < length and len(tied):
+        step = min(have, length - have)
+        ahead = np.where(left[tied] > step, rank[np.minimum(tied + step, n - 1)] + 1, 0)
+        key = (rank[tied] << 32) | ahead
+        sub = np.argsort(key)
+        key, tied = key[sub], tied[sub]
+        at = np.arange(len(tied))
+        group = np.concatenate(([True], (key[1:] >> 32) != (key[:-1] >> 32)))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[tied] = (key >> 32) + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
+        have += step
+    return np.argsort(rank, kind="stable"), rank
+
+
+def interleave(first: np.ndarray, second: np.ndarray, symbol: np.ndarray, before: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges transforms that stand one after the other, by refinement of their interleave.
+
+    Of each place: its suffix's first eight and next bytes (of which the first
+    2 * STEP of `length` modulo STEP count), the symbol before it, the place of
+    the suffix that begins with that symbol (-1: none), and the bytes left.
+    Returns the places whose suffixes share `length` bytes with another's, in
+    order, the number of the block of each, and each place's common prefix with
+    its neighbours as the last pass knew it.
+    """
+    common = np.zeros(len(first), np.int32)
+    depth = (length - 1) % STEP + 1
+    place = np.flatnonzero(left >= depth)
+    key = first[place] >> np.uint64(8 * (STEP - depth))
+    if depth + STEP <= length:  # the first pass starts from what the shards' own sort knows
+        place = np.flatnonzero(left >= STEP)
+        key = first[place]
+    place, block = _blocks(place, key)
+    if depth + STEP <= length:
+        common[place] = STEP
+        keep = left[place] >= STEP + depth
+        place, block = place[keep], block[keep]
+        place, block = _blocks(place, (block.astype(np.uint64) << np.uint64(32)) | (second[place] >> np.uint64(8 * (STEP - depth))).astype(np.uint64) if depth <= 4 else _pair(block, second[place] >> np.uint64(8 * (STEP - depth))))
+        depth += STEP
+    common[place] = depth
+    while depth < length and len(place):
+        keep = before[place] >= 0
+        place, block = place[keep], block[keep]
+        place, block = _blocks(before[place], (symbol[place] << np.uint64(32)) | block.astype(np.uint64))
+        depth += STEP
+        common[place] = depth
+    return place, block, common
+
+
+def _pair(block: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (block.astype(np.uint64) << np.uint64(32)) | np.unique(word, return_inverse=True)[1].astype(np.uint64)
+
+
+def _blocks(place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their keys and the numbers of their blocks; those alone in a block leave."""
+    order = np.argsort(key)
+    place, key = place[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    keep = ~(new & np.append(new[1:], True)) if len(key) else new
+    return place[keep], np.cumsum(new)[keep]
+
+
+def repeated_windows(data: np.ndarray, sizes: np.ndarray, order: np.ndarray, length: int, shards: int = SHARDS) -> tuple[np.ndarray, int]:
+    """Which places of strings laid end to end begin a window that equals one of lower order, and how many of them a shard's own sort knew.
+
+    order: a number for each place, different for different windows.  Strings go
+    to the shards in turn.
+    """
+    ends = np.cumsum(sizes)
+    starts, string = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    again, parts, alone = np.zeros(len(data), bool), [], 0
+    for shard in range(shards):
+        own = np.arange(shard, len(sizes), shards)
+        if not len(own):
+            continue
+        at = np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())
+        bwt, rank = transform(data[at], sizes[own], length)
+        spot, rank = at[bwt], rank[bwt]  # places in suffix order
+        whole = ends[string[spot]] - spot >= length
+        spot_, rank_ = spot[whole], rank[whole]
+        same = np.lexsort((order[spot_], rank_)) if (rank_[1:] == rank_[:-1]).any() else np.arange(len(rank_))
+        later = spot_[same][np.concatenate(([False], rank_[same][1:] == rank_[same][:-1]))]
+        again[later] = True
+        alone += len(later)
+        # Strings of which no window is left leave the shard; the order of the others stands.
+        kept = np.zeros(len(sizes), bool)
+        kept[string[np.flatnonzero(_windows(ends, sizes, length) & ~again)]] = True
+        parts.append(spot[kept[string[spot]]])
+    spot = np.concatenate(parts)
+    place = np.full(len(data), -1)
+    place[spot] = np.arange(len(spot))
+    word = _words(data)
+    inside = spot - starts[string[spot]] >= STEP
+    before = np.where(inside, place[np.maximum(spot - STEP, 0)], -1)
+    symbol = np.unique(word[np.maximum(spot - STEP, 0)], return_inverse=True)[1].astype(np.uint64)
+    left = ends[string[spot]] - spot
+    found, block, _ = interleave(word[spot], word[np.minimum(spot + STEP, len(data) - 1)], symbol, before, left, length)
+    at = spot[found]
+    some = np.lexsort((order[at], block))
+    at, block = at[some], block[some]
+    again[at[np.concatenate(([False], block[1:] == block[:-1]))] if len(at) else at] = True
+    return again, alone
+
+
+def _windows(ends: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Places with a whole window before their string's end."""
+    return np.repeat(ends, sizes) - np.arange(ends[-1]) >= length
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """Documents with the order of their ids, nulls first (_d, then the text's hash _x), a number for each row (_u) and the text's digest."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).alias("_x"), "doc_id", text.alias("text"))
-
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return stash(docs.select(F.monotonically_increasing_id().alias("_u"), d.alias("_d"), F.xxhash64(text).alias("_x"), F.unhex(F.sha2(text, 256)).alias("_sha"), "doc_id", text.alias("text")), "texts")
 
-def _apart(columns: list[np.ndarray], last: tuple | None = None) -> np.ndarray:
-    """Whether each sorted row differs from the one before it (the first: from last); rows that repeat id and text give equal occurrences, which are one."""
-    new = np.zeros(len(columns[0]), bool)
-    if len(new):
-        new[0] = last != tuple(c[0] for c in columns)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return new
 
+def _binary(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an array laid end to end, and the ends."""
+    raw = column.cast(pa.large_binary())
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+    return np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
-def _search(rows: DataFrame, length: int) -> DataFrame:
-    """Occurrences by gram: for each task and class the first one, and as known repeats (kind 1) what follows it in the same task."""
-    names = ["gram", "string", "d", "x", "start", "n", "rel", "kind"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = batch.column("text").cast(pa.large_binary())
-            offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            f = occurrences(data, offsets[1:] - offsets[0], length)
-            d, x = batch.column("_d").to_numpy()[f["text"]], batch.column("_x").to_numpy()[f["text"]]
-            order = np.lexsort((f["start"], x, d, f["string"], f["gram"]))
-            order = order[_apart([f["gram"][order], f["string"][order], d[order], x[order], f["start"][order]])]
-            gram, string = f["gram"][order], f["string"][order]
-            again = np.zeros(len(order), np.int32)
-            again[1:] = (gram[1:] == gram[:-1]) & (string[1:] == string[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(string.view(np.int64)), pa.array(d[order]), pa.array(x[order]), pa.array(f["start"][order].astype(np.int32)), pa.array(f["n"][order].astype(np.int32)), pa.array(f["rel"][order].astype(np.int32)), pa.array(again)], names=names)
+def _search(rows: DataFrame, length: int, block: int) -> DataFrame:
+    """Pieces (core, u, place); flag 1 in place: the first of several of its core in the same slice of the search, flag 2: the others."""
 
-        return in_batches(batches, work, 4 << 20)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        f = pieces(*_binary(batch.column("text")), length, block)
+        order = np.argsort(f["core"], kind="stable")
+        core = f["core"][order]
+        same = core[1:] == core[:-1]
+        flag = np.zeros(len(core), np.int64)
+        flag[:-1] += same
+        flag[1:] = np.where(same, 2, flag[1:])
+        place = ((f["start"] << _START) | (f["rel"] << _REL) | f["n"])[order] | (flag << _FLAG)
+        return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(batch.column("_u").to_numpy()[f["text"][order]]), pa.array(place)], names=["core", "u", "place"])
 
-    return rows.select("_d", "_x", "text").mapInArrow(run, "gram long, string long, d long, x long, start int, n int, rel int, kind int")
+    return rows.select("_u", "text").mapInArrow(lambda batches: in_batches(batches, work, 4 << 20), "core long, u long, place long")
 
 
-def _sorted_out(found: DataFrame) -> DataFrame:
-    """Of occurrences by gram: kind 1, those that repeat an earlier one of their class; kind 0, the first of each class of a gram with several.
+def _shared(found: DataFrame) -> DataFrame:
+    """The pieces whose core has several.
 
-    Known repeats are spread by document, so that a gram's rows in one task are
-    at most one for each class and slice of the search; a gram of very many
-    classes streams by in parts.
+    What a slice knows to be shared is spread by document, so that a core's rows
+    in one task are at most one for each slice; rows stream by, one is held.
     """
-    part = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = spot = None  # gram and string of the row before, and its whole key
-        for table in runs(batches, ["gram"], most=part):
-            size, keys = len(table), [table[c].to_numpy() for c in ("gram", "string", "d", "x", "start")]
-            # Equal occurrences of different tasks are one, too; what is known to repeat an earlier one stays.
-            fresh = _apart(keys, spot) | (table["kind"].to_numpy() == 1)
-            spot = tuple(c[-1] for c in keys)
-            table = table.filter(pa.array(fresh))
-            if not len(table):
+        held, last = None, None
+        for batch in batches:
+            if not len(batch):
                 continue
-            gram, string, kind = (table[c].to_numpy() for c in ("gram", "string", "kind"))
-            same = gram[1:] == gram[:-1]
-            again = kind == 1
-            again[1:] |= same & (string[1:] == string[:-1])
-            again[0] |= last == (gram[0], string[0])
-            first = np.flatnonzero(np.concatenate(([True], ~same)))
-            classes = np.add.reduceat((~again).astype(np.int64), first)
-            # What comes in parts counts as of several classes.
-            classes[0] += 2 * (len(first) == 1 and size >= part or last is not None and last[0] == gram[0])
-            many = np.repeat(classes, np.diff(np.append(first, len(gram)))) > 1
-            last = gram[-1], string[-1]
-            keep = again | many
-            out = table.filter(pa.array(keep))
-            yield from out.set_column(out.schema.get_field_index("kind"), "kind", pa.array(again[keep].astype(np.int32))).combine_chunks().to_batches()
-
-    spread = F.when(F.col("kind") == 1, F.xxhash64("d", "x", "start")).otherwise(F.col("gram"))
-    sorted_ = found.repartition(spread).sortWithinPartitions("gram", "string", "d", "x", "start")
-    return sorted_.mapInArrow(run, found.schema)
-
-
-def _strings(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
-    """The bytes of occurrences: gram, d, x, start, rel, bytes."""
-    spots = firsts.groupBy(F.col("d").alias("_d"), F.col("x").alias("_x")).agg(F.collect_list(F.struct("gram", "start", "n", "rel")).alias("spots"))
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            core = batch.column("core").to_numpy()
+            same = core[1:] == core[:-1]
+            keep = batch.column("place").to_numpy() >> _FLAG > 0
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= last == core[0]
+            yield batch.slice(0, len(batch) - 1).filter(pa.array(keep[:-1]))
+            last, held, tail = core[-2] if len(core) > 1 else last, batch.slice(len(batch) - 1), bool(keep[-1])
+        if held is not None and tail:
+            yield held
+
+    spread = F.when(F.shiftright("place", _FLAG) == 2, F.col("u")).otherwise(F.col("core"))
+    return found.repartition(spread).sortWithinPartitions("core").mapInArrow(run, found.schema)
+
+
+def _dealt(found: DataFrame) -> DataFrame:
+    """Pieces with the key of their merge (group): the core, or a part of it where it has more than PART; flag 1 in place marks those."""
+    counts = found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > PART)
+    crowded = stash(counts.select(F.col("core").alias("_core"), F.ceil(F.col("c") / PART).alias("_parts")), "crowded")
+    plain = F.col("place").bitwiseAND(F.lit((1 << _FLAG) - 1))
+    if crowded.isEmpty():
+        return found.withColumns({"group": F.col("core"), "place": plain})
+    joined = found.join(crowded, F.col("core") == F.col("_core"), "left")
+    part = F.xxhash64("core", F.pmod(F.xxhash64("u", "place"), F.col("_parts")))
+    return joined.withColumns({"group": F.when(F.col("_parts").isNull(), F.col("core")).otherwise(part), "place": F.when(F.col("_parts").isNull(), plain).otherwise(plain.bitwiseOR(F.lit(1 << _FLAG)))}).drop("_core", "_parts")
+
+
+_STRINGS = "group long, u long, d long, x long, place long, bytes binary"
+
+
+def _strings(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """The bytes of pieces."""
+    spots = found.groupBy(F.col("u").alias("_u")).agg(F.collect_list(F.struct("group", "place")).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, x, texts = batch.column("_d").to_numpy(), batch.column("_x").to_numpy(), batch.column("text").cast(pa.binary())
-            for i in range(len(batch)):
-                own = batch.column("spots")[i].values
-                gram, start, n, rel = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                text = texts[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), d[i])), pa.array(np.full(len(gram), x[i])), pa.array(start), pa.array(rel), pa.array([text[a : a + b + length - 1] for a, b in zip(start.tolist(), n.tolist())], pa.binary())], names=["gram", "d", "x", "start", "rel", "bytes"])
-
-    return rows.dropDuplicates(["_d", "_x"]).join(spots, ["_d", "_x"]).select("_d", "_x", "text", "spots").mapInArrow(run, "gram long, d long, x long, start int, rel int, bytes binary")
-
+        return in_batches(batches, work, 4 << 20)
 
-def _blocks(gram, d, x, start, rel, texts, length):
-    """Cuts occurrences into blocks of windows at the same places about their gram.
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, ends = _binary(batch.column("text"))
+        own = batch.column("spots")
+        count = np.diff(own.offsets.to_numpy())
+        flat = own.flatten()
+        group, place = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        row = np.repeat(np.arange(len(batch)), count)
+        start = (place & ((1 << _FLAG) - 1)) >> _START
+        size = (place & ((1 << _REL) - 1)) + length - 1
+        at = np.concatenate(([0], ends[:-1]))[row] + start
+        ends_ = np.cumsum(size)
+        take = np.repeat(at - (ends_ - size), size) + np.arange(ends_[-1] if len(ends_) else 0)
+        offsets = np.concatenate(([0], ends_)).astype(np.int32)
+        taken = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[take]))])
+        cols = [batch.column(k).to_numpy()[row] for k in ("_u", "_d", "_x")]
+        return pa.RecordBatch.from_arrays([pa.array(group), *map(pa.array, cols), pa.array(place), taken], names=["group", "u", "d", "x", "place", "bytes"])
+
+    return texts.join(spots, "_u").select("_u", "_d", "_x", "text", "spots").mapInArrow(run, _STRINGS)
+
+
+def _merged(strings: DataFrame, length: int) -> DataFrame:
+    """Kind 1: runs of windows (u, place) that stand earlier, too; kind 0: the pieces of parts of a core that have windows left, with their bytes."""
 
-    All windows of a block hold its core, so blocks of different cores share no
-    window.  Returns the blocks that repeat an earlier one byte for byte, as
-    (row, place, windows), and the different blocks of a core that has several,
-    as (bytes, row, place), earliest first.
-    """
-    order = np.lexsort((start, x, d))
-    found: dict[int, dict[bytes, tuple[int, int]]] = {}
-    again, groups = [], []
-    for i in order.tolist():
-        text, r, g = texts[i], int(rel[i]), int(gram[i])
-        n = len(text) - length + 1
-        at = 0
-        while at < n:
-            first = at - (at - r) % BLOCK
-            to = min(n, first + BLOCK)
-            part = text[at : to + length - 1]
-            # Cores of one hash may meet: what follows compares bytes.
-            seen = found.setdefault(hash((g, (at - r) // BLOCK, text[first + BLOCK - 1 : first + length])), {})
-            if part in seen:
-                again.append((i, at, to - at))
-            else:
-                seen[part] = (i, at)
-            at = to
-    for seen in found.values():
-        if len(seen) > 1:
-            groups.append([(part, i, at) for part, (i, at) in seen.items()])
-    return again, groups
-
-
-def _ranked(strings: DataFrame, length: int) -> DataFrame:
-    """Runs of n windows (d, x, start, n) that stand earlier in another class of their gram."""
-
-    def merged(d, x, start, blocks) -> list[tuple]:
-        block, string, place = equal_windows([np.frombuffer(b, np.uint8) for b, _, _ in blocks], length)
-        row, off = (np.array([b[k] for b in blocks]) for k in (1, 2))
-        at = start[row[string]] + off[string] + place
-        order = np.lexsort((at, x[row[string]], d[row[string]], block))
-        block, string, at = block[order], string[order], at[order]
-        later = np.flatnonzero(np.concatenate(([False], block[1:] == block[:-1])))
-        return list(zip(row[string[later]].tolist(), at[later].tolist(), [1] * len(later)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["group"], least=MERGE):
+            data, ends = _binary(table["bytes"])
+            sizes = np.diff(ends, prepend=0)
+            u, d, x, place = (table[k].to_numpy() for k in ("u", "d", "x", "place"))
+            start = (place & ((1 << _FLAG) - 1)) >> _START
+            spots = np.lexsort((u, x, d))
+            document = np.empty(len(u), np.int64)
+            document[spots] = np.cumsum(np.concatenate(([0], np.diff(u[spots]) != 0)))
+            begin = np.repeat(ends - sizes, sizes)
+            offset = np.arange(len(data)) - begin
+            again, _ = repeated_windows(data, sizes, (np.repeat(document, sizes) << 40) | (np.repeat(start, sizes) + offset), length)
+            edge = np.diff(np.concatenate(([0], again.astype(np.int8), [0])))
+            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            string = np.searchsorted(ends, a, side="right")
+            none = pa.nulls(len(a), pa.binary())
+            yield _rows(1, u[string], d[string], x[string], ((start[string] + offset[a]) << _START) | (b - a), none)
+            alive = np.zeros(len(u), bool)
+            alive[np.searchsorted(ends, np.flatnonzero(_windows(ends, sizes, length) & ~again), side="right")] = True
+            alive &= place >> _FLAG > 0
+            if alive.any():
+                yield _rows(0, u[alive], d[alive], x[alive], place[alive] & ((1 << _FLAG) - 1), table["bytes"].filter(pa.array(alive)).combine_chunks())
+
+    return strings.repartition("group").sortWithinPartitions("group").mapInArrow(run, "kind int, " + _STRINGS.partition(", ")[2])
+
+
+def _rows(kind: int, u, d, x, place, taken: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *map(pa.array, (u, d, x, place)), taken], names=["kind", "u", "d", "x", "place", "bytes"])
+
+
+def _cut_finer(strings: DataFrame, length: int, block: int) -> DataFrame:
+    """Pieces of shorter blocks: core and the columns of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["gram"], least=20_000):
-            gram, d, x, start, rel = (table[c].to_numpy() for c in ("gram", "d", "x", "start", "rel"))
-            again, groups = _blocks(gram, d, x, start, rel, table["bytes"].to_pylist(), length)
-            out, held, size = [(i, int(start[i]) + at, n) for i, at, n in again], [], 0
-            for group in groups:
-                held += group
-                size += sum(len(b) for b, _, _ in group)
-                if size >= MERGE_BYTES:
-                    out += merged(d, x, start, held)
-                    held, size = [], 0
-            if held:
-                out += merged(d, x, start, held)
-            if out:
-                row, at, n = (np.array(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(x[row]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "x", "start", "n"])
-
-    sorted_ = strings.repartition("gram").sortWithinPartitions("gram")
-    return sorted_.mapInArrow(run, "d long, x long, start int, n int")
-
-
-def _by_window(strings: DataFrame, length: int) -> DataFrame:
-    """The same for grams of very many classes: every window is a row, and the earliest of each is found by pre-aggregated minima."""
-    places = F.sequence(F.lit(0), F.length("bytes") - length)
-    windows = strings.select("d", "x", "start", F.explode(F.transform(places, lambda p: F.struct(p.alias("p"), F.col("bytes").substr(p + 1, F.lit(length)).alias("w")))).alias("e"))
-    windows = windows.select("d", "x", (F.col("start") + F.col("e.p")).alias("start"), F.col("e.w").alias("w"))
-    earliest = stash(windows.groupBy("w").agg(F.min(F.struct("d", "x", "start")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "windows")
-    return windows.join(earliest, "w").filter(F.struct("d", "x", "start") != F.col("first")).select("d", "x", "start", F.lit(1).alias("n"))
+        for batch in batches:
+            if not len(batch):
+                continue
+            data, ends = _binary(batch.column("bytes"))
+            place = batch.column("place").to_numpy()
+            n, rel, begin = place & ((1 << _REL) - 1), (place >> _REL) & ((1 << _REL) - 1), ends - np.diff(ends, prepend=0)
+            row = np.repeat(np.arange(len(n)), n)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            number = (rel[row] - offset) // block
+            first = np.flatnonzero((offset == 0) | (np.diff(number, prepend=-1) != 0))
+            row, offset, number, n = row[first], offset[first], number[first], np.diff(np.append(first, len(number)))
+            core = _cores(data, begin[row] + rel[row], number, length, block)
+            taken = pa.array([data[a : a + b].tobytes() for a, b in zip((begin[row] + offset).tolist(), (n + length - 1).tolist())], pa.binary())
+            fresh = (((place[row] >> _START) + offset) << _START) | ((rel[row] - offset) << _REL) | n
+            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), *(pa.array(batch.column(k).to_numpy()[row]) for k in ("u", "d", "x")), pa.array(fresh), taken], names=["core", "u", "d", "x", "place", "bytes"])
+
+    return strings.select("u", "d", "x", "place", "bytes").mapInArrow(run, "core" + _STRINGS.partition("group")[2])
+
+
+def _repeats(texts: DataFrame, length: int) -> DataFrame:
+    """Runs (u, start, stop) of bytes that repeated windows cover, texts being different from each other."""
+    blocks = [min(b, length - GRAM + 1) for b in BLOCKS]
+    found = stash(_shared(_search(texts, length, blocks[0])), "pieces")
+    merged = stash(_merged(_strings(texts, _dealt(found), length), length), "merged")
+    start = F.shiftright("place", _START)
+    out, rest = merged.filter("kind = 1"), merged.filter("kind = 0")
+    for block in blocks[1:]:
+        if rest.isEmpty():
+            break
+        finer = stash(_cut_finer(rest, length, block), "pieces")
+        if block == 1:
+            first = finer.groupBy("bytes").agg(F.min(F.struct("d", "x", start.alias("s"), "u")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+            later = finer.join(stash(first, "windows"), "bytes").filter(F.struct("d", "x", start.alias("s"), "u") != F.col("first"))
+            out = out.unionByName(later.select(F.lit(1).alias("kind"), "u", "d", "x", "place", F.lit(None).cast("binary").alias("bytes")))
+        else:
+            merged = stash(_merged(_dealt(finer).select(*[c.split()[0] for c in _STRINGS.split(", ")]), length), "merged")
+            out, rest = out.unionByName(merged.filter("kind = 1")), merged.filter("kind = 0")
+    n = F.col("place").bitwiseAND(F.lit((1 << _REL) - 1))
+    return out.select("u", start.alias("start"), (start + n + (length - 1)).alias("stop"))
 
 
 def _cut(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, given intervals (d, x, start, stop)."""
-    lists = spans.groupBy(F.col("d").alias("_d"), F.col("x").alias("_x")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, given intervals (u, start, stop)."""
+    lists = spans.groupBy(F.col("u").alias("_u")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -388,7 +461,7 @@ def _cut(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
         return in_batches(batches, work, 8 << 20)
 
-    return rows.join(lists, ["_d", "_x"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(lists, "_u", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -402,14 +475,13 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     if length < GRAM:
         raise ValueError("the length is under a gram's")
-    rows = _ids(docs)
-    found = stash(_sorted_out(_search(rows, length)), "occurrences")
-    firsts = found.filter("kind = 0")
-    hot = stash(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CLASSES).select("gram"), "hot")
-    strings = stash(_strings(rows, firsts, length), "strings")
-    single = _ranked(strings.join(hot, "gram", "left_anti"), length)
-    if not hot.isEmpty():
-        single = single.unionByName(_by_window(strings.join(hot, "gram", "left_semi"), length))
-    runs_ = stash(single, "windows").unionByName(found.filter("kind = 1").select("d", "x", "start", "n"))
-    spans = runs_.select("d", "x", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
-    return _cut(rows, spans)
+    if length - GRAM >= 1 << _REL:
+        raise ValueError("the length is too long for a place's bits")
+    texts = _texts(docs)
+    groups = texts.filter(F.octet_length("text") >= length).groupBy("_sha").agg(F.min(F.struct("_d", "_u")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    copies = texts.select("_sha", "_d", "_u", F.octet_length("text").cast("long").alias("_size")).join(stash(groups, "groups"), "_sha").filter("_u <> _first._u")
+    copies = stash(copies.select("_u", "_size", F.when(F.col("_d") == F.col("_first._d"), F.col("_first._u")).alias("_of")), "copies")
+    spans = _repeats(texts.join(copies.select("_u"), "_u", "left_anti"), length)
+    whole = copies.filter("_of IS NULL").select(F.col("_u").alias("u"), F.lit(0).cast("long").alias("start"), F.col("_size").alias("stop"))
+    twins = spans.join(copies.filter("_of IS NOT NULL"), F.col("u") == F.col("_of")).select(F.col("_u").alias("u"), "start", "stop")
+    return _cut(texts, spans.unionByName(whole).unionByName(twins))

@@ -264,25 +264,54 @@ def brute_repeats(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("classes", [repeats.CLASSES, 3])
-def test_repeats(docs, none, texts, classes, monkeypatch):
-    monkeypatch.setattr(repeats, "CLASSES", classes)  # 3: most grams go window by window
+@pytest.mark.parametrize("part", [repeats.PART, 3])  # 3: most cores are dealt in parts and cut finer
+def test_repeats(docs, none, texts, part, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", part)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(docs).collect()}
     assert got == brute_repeats(texts)
     assert repeats.repeated_strings(none).count() == 0
 
 
-def test_merged_transforms_group_equal_windows(monkeypatch):
-    monkeypatch.setattr(repeats, "SHARD_BYTES", 300)
-    rng = np.random.default_rng(4)
+def test_repeats_of_a_gram_in_very_many_contexts(spark):
+    rng = np.random.default_rng(8)
+    gram, edge = "zq" * 25, ["".join(rng.choice(list("abcdefgh"), 60)) for _ in range(300)]
+    rows = [(i, edge[int(a)][int(c) :] + gram + edge[int(b)][: int(d)]) for i, (a, b, c, d) in enumerate(rng.integers(0, 60, (12_000, 4)) % [300, 300, 20, 60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(df).collect()}
+    assert got == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("length", [100, 33, 40, 48, 95])
+def test_merged_transforms_find_repeats_and_common_prefixes(length):
+    rng = np.random.default_rng(length)
     parts = [rng.integers(97, 100, 60).astype(np.uint8) for _ in range(4)]
-    strings = [np.concatenate([parts[a], parts[b], parts[c]]) for a, b, c in rng.integers(0, 4, (9, 3))]
-    block, string, place = repeats.equal_windows(strings, 100)
-    seen = defaultdict(set)
-    for k, s, p in zip(block, string, place):
-        seen[k].add(strings[s][p : p + 100].tobytes())
-    assert all(len(v) == 1 for v in seen.values())
-    assert len(seen) == len({strings[s][p : p + 100].tobytes() for s in range(9) for p in range(81)}) and len(block) == 9 * 81
+    strings = [np.concatenate([parts[a], parts[b], parts[c]])[: int(n)] for a, b, c, n in np.column_stack((rng.integers(0, 4, (25, 3)), rng.integers(101, 181, 25)))]
+    data, sizes = np.concatenate(strings), np.array([len(s) for s in strings])
+    starts = np.cumsum(sizes) - sizes
+    order = rng.permutation(len(data))  # any order of windows
+    want = np.zeros(len(data), bool)
+    first = {}
+    for p in sorted((int(a) + k for a, n in zip(starts, sizes) for k in range(n - length + 1)), key=lambda p: order[p]):
+        want[p] = first.setdefault(data[p : p + length].tobytes(), p) != p
+    for shards in (1, 3, 4):
+        again, _ = repeats.repeated_windows(data, sizes, order, length, shards)
+        assert (again == want).all()
+    # Shards' transforms, one after the other, and the common prefix of each place with its neighbours.
+    suffix = lambda p, s: data[p : starts[s] + sizes[s]].tobytes()
+    string = np.repeat(np.arange(len(sizes)), sizes)
+    bwt, _ = repeats.transform(data, sizes, length)
+    assert [suffix(p, string[p])[:length] for p in bwt] == sorted(suffix(p, string[p])[:length] for p in range(len(data)))
+    place = np.empty(len(data), np.int64)
+    place[bwt] = np.arange(len(data))
+    word, left = repeats._words(data), starts[string] + sizes[string] - np.arange(len(data))
+    before = np.where(bwt - starts[string[bwt]] >= 8, place[np.maximum(bwt - 8, 0)], -1)
+    symbol = np.unique(word[np.maximum(bwt - 8, 0)], return_inverse=True)[1].astype(np.uint64)
+    _, _, common = repeats.interleave(word[bwt], word[np.minimum(bwt + 8, len(data) - 1)], symbol, before, left[bwt], length)
+    for at in rng.choice(len(data), 60, replace=False):
+        p = int(bwt[at])
+        own = suffix(p, string[p])
+        most = max(len(__import__("os").path.commonprefix([own, suffix(q, string[q])])) for q in range(len(data)) if q != p)
+        assert common[at] <= most and (common[at] + 8 > min(most, length) or common[at] + 8 > len(own) or most < 8)
 
 
 def test_toxicity_grammar():
@@ -340,9 +369,9 @@ def test_pipeline(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 3])
-@pytest.mark.parametrize("classes", [repeats.CLASSES, 3])
-def test_repeats_of_rows_that_stand_twice(spark, texts, classes, parts, monkeypatch):
-    monkeypatch.setattr(repeats, "CLASSES", classes)
+@pytest.mark.parametrize("part", [repeats.PART, 3])
+def test_repeats_of_rows_that_stand_twice(spark, texts, part, parts, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", part)
     own = [(i, t) for i, t in texts if i != 4012 and i != 4014]
     own += [(i, t) for i, t in own[::2]] + [(0, own[0][1])]
     df = spark.createDataFrame(own, "doc_id long, text string").repartition(parts, F.rand(3))
