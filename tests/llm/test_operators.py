@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -296,22 +297,24 @@ def test_merged_transforms_find_repeats_and_common_prefixes(length):
     for shards in (1, 3, 4):
         again, _ = repeats.repeated_windows(data, sizes, order, length, shards)
         assert (again == want).all()
-    # Shards' transforms, one after the other, and the common prefix of each place with its neighbours.
+    # A shard's transform, and the common prefix of each place with its neighbours.
     suffix = lambda p, s: data[p : starts[s] + sizes[s]].tobytes()
     string = np.repeat(np.arange(len(sizes)), sizes)
-    bwt, _ = repeats.transform(data, sizes, length)
+    left, step = starts[string] + sizes[string] - np.arange(len(data)), repeats.STEP
+    name = repeats.names(data, left, step)
+    bwt, _ = repeats.transform(name, left, length)
     assert [suffix(p, string[p])[:length] for p in bwt] == sorted(suffix(p, string[p])[:length] for p in range(len(data)))
     place = np.empty(len(data), np.int64)
     place[bwt] = np.arange(len(data))
-    word, left = repeats._words(data), starts[string] + sizes[string] - np.arange(len(data))
-    before = np.where(bwt - starts[string[bwt]] >= 8, place[np.maximum(bwt - 8, 0)], -1)
-    symbol = np.unique(word[np.maximum(bwt - 8, 0)], return_inverse=True)[1].astype(np.uint64)
-    _, _, common = repeats.interleave(word[bwt], word[np.minimum(bwt + 8, len(data) - 1)], symbol, before, left[bwt], length)
+    before = np.where(bwt - starts[string[bwt]] >= step, place[np.maximum(bwt - step, 0)], -1)
+    depth = (length - 1) % step + 1
+    first = np.where(left[bwt] >= depth, repeats.names(data, left, depth)[bwt], 0)
+    _, _, common = repeats.interleave(first, name[np.maximum(bwt - step, 0)], before, depth, length)
     for at in rng.choice(len(data), 60, replace=False):
         p = int(bwt[at])
         own = suffix(p, string[p])
-        most = max(len(__import__("os").path.commonprefix([own, suffix(q, string[q])])) for q in range(len(data)) if q != p)
-        assert common[at] <= most and (common[at] + 8 > min(most, length) or common[at] + 8 > len(own) or most < 8)
+        most = max(len(os.path.commonprefix([own, suffix(q, string[q])])) for q in range(len(data)) if q != p)
+        assert common[at] <= most and (common[at] + step > min(most, length) or most < depth)
 
 
 def test_toxicity_grammar():
