@@ -375,16 +375,22 @@ def _portions(table: pa.Table, key: str, size: np.ndarray, most: int) -> Iterato
         at = to
 
 
-def _different(table: pa.Table, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are the earliest of their group's rows of the same bytes, and rows whose group has several such."""
+def _different(table: pa.Table, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that are the earliest of their group's rows of the same bytes, rows that are later than those, and rows whose group has several of the first kind.
+
+    A row of the same order as the earliest is that row once more, and neither.
+    """
     seen: dict[tuple[int, bytes], int] = {}
     group = table["group"].to_numpy()
     own = np.fromiter((seen.setdefault(k, len(seen)) for k in zip(group.tolist(), table["bytes"].to_pylist())), np.int64, len(table))
     by = np.lexsort((np.arange(len(own)), order, own))
     first = np.zeros(len(own), bool)
-    first[by[np.append(True, own[by][1:] != own[by][:-1])]] = True
+    begins = np.append(True, own[by][1:] != own[by][:-1])[: len(own)]
+    first[by[begins]] = True
+    later = np.empty(len(own), bool)
+    later[by] = _later(order[by], begins)
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    return first, np.repeat(np.add.reduceat(first.astype(np.int64), edge) > 1, np.diff(np.append(edge, len(group))))
+    return first, later, np.repeat(np.add.reduceat(first.astype(np.int64), edge) > 1, np.diff(np.append(edge, len(group))))
 
 
 def _merged(strings: DataFrame, length: int) -> DataFrame:
@@ -417,8 +423,8 @@ def _merged(strings: DataFrame, length: int) -> DataFrame:
             document = np.empty(len(d), np.int64)
             document[by] = np.cumsum(np.append(False, (d[by][1:] != d[by][:-1]) | (x[by][1:] != x[by][:-1])))
             order = (document << 40) | (plain >> _START)
-            first, several = _different(table, order)
-            yield _rows(1, d[~first], x[~first], plain[~first], pa.nulls(int((~first).sum()), pa.binary()))
+            first, later, several = _different(table, order)
+            yield _rows(1, d[later], x[later], plain[later], pa.nulls(int(later.sum()), pa.binary()))
             rest = np.flatnonzero(first & (several | (place >> _FLAG > 0)))
             table, order = table.take(pa.array(rest)).combine_chunks(), order[rest]
             at = 0

@@ -276,7 +276,7 @@ def test_repeats(docs, none, texts, part, monkeypatch):
 def test_repeats_of_a_gram_in_very_many_contexts(spark):
     rng = np.random.default_rng(8)
     gram, edge = "zq" * 25, ["".join(rng.choice(list("abcdefgh"), 60)) for _ in range(300)]
-    rows = [(i, edge[int(a)][int(c) :] + gram + edge[int(b)][: int(d)]) for i, (a, b, c, d) in enumerate(rng.integers(0, 60, (12_000, 4)) % [300, 300, 20, 60])]
+    rows = [(i, edge[int(a)][int(c) :] + gram + edge[int(b)][: int(d)]) for i, (a, b, c, d) in enumerate(rng.integers(0, 300, (11_000, 4)) % [300, 300, 20, 60])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(df).collect()}
     assert got == brute_repeats(rows)
