@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols (insult, threat, target, negation, reported speech, other).
-Transducers are composed over each clause: negation and reported speech mark
-the insults and threats in their scope, targets mark those next to a person
-addressed.  A clause is worth the weighted sum of its marked symbols, and a
-document's score is a logistic function of what its matched clauses add up to.
-The insults and all weights are learned from labelled documents.
+Small transducers say over a clause which words stand in the scope of a
+negation, of reported speech, of a target before them or of a target behind
+them.  They are composed into one machine for each direction, and what the two
+say of an insult or threat are its marks.  A clause is worth the sum of its
+marked insults and threats, each times the weight of its marks, which may be
+negative; a document's score is a logistic function of what its matched clauses
+add up to and of how densely they stand.  Insults and weights are learned from
+labelled documents.
 """
 
 from __future__ import annotations
@@ -25,12 +28,10 @@ from .common import in_batches, stash
 
 #: Labelled rows that the lexicon and the weights are fitted on at most, by the hash of doc_id.
 SAMPLE = 24_000
-#: Insult units kept at most, the strongest first.
+#: Insult units kept at most, the best attested first.
 UNITS = 4_000
-#: Toxic documents, of different text, that a unit must occur in.
-SUPPORT = 8
-#: How many times likelier a unit must be in toxic documents, by smoothed counts.
-RATIO = 60.0
+#: Letters of the beginnings of words that may be units.
+BEGINNINGS = (3, 4, 5, 6, 7)
 #: A document is predicted toxic from this score on.
 CUT = 0.7
 
@@ -41,46 +42,66 @@ REPORTED = set("said says saying wrote writes quoted called claimed reported acc
 THREAT = set("kill murder hurt shoot stab strangle burn destroy töten umbringen erschießen verletzen tuer frapper brûler matar golpear quemar".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[^.!?;:\n]+")
+_STOP = re.compile(r"[.!?;:\n]")
 #: Words that a negation or a target reaches.
 SCOPE = 3
-#: Marked symbols: what stands for the columns of the model.
-KINDS = ("insult", "insult target", "insult negated", "insult reported", "threat", "threat target", "threat negated", "threat reported")
+SYMBOLS = "IHTNRO"
+MARKS = ("negated", "reported", "targeted")
+#: What the weights stand for: all insults, those with each mark, the same of threats, and how densely insults and threats stand.
+KINDS = (*(" ".join((kind, *mark)) for kind in ("insult", "threat") for mark in ((), *((m,) for m in MARKS))), "density")
+#: What the weights are without a reason in the data to differ.
+PRIOR = (2.0, -1.0, -1.0, 0.5, 1.0, -1.0, -1.0, 0.5, 1.0)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """opens: the symbol that sets the counter to scope; each word lowers it by one. While it is above zero, symbols in `marks` are rewritten by it."""
-
-    opens: str
-    scope: int
-    marks: dict[str, str]
-
-    def run(self, symbols: list[str]) -> list[str]:
-        left, out = 0, []
-        for s in symbols:
-            if s == self.opens:
-                left = self.scope + 1
-            out.append(self.marks.get(s, s) if left > 0 else s)
-            left -= left > 0
-        return out
-
-
-_END = 1 << 30
-#: Negation first, then reported speech to the clause's end, then targets from either side; a marked symbol isn't marked again.
-GRAMMAR = (
-    Transducer("N", SCOPE, {"I": "insult negated", "H": "threat negated"}),
-    Transducer("R", _END, {"I": "insult reported", "H": "threat reported"}),
-    Transducer("T", SCOPE, {"I": "insult target", "H": "threat target"}),
-)
-
-
-def parse(symbols: list[str]) -> list[str]:
-    """The composed transducers over a clause's symbols."""
-    for t in GRAMMAR:
-        symbols = t.run(symbols)
-    symbols = GRAMMAR[-1].run(symbols[::-1])[::-1]
-    return [{"I": "insult", "H": "threat"}.get(s, s) for s in symbols]
+    """States from 0 on, the next state for each state and symbol, and the mark that a state puts on the word read in it (None: none)."""
+
+    step: tuple[dict[str, int], ...]
+    marks: tuple[frozenset[str], ...]
+
+
+def scope(opens: str, reach: int | None, mark: str) -> Transducer:
+    """Marks the next `reach` words behind each symbol `opens`, or all of them (None)."""
+    n = 1 if reach is None else reach
+    down = lambda q: q if reach is None else max(0, q - 1)
+    step = tuple({s: n if s == opens else down(q) for s in SYMBOLS} for q in range(n + 1))
+    return Transducer(step, tuple(frozenset({mark} if q else ()) for q in range(n + 1)))
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """One transducer that does what all do, one behind the other: its states are the reachable tuples of theirs."""
+    number = {(0,) * len(parts): 0}
+    todo, step = list(number), []
+    for state in todo:
+        row = {}
+        for s in SYMBOLS:
+            to = tuple(t.step[q][s] for t, q in zip(parts, state, strict=True))
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row[s] = number[to]
+        step.append(row)
+    return Transducer(tuple(step), tuple(frozenset().union(*(t.marks[q] for t, q in zip(parts, state, strict=True))) for state in todo))
+
+
+#: The machine that reads a clause forwards, the one that reads it backwards, and the numbers of the marks for each pair of their states.
+FORWARD = compose(scope("N", SCOPE, "negated"), scope("R", None, "reported"), scope("T", SCOPE, "targeted"))
+BACKWARD = compose(scope("T", SCOPE, "targeted"))
+_MARKED = [[tuple(i + 1 for i, m in enumerate(MARKS) if m in a | b) for b in BACKWARD.marks] for a in FORWARD.marks]
+
+
+def parse(symbols: list[str]) -> list[tuple[int, ...]]:
+    """For each symbol of a clause the numbers of its marks, from 1 on."""
+    before, q = [], 0
+    for s in symbols:
+        before.append(q)
+        q = FORWARD.step[q][s]
+    out, q = [], 0
+    for s, f in zip(reversed(symbols), reversed(before), strict=True):
+        out.append(_MARKED[f][q])
+        q = BACKWARD.step[q][s]
+    return out[::-1]
 
 
 @dataclass
@@ -88,7 +109,7 @@ class Model:
     """units: insults with their weights, a trailing * for a word's beginning; coefficients for KINDS; intercept."""
 
     units: dict[str, float] = field(default_factory=dict)
-    coefficients: list[float] = field(default_factory=lambda: [1.0] * len(KINDS))
+    coefficients: list[float] = field(default_factory=lambda: list(PRIOR))
     intercept: float = -3.0
 
     def automaton(self):
@@ -104,8 +125,28 @@ class Model:
         return found
 
 
+def clauses(low: str, hits: dict[int, tuple[str, float]]) -> Iterator[np.ndarray]:
+    """What each clause with a hit adds to KINDS but density; hits: symbol and weight by place."""
+    starts, until = iter(sorted(hits)), 0
+    at = next(starts, None)
+    while at is not None:
+        begin = max(until, *(low.rfind(c, until, at) + 1 for c in ".!?;:\n"))
+        stop = _STOP.search(low, at)
+        until = stop.end() if stop else len(low)
+        words = [(m.start(), m[0]) for m in _WORD.finditer(low, begin, until)]
+        symbols = [hits[i][0] if i in hits else "N" if w in NEGATION else "R" if w in REPORTED else "T" if w in TARGET else "O" for i, w in words]
+        sums = np.zeros(len(KINDS) - 1)
+        for (i, _), s, marks in zip(words, symbols, parse(symbols), strict=True):
+            if i in hits:
+                base = 0 if s == "I" else 1 + len(MARKS)
+                for k in (0, *marks):
+                    sums[base + k] += hits[i][1]
+        yield sums
+        at = next((x for x in starts if x >= until), None)
+
+
 def clause_sums(text: str, automaton) -> np.ndarray | None:
-    """Weights of the marked symbols of a text's matched clauses, summed by kind; None without a match."""
+    """KINDS summed over a text's matched clauses, and their density in a thousand words; None without a match."""
     low = text.lower()
     hits: dict[int, tuple[str, float]] = {}
     for end, (size, prefix, word, kind) in automaton.iter(low):
@@ -117,25 +158,14 @@ def clause_sums(text: str, automaton) -> np.ndarray | None:
             hits[start] = kind, weight
     if not hits:
         return None
-    sums = np.zeros(len(KINDS))
-    starts = iter(sorted(hits))
-    at, until = next(starts, None), 0
-    while at is not None:
-        begin = max(low.rfind(c, until, at) for c in ".!?;:\n") + 1 or until
-        clause = _CLAUSE.match(low, max(begin, until))
-        until = max(clause.end() if clause else at + 1, at + 1)
-        words = [(m.start(), m[0]) for m in _WORD.finditer(low, max(begin, 0), until)]
-        symbols = [hits[i][0] if i in hits else "N" if w in NEGATION else "R" if w in REPORTED else "T" if w in TARGET else "O" for i, w in words]
-        for (i, _), s in zip(words, parse(symbols)):
-            if s in KINDS:
-                sums[KINDS.index(s)] += hits[i][1]
-        at = next((x for x in starts if x >= until), None)
-    return sums
+    sums = np.sum(list(clauses(low, hits)), axis=0)
+    words = sum(1 for _ in _WORD.finditer(low))
+    return np.append(sums, 1000 * (sums[0] + sums[1 + len(MARKS)]) / words)
 
 
 def features(sums: np.ndarray) -> np.ndarray:
     """Each sum flattened, so that one clear clause counts much and the hundredth little."""
-    return 1 - np.exp(-sums)
+    return np.log1p(sums)
 
 
 def score(model: Model, sums: np.ndarray | None) -> float:
@@ -147,52 +177,117 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _units(words: Column) -> Column:
-    """A text's distinct words, and their beginnings of 4 to 6 letters."""
-    parts = F.flatten(F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in (4, 5, 6)])))
-    return F.array_distinct(F.array_compact(parts))
+def _contexts(rows: DataFrame) -> DataFrame:
+    """toxic, half and each different word of a text with the words beside it in its clause (context: before, word, after, with a space between)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: set[tuple[int, int, str]] = set()
+        for toxic, half, text in zip(*(batch.column(k).to_pylist() for k in ("toxic", "half", "text")), strict=True):
+            for clause in _STOP.split(text.lower()):
+                words = ["", *_WORD.findall(clause), ""]
+                found.update((toxic, half, " ".join(three)) for three in zip(words, words[1:], words[2:]))
+        toxic, half, context = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(half, pa.int32()), pa.array(context, pa.string())], names=["toxic", "half", "context"])
+
+    return rows.select(F.col("toxic").cast("int").alias("toxic"), "half", "text").mapInArrow(lambda batches: in_batches(batches, work, 1 << 20), "toxic int, half int, context string")
+
+
+def _units(word: Column) -> Column:
+    """A word and its beginnings."""
+    return F.array_compact(F.array(word, *[F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in BEGINNINGS]))
+
+
+def _gain(bad: Column, rows: Column, toxic: int, total: int) -> Column:
+    """Likelihood-ratio statistic of a unit's being commoner in toxic documents; 0 if it isn't."""
+    rate, part = toxic / total, lambda n, of, base: F.when(n > 0, n * F.log(n / of / base)).otherwise(0.0)
+    good, without, clean = rows - bad, total - rows, total - toxic - rows + bad
+    sides = part(bad, rows, rate) + part(good, rows, 1 - rate) + part(toxic - bad, without, rate) + part(clean, without, 1 - rate)
+    return F.when((rows > 0) & (bad > rows * rate), 2 * sides).otherwise(0.0)
+
+
+def gain(bad: float, rows: float, toxic: int, total: int) -> float:
+    """The same of numbers."""
+    if rows <= 0 or bad <= rows * toxic / total:
+        return 0.0
+    part = lambda n, of, base: n * math.log(n / of / base) if n > 0 else 0.0
+    rate, without = toxic / total, total - rows
+    return 2 * (part(bad, rows, rate) + part(rows - bad, rows, 1 - rate) + part(toxic - bad, without, rate) + part(without - toxic + bad, without, 1 - rate))
+
+
+def lexicon(counts: list[tuple[str, int, int]], toxic: int, total: int, chance: float) -> dict[str, float]:
+    """Weights (log odds, shrunk) of units given as (unit, toxic contexts, contexts).
+
+    From the longest on, each unit that is better attested than chance takes its
+    contexts; a word's beginning is judged by what the longer ones leave of it.
+    """
+    taken: dict[str, tuple[int, int]] = {}
+    out = {}
+    for unit, bad, rows in sorted(counts, key=lambda c: (-len(c[0].rstrip("*")), c[0].endswith("*"), c[0])):
+        own = unit.rstrip("*")
+        a, b = taken.get(unit, (0, 0))
+        if gain(bad - a, rows - b, toxic, total) <= chance:
+            continue
+        out[unit] = math.log((bad - a + 0.5) / (toxic + 1) * (total - toxic + 1) / (rows - b - bad + a + 0.5))
+        for n in (n for n in BEGINNINGS if n < len(own)):
+            c, d = taken.get(own[:n] + "*", (0, 0))
+            taken[own[:n] + "*"] = c + bad - a, d + rows - b
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled documents whose crc32(doc_id) mod 3 is not 1.
 
-    At most `sample` labelled rows are used, those of the smallest hashes; half
-    of them for the insults, the other half for the weights.  Only text and
-    toxic are read of them.  Without labels of both kinds the model finds nothing.
+    At most `sample` labelled rows are used, those of the smallest hashes; only
+    text and toxic are read of them.  A unit is taken when its likelihood ratio
+    is higher than the best of as many units by chance would be.  The weights
+    are fitted on hits that the other half's insults find, the insults of the
+    model are those of both halves.  Without labels of both kinds the model
+    finds nothing but threats.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` pairs of numbers go to every executor.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = stash(rows.dropDuplicates(["text"]).withColumn("half", F.crc32(F.col("doc_id").cast("string")) % 3 == 0), "labelled")
-    first = rows.filter("half")
-    counts = first.select("toxic", F.explode(_units(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("unit")).groupBy("unit").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
-    totals = first.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("all")).first()
-    if not totals["bad"] or totals["bad"] == totals["all"]:
+    rows = stash(rows.dropDuplicates(["text"]).withColumn("half", (F.crc32(F.col("doc_id").cast("string")) % 3 == 0).cast("int")), "labelled")
+    sums = [f(F.when(F.col("half") == h, v)).alias(f"{n}{h}") for h in (0, 1) for f, n, v in ((F.sum, "bad", F.col("toxic")), (F.count, "all", F.lit(1)))]
+    whole = [F.coalesce(F.col(f"{n}{h}"), F.lit(0)).alias(f"{n}{h}") for h in (0, 1) for n in ("bad", "all")]
+    # Copies of a document bring no evidence of their own: words are counted in different contexts.
+    seen = _contexts(rows).groupBy("context").agg(F.min("toxic").alias("toxic"), F.min("half").alias("half"))
+    words = seen.groupBy(F.get(F.split("context", " "), F.lit(1)).alias("word")).agg(*sums).select("word", *whole)
+    words = stash(words, "words")
+    counts = words.select(F.explode(_units(F.col("word"))).alias("unit"), "bad0", "all0", "bad1", "all1").groupBy("unit").agg(*(F.sum(f"{n}{h}").alias(f"{n}{h}") for h in (0, 1) for n in ("bad", "all")))
+    totals = words.agg(*(F.coalesce(F.sum(f"{n}{h}"), F.lit(0)).alias(f"{n}{h}") for h in (0, 1) for n in ("bad", "all"))).first()
+    halves = [(totals[f"bad{h}"], totals[f"all{h}"]) for h in (0, 1)]
+    halves.append(tuple(map(sum, zip(*halves))))
+    if not 0 < halves[2][0] < halves[2][1]:
         return Model()
-    fair = (totals["all"] - totals["bad"] + 1) / (totals["bad"] + 1)
-    ratio = (F.col("bad") + 0.5) / (F.col("all") - F.col("bad") + 0.5) * fair
-    best = counts.filter(F.col("bad") >= SUPPORT).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO)
-    units = {r["unit"]: math.log(r["ratio"] / (RATIO / 4)) / math.log(4) for r in best.orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()}
-    model = Model(units)
-    found = _sums(rows.filter("NOT half").select("doc_id", "text", "toxic"), model).toPandas()
-    if found["toxic"].nunique() == 2:
-        model.coefficients, model.intercept = _logistic(features(np.array(found["sums"].tolist(), float)), found["toxic"].to_numpy(float))
-    return model
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[list[float], float]:
-    """Weights that are never negative, by Newton steps on the penalised likelihood, those that fall below zero set to it."""
+    counts = stash(counts, "units")
+    chance = 2 * math.log(max(2, counts.count()))
+    columns = [("bad0", "all0"), ("bad1", "all1"), ("bad0 + bad1", "all0 + all1")]
+    gains = [_gain(F.expr(b), F.expr(a), *t) if 0 < t[0] < t[1] else F.lit(0.0) for (b, a), t in zip(columns, halves, strict=True)]
+    named = counts.withColumns({f"gain{i}": g for i, g in enumerate(gains)})
+    best = [named.filter(F.col(f"gain{i}") > chance).orderBy(F.desc(f"gain{i}"), "unit").limit(UNITS).select("unit", F.expr(b).alias("bad"), F.expr(a).alias("rows")) for i, (b, a) in enumerate(columns)]
+    units = [lexicon([tuple(r) for r in part.collect()], *t, chance) for part, t in zip(best, halves, strict=True)]
+    found = [_sums(rows.filter(F.col("half") == h), Model(units[1 - h])).toPandas() for h in (0, 1)]
+    x, y = ([v for part in found for v in part[c].tolist()] for c in ("sums", "toxic"))
+    coefficients, intercept = _logistic(features(np.array(x, float)), np.array(y, float))
+    return Model(units[2], coefficients, intercept)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
+    """Weights of any sign, by Newton steps on the likelihood with a normal prior of variance one about PRIOR."""
     x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * len(x) ** 0.5)
-    penalty[-1] = 1e-6
-    for _ in range(60):
+    w = np.array([*PRIOR, -3.0])
+    prior, penalty = w.copy(), np.append(np.ones(len(PRIOR)), 1e-6)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * penalty @ (w - prior) ** 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + penalty * w)
-        w = w - np.clip(step, -2, 2)
-        w[:-1] = np.maximum(w[:-1], 0)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * (w - prior))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return w[:-1].tolist(), float(w[-1])
 

@@ -320,15 +320,32 @@ def test_merged_transforms_find_repeats_and_common_prefixes(length):
 def test_toxicity_grammar():
     model = toxicity.Model({"scum": 2.0, "lowe*": 1.0})
     a = model.automaton()
-    kinds = lambda t: {k: v for k, v in zip(toxicity.KINDS, s) if v} if (s := toxicity.clause_sums(t, a)) is not None else None
+    kinds = lambda t: {k: v for k, v in zip(toxicity.KINDS[:-1], s) if v} if (s := toxicity.clause_sums(t, a)) is not None else None
     assert kinds("nothing here") is None
     assert kinds("what a scum indeed") == {"insult": 2.0}
-    assert kinds("you scum!") == {"insult target": 2.0}
-    assert kinds("he is not a scum. scum") == {"insult negated": 2.0, "insult": 2.0}
-    assert kinds("the paper quoted the word scum") == {"insult reported": 2.0}
-    assert kinds("i will kill you") == {"threat target": 1.0}
+    assert kinds("you scum!") == {"insult": 2.0, "insult targeted": 2.0}
+    assert kinds("scum are they") == {"insult": 2.0, "insult targeted": 2.0}
+    assert kinds("he is not a scum. scum") == {"insult": 4.0, "insult negated": 2.0}
+    assert kinds("the paper quoted the word scum") == {"insult": 2.0, "insult reported": 2.0}
+    assert kinds("i will kill you") == {"threat": 1.0, "threat targeted": 1.0}
     assert kinds("loweish viscum") == {"insult": 1.0}
-    assert 0 <= toxicity.score(model, None) <= 1
+    assert toxicity.clause_sums("you scum a b", a)[-1] == 500
+    assert 0 <= toxicity.score(model, None) < toxicity.score(model, toxicity.clause_sums("not a scum", a)) < toxicity.score(model, toxicity.clause_sums("you scum", a)) <= 1
+
+
+def test_toxicity_machine_against_its_definition():
+    rng, reach = np.random.default_rng(6), toxicity.SCOPE
+    for n in (0, 1, 2, 5, 9, 30):
+        for _ in range(40):
+            s = list(rng.choice(list(toxicity.SYMBOLS), n))
+            want = [tuple(k for k, m in ((1, "N" in s[max(0, i - reach) : i]), (2, "R" in s[:i]), (3, "T" in s[max(0, i - reach) : i] + s[i + 1 : i + 1 + reach])) if m) for i in range(n)]
+            assert toxicity.parse(s) == want
+    assert len(toxicity.FORWARD.step) <= (reach + 1) * 2 * (reach + 1)
+
+
+def test_toxicity_lexicon_takes_beginnings_by_what_longer_units_leave():
+    found = toxicity.lexicon([("wor*", 60, 400), ("worthless", 55, 55), ("abc*", 40, 41), ("abcd*", 2, 2), ("the", 5, 500)], 100, 10_000, 30.0)
+    assert set(found) == {"worthless", "abc*"} and found["worthless"] > found["abc*"] > 0
 
 
 def test_toxicity_end_to_end(spark):
