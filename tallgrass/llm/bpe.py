@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from .segments import SLICE_BYTES, SegmentEncoder, ragged_take
 #: Fixed value: white space as the reference encoder's \s has it; Python's own also takes U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _NONE = np.int32(np.iinfo(np.int32).max)
+#: Words of more bytes are merged by themselves: a round of a row costs its width, and it has as many rounds as merges.
+LONG = 2048
 
 
 class PairTable:
@@ -99,6 +102,11 @@ class MatrixBPE:
         placed.append(done)
         lens[done] = 1
         rest = np.flatnonzero(whole < 0)
+        for i in rest[sizes[rest] > LONG].tolist():
+            flats.append(self._long(raw[starts[i] : starts[i] + sizes[i]]))
+            placed.append(np.array([i]))
+            lens[i] = len(flats[-1])
+        rest = rest[sizes[rest] <= LONG]
         width = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(1, sizes[rest]))).astype(np.int64))
         for w in np.unique(width):
             rows = rest[width == w]
@@ -151,6 +159,62 @@ class MatrixBPE:
             ranks[each[inner], at[inner]] = right[inner]
         return out[columns < n[:, None]], n
 
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of one long word: each round merges all pairs of the smallest rank, from the left.
+
+        A round ends early behind a merge that makes a pair of a smaller rank,
+        which is next then.  Pairs wait in lists by rank, so that a round costs
+        no more than what it merges.
+        """
+        n = len(raw)
+        ids, after, before = np.append(raw, np.int32(-1)), np.arange(1, n + 2), np.arange(-1, n)  # -1 at the end merges with nothing
+        after[n] = n
+        rank = np.append(self.table.ranks(ids[:-1], ids[1:]), _NONE)
+        lists: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in lists:
+                    lists[r] = []
+                    heapq.heappush(heap, r)
+                lists[r].append(part)
+
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(lists.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # Of pairs that overlap in a row, every other one.
+            row = np.append(True, after[at[:-1]] != at[1:])
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(row, np.arange(len(at)), 0))) % 2 == 0]
+            behind = after[after[at]]
+            left = np.where(np.append(False, behind[:-1] == at[1:]), r, ids[before[at]]).astype(np.int32)
+            left[before[at] < 0] = -1
+            token = np.full(len(at), r, np.int32)
+            smaller = np.flatnonzero((self.table.ranks(token, ids[behind]) < r) | (self.table.ranks(left, token) < r))
+            rest = at[:0]
+            if len(smaller):
+                rest, at = at[smaller[0] + 1 :], at[: smaller[0] + 1]
+                behind = behind[: len(at)]
+            rank[after[at]] = _NONE
+            ids[at], after[at] = r, behind
+            before[behind] = at
+            fresh = np.unique(np.concatenate((at, before[at])))
+            fresh = fresh[fresh >= 0]
+            rank[fresh] = self.table.ranks(ids[fresh], ids[after[fresh]])
+            wait(np.concatenate((fresh, rest)))
+        out, i = [], 0
+        while i < n:
+            out.append(i)
+            i = int(after[i])
+        return ids[np.array(out, np.int64)]
+
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each segment: the matches of the pattern, each merged by itself, each distinct one once."""
         found = [self.words(s) for s in segments]

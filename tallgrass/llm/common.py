@@ -135,6 +135,29 @@ def components(edges: DataFrame) -> DataFrame:
         now = stash(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
+def keep_one(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of documents that a table of decisions keeps, with all their columns.
+
+    decided: id, key and kept for each row of docs, in any order.  All rows of
+    one doc_id and key (a digest of the text) have one fate; of those that are
+    kept one row stays.  A null doc_id is an id like any other.
+    """
+    own = "_key_of_tallgrass"  # stands beside columns of any names
+    keys = decided.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    keys = stash(keys.filter("NOT kept OR rows > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "kept"), "decided")
+    marked = docs.withColumn(own, key)
+
+    def without(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return df.join(some, df["doc_id"].eqNullSafe(some["_id"]) & (df[own] == some["_key"]), how)
+
+    left = without(marked, keys.filter("NOT kept").drop("kept"), "left_anti")
+    twice = keys.filter("kept").drop("kept")
+    if twice.isEmpty():
+        return left.drop(own)
+    once = without(left, twice, "left_semi").dropDuplicates(["doc_id", own])
+    return without(left, twice, "left_anti").unionByName(once).drop(own)
+
+
 def in_batches(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Applies work to runs of rows of about `most` bytes of a column."""
     from .segments import byte_slices

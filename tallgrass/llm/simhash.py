@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, forest, in_batches, runs, stash, tiled
+from .common import components, forest, in_batches, keep_one, runs, stash, tiled
 from .segments import SLICE_BYTES
 
 #: Bits of the segments, lowest first.
@@ -45,17 +46,18 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of each document; null: empty."""
+    """All columns of documents but text, and fp (the fingerprint's 64 bits as a long); null and empty texts: 0. Rows that repeat stay; an empty table gives none."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         values = np.array([fingerprint(t or b"", words) for t in texts], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(values.view(np.int64))], names=[*rest, "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches(batches, work, SLICE_BYTES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in rest), StructField("fp", LongType())]))
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -166,17 +168,37 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """
     if radius > 3 * len(SEGMENTS) - 1:
         raise ValueError("the segments don't bound so large a radius")
-    marked = stash(fingerprints(docs, words), "fingerprints")
+    marked = stash(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
+    named = _components(marked, radius)
+    joined = marked.join(named, marked["fp"] == named["_fp"], "left")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
+
+
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """_fp and _component of each fingerprint that has a doc_id."""
     classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
     found = components(_links(_entries(classes), radius))
     # Few classes have links: most keep their own smallest doc_id.
     named = classes.join(found, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("_component"))
-    named = stash(named, "named")
-    joined = marked.join(named, marked["fp"] == named["_fp"], "left")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
+    return stash(named, "named")
 
 
 def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group, the smallest doc_id, with all its columns; rows with a null doc_id stay."""
-    gone = near_groups(docs, words, radius).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stash(gone, "gone"), "doc_id", "left_anti")
+    """One document of each group, the smallest doc_id, with all its columns.
+
+    Rows are decided by id and text: of several rows of that id in a group the
+    one of the smallest fingerprint stays, once; an id that stands on several
+    texts loses only those that are copies.  A row with a null doc_id goes where
+    a row with an id has its fingerprint; else one row of each such text stays.
+    """
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    marked = stash(fingerprints(docs.select("doc_id", key.alias("key"), "text"), words), "fingerprints")
+    named = _components(marked, radius)
+    joined = marked.join(named, marked["fp"] == named["_fp"], "left")
+    own = joined.filter(F.col("doc_id") == F.col("_component"))
+    # Ids are seldom repeated: few groups have several texts of their smallest id.
+    many = own.groupBy(F.col("doc_id").alias("_first")).agg(F.min(F.struct("fp", "key")).alias("_least"), F.max(F.struct("fp", "key")).alias("_most")).filter("_least <> _most")
+    decided = joined.join(stash(many.select("_first", "_least"), "many"), F.col("doc_id") == F.col("_first"), "left")
+    same = F.coalesce(F.struct("fp", "key") == F.col("_least"), F.lit(True))
+    kept = F.when(F.col("doc_id").isNull(), F.col("_component").isNull()).otherwise((F.col("doc_id") == F.col("_component")) & same)
+    return keep_one(docs, key, decided.select(F.col("doc_id").alias("id"), "key", kept.alias("kept")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, in_batches, scratch_path
+from .common import exists, in_batches, scratch_path, stash
 from .segments import SLICE_BYTES, shared_encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -73,14 +73,15 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     cache: folder of the cache table, made if missing and kept for later calls;
     None: one for this call alone.  Null and empty texts have 0 tokens; repeated
     rows and ids stay; an empty table gives none; other columns are ignored.
-    Calls that append to one cache at the same time must not overlap.
+    A digest that stands in the cache twice counts once.
     """
     spark = docs.sparkSession
     version = file_digest(tokenizer)
     cache = cache or scratch_path(spark, "counts")
     if not exists(spark, cache):
         spark.createDataFrame([], CACHE).write.parquet(cache)
-    known = lambda: spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # Whoever appends a digest twice does no harm.
+    known = lambda: spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     text = docs.select("doc_id", content(F.col("text")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -89,8 +90,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches(batches, work, SLICE_BYTES)
 
-    missing = text.select("digest", "text").dropDuplicates(["digest"]).join(known(), "digest", "left_anti")
-    counted = missing.mapInArrow(encode, "digest binary, n_tokens long")
+    # Digests meet the cache first, so that texts which have a count aren't moved.
+    missing = stash(text.select("digest").distinct().join(known(), "digest", "left_anti"), "missing")
+    texts = text.select("digest", "text").join(missing, "digest", "left_semi").dropDuplicates(["digest"])
+    counted = texts.mapInArrow(encode, "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     rows = text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return rows.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

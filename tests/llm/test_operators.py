@@ -66,18 +66,47 @@ def test_exact(docs, none, texts):
 
 def test_exact_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, None), (3, "")], "doc_id long, text string")
-    got = sorted((str(r.doc_id), r.keep_id, r.group_size) for r in exact.exact_groups(df).collect())
-    assert got == [("1", 1, 3), ("1", 1, 3), ("2", 2, 2), ("3", 2, 2), ("None", 1, 3)]
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(df).collect())
+    assert got == [("1", 1, 3, False), ("1", 1, 3, True), ("2", 2, 2, True), ("3", 2, 2, False), ("None", 1, 3, False)]
+
+
+EDGES = [(1, "a b c d e"), (1, "a b c d e"), (2, "x y z"), (2, "a b c d e"), (None, "a b c d e"), (None, "n n"), (None, "n n"), (3, None), (4, "")]
+
+
+@pytest.mark.parametrize("dedup", [exact.exact_dedup, simhash.near_dedup])
+def test_dedup_keeps_one_row_of_each_text_whatever_the_ids(spark, dedup):
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(EDGES)], "doc_id long, text string, _key long").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in dedup(df).select("doc_id", "text").collect())
+    assert got == [("1", "a b c d e"), ("2", "x y z"), ("3", None), ("None", "n n")]
+    assert dedup(df).columns == df.columns
+
+
+def test_edge_rows_in_every_operator(spark, library, tmp_path):
+    df = spark.createDataFrame(EDGES, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("fp", "digest", "ids", "start", "n_tokens", "spans", "_u", "score")})
+    n = {t: len(library.encode(t or "", add_special_tokens=False).ids) for _, t in EDGES}
+    ids = Counter(str(i) for i, _ in EDGES)
+    assert Counter(str(r.doc_id) for r in secrets.span_digest(df).collect()) == ids
+    assert Counter((str(r.doc_id), r.n_tokens) for r in token_counts.token_counts(df, JSON).collect()) == Counter((str(i), n[t]) for i, t in EDGES)
+    assert Counter((str(r.doc_id), r.length) for r in packing.packed(df, JSON).collect()) == Counter((str(i), n[t] + 1) for i, t in EDGES)
+    files = dac.token_files(df, JSON, str(tmp_path / "tokens")).collect()
+    assert Counter((str(r.doc_id), r.n_tokens) for r in files) == Counter((str(i), n[t] + 1) for i, t in EDGES)
+    assert {r.start for r in files} == set(np.cumsum([0, *(r.n_tokens for r in sorted(files, key=lambda r: r.start))])[:-1].tolist())
+    assert Counter(str(r.doc_id) for r in repeats.repeated_strings(df).collect()) == ids
+    assert Counter((str(r.doc_id), r.decoded_sha256) for r in bpe.round_trip(df, RANKS, P.PATTERN).collect()) == Counter((str(i), sha((t or "").encode())) for i, t in EDGES)
+    groups = {(str(r.doc_id), r.fingerprint): r.component_id for r in simhash.near_groups(df).collect()}
+    assert groups["2", f"{fingerprint(EDGES[0][1]):016x}"] == 1 and groups["4", "0" * 16] == 3
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert Counter(str(r.doc_id) for r in toxicity.toxicity(df, labels).collect()) == ids
 
 
 def test_chunks_with_one_hash_are_told_apart(spark):
-    df = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "doc_id long, _text string").withColumn("_chunks", F.array("_text"))
-    df = df.withColumn("_recipe", F.transform("_chunks", lambda c: F.struct(F.lit(7).cast("long").alias("h"), F.lit(0).alias("r")))).withColumn("text_sha256", F.lit(""))
-    h = F.xxhash64(F.col("_text"))
-    distinct = df.select(h.alias("_h"), F.col("_text").alias("_chunk")).distinct()
-    told = exact._told_apart(df, distinct, distinct.select("_h"))
+    df = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one"), (4, None)], "doc_id long, _text string").withColumn("text_sha256", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    recipe = df.withColumn("_recipe", F.when(F.col("_text").isNull(), F.array().cast("array<struct<h:bigint,r:int>>")).otherwise(F.array(F.struct(F.lit(7).cast("long").alias("h"), F.lit(0).alias("r")))))
+    distinct = df.filter("doc_id < 4").select(F.lit(7).cast("long").alias("_h"), F.col("_text").alias("_chunk")).distinct()
+    places = df.filter("doc_id < 4").select(F.col("text_sha256").alias("_sha"), F.lit(0).alias("_pos"), F.lit(7).cast("long").alias("_h"), F.col("_text").alias("_chunk"))
+    told = exact._told_apart(recipe, places, distinct, distinct.select("_h").distinct())
     recipes = {r.doc_id: r._recipe for r in told.collect()}
-    assert recipes[1] == recipes[3]
+    assert recipes[1] == recipes[3] and recipes[1] != recipes[2] and recipes[4] == []
 
 
 def test_token_counts(spark, docs, none, texts, library, tmp_path):
@@ -88,6 +117,8 @@ def test_token_counts(spark, docs, none, texts, library, tmp_path):
             n = len(library.encode(t or "", add_special_tokens=False).ids)
             assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 1024)
     assert spark.read.parquet(cache).count() == len({t or "" for _, t in texts})
+    spark.read.parquet(cache).limit(5).write.mode("append").parquet(cache)  # a digest that stands twice
+    assert token_counts.token_counts(docs, JSON, cache).count() == len(texts)
     assert token_counts.token_counts(none, JSON).count() == 0
 
 
@@ -169,6 +200,17 @@ def test_bpe(docs, none, texts):
     assert bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_of_very_long_words():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, rng = bpe.MatrixBPE(RANKS, P.PATTERN), np.random.default_rng(9)
+    words = ["z" * 5001, "ab" * 3000, "".join(rng.choice(list("etaoinshrdlu"), 9000)), "the" * 2000 + "quick" * 999, "\u00e9" * 4000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "a" * (1 << 20)]
+    for w in words:
+        ids, lens = own.merge([w.encode()])
+        assert ids.tolist() == enc._encode_single_piece(w.encode()), len(w)
+        assert lens.tolist() == [len(ids)] and own.decode(ids.tolist()) == w.encode()
+
+
 def fingerprint(text: str) -> int:
     words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
     if not words:
