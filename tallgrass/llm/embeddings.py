@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import components, forest, runs, stash, tiled
 
 #: Coordinates after which the bound is looked at.
 CUTS = (8, 16, 32)
-#: Vectors of a tile.
-TILE = 1024
+#: Vectors of a tile, and of a block of it that is compared at a time.
+TILE, BLOCK = 4096, 1024
 #: Products this near to the threshold are taken again from the vectors as given.
 NEAR = 1e-9
 
@@ -70,64 +71,111 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float, upper: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of x and y, with their products, that can reach the threshold; upper: only i < j."""
+def tails(x: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    """Norms of what each row has behind each cut."""
+    return [np.sqrt((x[:, c:] ** 2).sum(axis=1)) for c in cuts]
+
+
+def reachable(x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows can have a product of `least`, by leading coordinates and the norms of the rest."""
+    return x @ y.T + tx[:, None] * ty >= least
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float, upper: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of x and y, with their products, that can reach the threshold, by blocks of x; upper: only i < j."""
     dim = x.shape[1]
     cuts = [c for c in CUTS if c < dim] + [dim]
-    tails = [(np.sqrt((x[:, c:] ** 2).sum(axis=1)), np.sqrt((y[:, c:] ** 2).sum(axis=1))) for c in cuts]
-    least, product = threshold - NEAR, x[:, : cuts[0]] @ y[:, : cuts[0]].T
-    alive = product + tails[0][0][:, None] * tails[0][1] >= least
-    if upper:
-        alive &= np.arange(len(x))[:, None] < np.arange(len(y))
-    done = cuts[0]
-    if np.count_nonzero(alive) > alive.size // 8:  # so many pairs are cheaper as a whole matrix
-        product += x[:, done:] @ y[:, done:].T
-        i, j = np.nonzero(alive & (product >= least))
-        return i, j, product[i, j]
-    i, j = np.nonzero(alive)
-    found = []
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        p, done = product[a, b], cuts[0]
-        for c, (tx, ty) in zip(cuts[1:], tails[1:], strict=True):
-            p = p + np.einsum("ij,ij->i", x[a, done:c], y[b, done:c])
-            keep, done = p + tx[a] * ty[b] >= least, c
-            a, b, p = a[keep], b[keep], p[keep]
-        keep = p >= least
-        found.append((a[keep], b[keep], p[keep]))
-    return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (i, j, product[i, j])
-
-
-def _found(dealt: DataFrame, threshold: float) -> DataFrame:
-    """For each class and tile pair in which it has links: node, links (vectors linked), root (smallest node of its part there)."""
-    keys = ["label", "dim", "cell", "lo", "hi"]
+    ends, least, lead = list(zip(tails(x, cuts), tails(y, cuts), strict=True)), threshold - NEAR, cuts[0]
+    for low in range(0, len(x), BLOCK):
+        part = slice(low, low + BLOCK)
+        alive = reachable(x[part, :lead], ends[0][0][part], y[:, :lead], ends[0][1], least)
+        if upper:
+            alive &= np.arange(low, low + len(alive))[:, None] < np.arange(len(y))
+        i, j = np.nonzero(alive)
+        i, found = i + low, []
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            p, done = np.einsum("ij,ij->i", x[a, :lead], y[b, :lead]), lead
+            for c, (tx, ty) in zip(cuts[1:], ends[1:], strict=True):
+                p = p + np.einsum("ij,ij->i", x[a, done:c], y[b, done:c])
+                keep, done = p + tx[a] * ty[b] >= least, c
+                a, b, p = a[keep], b[keep], p[keep]
+            keep = p >= least
+            found.append((a[keep], b[keep], p[keep]))
+        if found:
+            yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+KEYS = ["label", "dim", "cell", "lo", "hi"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of one pair of tiles from batches sorted by KEYS."""
+    for table in runs(batches, KEYS, least=1):
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for c in (table[k].to_numpy() for k in KEYS):
+            new[1:] |= c[1:] != c[:-1]
+        edges = [*np.flatnonzero(new).tolist(), len(table)]
+        for a, b in zip(edges, edges[1:]):
+            if b - a > 1:
+                yield table.slice(a, b - a)
+
+
+def _sides(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Which rows of a pair of tiles meet: a cell's own with its own and with those of the cell below; True: the same rows on both sides."""
+    side, tile = table["side"].to_numpy(), table["tile"].to_numpy()
+    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+    own = [np.flatnonzero((side == s) & (tile == t)) for s in (0, 1) for t in (lo, hi)]
+    pairs = [(own[0], own[0], True), (own[0], own[2], False)] if lo == hi else [(own[0], own[1], False), (own[0], own[3], False), (own[1], own[2], False)]
+    return [p for p in pairs if len(p[0]) and len(p[1])]
+
+
+def _candidates(dealt: DataFrame, threshold: float) -> DataFrame:
+    """The rows of each pair of tiles whose leading coordinates (lead, the last one the norm of the rest) can reach the threshold with another's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            lead = np.frombuffer(b"".join(table["lead"].to_pylist()), np.float64).reshape(len(table), -1)
+            hit = np.zeros(len(table), bool)
+            for left, right, same in _sides(table):
+                for at in range(0, len(left), BLOCK):
+                    rows = left[at : at + BLOCK]
+                    alive = reachable(lead[rows, :-1], lead[rows, -1], lead[right, :-1], lead[right, -1], threshold - NEAR)
+                    if same:
+                        alive[np.arange(len(rows)), at + np.arange(len(rows))] = False
+                    hit[rows] |= alive.any(axis=1)
+                    hit[right] |= alive.any(axis=0)
+            if hit.any():
+                yield from table.drop_columns(["lead"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    fields = [f for f in dealt.schema if f.name != "lead"]
+    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, StructType(fields))
+
+
+def _found(dealt: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """For each class (row) and pair of tiles in which it has links: row, links (vectors linked), root (smallest row of its part there)."""
 
     def group(table: pa.Table) -> pa.RecordBatch | None:
-        dim = table["dim"][0].as_py()
-        data = np.frombuffer(b"".join(table["turned"].to_pylist()), np.float64).reshape(-1, dim)
-        given = np.frombuffer(b"".join(table["given"].to_pylist()), np.float64).reshape(-1, dim)
-        node, copies, side, tile = (table[c].to_numpy() for c in ("node", "copies", "side", "tile"))
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        own = [np.flatnonzero((side == s) & (tile == t)) for s in (0, 1) for t in (lo, hi)]
-        pairs = [(own[0], own[0], True), (own[0], own[2], False)] if lo == hi else [(own[0], own[1], False), (own[0], own[3], False), (own[1], own[2], False)]
-        links, a, b = np.zeros(len(node), np.int64), [], []
-        for left, right, upper in pairs:
-            if not len(left) or not len(right):
-                continue
-            i, j, p = linked(data[left], data[right], threshold, upper)
-            i, j = left[i], right[j]
-            close = np.flatnonzero(p < threshold + NEAR)
-            keep = np.ones(len(i), bool)
-            for at in range(0, len(close), 1 << 15):
-                c = close[at : at + (1 << 15)]
-                x, y = given[i[c]], given[j[c]]
-                keep[c] = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))) >= threshold
-            i, j = i[keep], j[keep]
-            links += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
-            if len(i):
-                x, y = forest(node[i], node[j])
-                a.append(x)
-                b.append(y)
+        given = _matrix(table["embedding"].combine_chunks())
+        data = _unit(given) @ axes[given.shape[1]]
+        node, copies = table["row"].to_numpy(), table["copies"].to_numpy()
+        links, a, b = np.zeros(len(node), np.int64), [node[:0]], [node[:0]]
+        for left, right, upper in _sides(table):
+            for i, j, p in linked(data[left], data[right], threshold, upper):
+                i, j = left[i], right[j]
+                close = np.flatnonzero(p < threshold + NEAR)
+                keep = np.ones(len(i), bool)
+                for at in range(0, len(close), 1 << 15):
+                    c = close[at : at + (1 << 15)]
+                    x, y = given[i[c]], given[j[c]]
+                    keep[c] = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))) >= threshold
+                i, j = i[keep], j[keep]
+                links += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
+                if len(i):
+                    x, y = forest(node[i], node[j])
+                    a.append(x)
+                    b.append(y)
         hit = np.flatnonzero(links)
         if not len(hit):
             return None
@@ -135,21 +183,14 @@ def _found(dealt: DataFrame, threshold: float) -> DataFrame:
         root = node[hit].copy()
         at = np.minimum(np.searchsorted(x, root), len(x) - 1)
         root = np.where(x[at] == root, y[at], root)
-        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(root)], names=["node", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(root)], names=["row", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, keys, least=1):
-            cols = [table[k].to_numpy() for k in keys]
-            new = np.zeros(len(table), bool)
-            new[0] = True
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            edges = [*np.flatnonzero(new).tolist(), len(table)]
-            for a, b in zip(edges, edges[1:]):
-                if b - a > 1 and (out := group(table.slice(a, b - a))) is not None:
-                    yield out
+        for table in _groups(batches):
+            if (out := group(table)) is not None:
+                yield out
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, links long, root long")
+    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, "row long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -159,12 +200,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     cosine reaches the threshold.  Null and zero vectors, and those with null
     or non-finite components, link with nothing, as do rows with a null
     vec_id; vectors of different lengths never link.  Equal vectors of a label
-    are one class with a number of copies.
+    are one class with a number of copies; rows that repeat a vec_id stay, and
+    link with each other as different vectors do.
     """
     usable = vectors.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
     key = [F.col("label").cast("long").alias("label"), "embedding"]
     classes = usable.select("vec_id", *key).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = stash(classes.withColumn("dim", F.size("embedding")), "classes")
+    # Classes of one smallest vec_id, which repeated ids make, are told apart by a number.
+    classes = stash(classes.withColumns({"dim": F.size("embedding"), "row": F.monotonically_increasing_id()}), "classes")
     axes = principal_axes(classes)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9)
 
@@ -173,19 +216,37 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                given = _matrix(part.column("embedding"))
-                turned = _unit(given) @ axes[int(dim)]
+                turned = _unit(_matrix(part.column("embedding"))) @ axes[int(dim)]
+                cut = min(CUTS[0], int(dim))
+                lead = pa.array([r.tobytes() for r in np.column_stack((turned[:, :cut], tails(turned, [cut])[0]))])
                 cell = np.floor(turned[:, 0] / width).astype(np.int32)
                 for side in (0, 1):  # a cell meets itself and the next one
-                    yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), pa.array(cell - side), pa.array(np.full(len(part), side, np.int32)), part.column("node"), part.column("copies"), pa.array([r.tobytes() for r in turned]), pa.array([r.tobytes() for r in given])], names=["label", "dim", "cell", "side", "node", "copies", "turned", "given"])
-
-    entries = classes.mapInArrow(turn, "label long, dim int, cell int, side int, node long, copies long, turned binary, given binary")
-    found = stash(_found(tiled(entries, ["label", "dim", "cell"], F.col("node"), TILE, F.min("side") == 0), threshold), "links")
-    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "node", "left").join(parts, "node", "left").filter("copies > 1 OR links > 0")
+                    yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), pa.array(cell - side), pa.array(np.full(len(part), side, np.int32)), part.column("row"), lead], names=["label", "dim", "cell", "side", "row", "lead"])
+
+    entries = classes.select("label", "dim", "row", "embedding").mapInArrow(turn, "label long, dim int, cell int, side int, row long, lead binary")
+    dealt = tiled(entries, ["label", "dim", "cell"], F.col("row"), TILE, F.min("side") == 0)
+    near = stash(_candidates(dealt, threshold), "candidates")
+    # Whole vectors go only to the pairs of tiles in which they may link.
+    whole = near.join(classes.select("row", "copies", "embedding"), "row")
+    found = stash(_found(whole, axes, threshold), "links")
+    parts = components(found.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")
+    links = found.groupBy("row").agg(F.sum("links").alias("links"))
+    linked_ = stash(classes.join(links, "row", "left").join(parts, "row", "left").filter("copies > 1 OR links > 0"), "parts")
+    least = linked_.filter("component IS NOT NULL").groupBy("component").agg(F.min("node").alias("_least"))
+    named = linked_.join(least, "component", "left").withColumn("component", F.col("_least"))
     named = stash(named.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_component")), "named")
     rows = vectors.select("vec_id", *key).withColumn("_on", F.when(F.col("vec_id").isNotNull() & _usable(F.col("embedding")), F.col("label")))
     joined = rows.join(named, (F.col("_on") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")), "left")
     component = F.coalesce("_component", "vec_id")
     return joined.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT t.vec_id, coalesce(n.n_links, 0) AS n_links, least(t.vec_id, coalesce(c.least, t.vec_id)) AS component_id, t.vec_id = least(t.vec_id, coalesce(c.least, t.vec_id)) AS kept
+FROM embeddings t LEFT JOIN n ON n.a = t.vec_id LEFT JOIN c ON c.a = t.vec_id"""

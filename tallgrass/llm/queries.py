@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact.ORACLE}
+    return {"op2_exact_dedup": exact.ORACLE, "op5_embedding_near_dedup": embeddings.ORACLE}

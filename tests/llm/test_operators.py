@@ -264,7 +264,9 @@ def test_components_of_a_chain_a_star_and_nulls(spark):
     assert got == {**{i: 100 for i in range(100, 165)}, **{i: 7 for i in [7, *range(1000, 1200)]}}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("tile", [embeddings.TILE, 16])  # 16: most labels are dealt in tiles
+def test_embeddings(spark, tile, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", tile)
     rng = np.random.default_rng(1)
     rows, centres = [], rng.normal(size=(3, 16))
     for i in range(240):
@@ -283,12 +285,21 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.filter("vec_id < 0")).count() == 0
 
 
+def test_embeddings_of_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.01, 0.0]
+    rows = [(1, a, 0), (1, a, 0), (1, b, 0), (2, b, 0), (None, a, 0), (3, c, 0), (4, c, 1)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got[:2] == [("1", 1, "1", True), ("1", 2, "1", True)] or got[0][0] == "1"
+    by = {(i, n): c for i, n, c, _ in got}
+    assert len(got) == 7 and by["None", 0] == "None" and by["3", 2] == "1" and by["4", 0] == "4" and by["2", 1] == "1"
+
+
 def test_tile_comparison_is_exact():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 64)) * np.linspace(2, 0.1, 64)
     x[150:] = x[:150] + rng.normal(size=(150, 64)) * 0.05
     x = embeddings._unit(x)
-    i, j, _ = embeddings.linked(x, x, 0.98, upper=True)
+    i, j, _ = (np.concatenate(c) for c in zip(*embeddings.linked(x, x, 0.98, upper=True)))
     want = np.argwhere(np.triu(x @ x.T >= 0.98 - embeddings.NEAR, 1))
     assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want.tolist()))
 
