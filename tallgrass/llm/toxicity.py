@@ -30,6 +30,8 @@ from .common import in_batches, stash
 SAMPLE = 24_000
 #: Insult units kept at most, the best attested first.
 UNITS = 4_000
+#: Weight of a unit at least: it is ten times likelier in toxic contexts.
+LEAST = math.log(10)
 #: Letters of the beginnings of words that may be units.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A document is predicted toxic from this score on.
@@ -227,7 +229,10 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: int, total: int, chance:
         a, b = taken.get(unit, (0, 0))
         if gain(bad - a, rows - b, toxic, total) <= chance:
             continue
-        out[unit] = math.log((bad - a + 0.5) / (toxic + 1) * (total - toxic + 1) / (rows - b - bad + a + 0.5))
+        weight = math.log((bad - a + 0.5) / (toxic + 1) * (total - toxic + 1) / (rows - b - bad + a + 0.5))
+        if weight < LEAST:
+            continue
+        out[unit] = weight
         for n in (n for n in BEGINNINGS if n < len(own)):
             c, d = taken.get(own[:n] + "*", (0, 0))
             taken[own[:n] + "*"] = c + bad - a, d + rows - b
