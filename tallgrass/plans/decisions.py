@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..operators import contacts as C
@@ -263,14 +259,3 @@ SELECT o_custkey, min(o_orderkey) AS pick FROM orders WHERE o_orderpriority = '1
 def heuristic_dm_label(spark, sf_dir):
     """Owners with exactly one candidate of the wanted title."""
     return table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("pick")).filter("n = 1").select("o_custkey", "pick")
-
-
-@F.pandas_udf(StringType())
-def _token(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: hmac.new(b"message-id", (t or "").encode(), hashlib.sha256).hexdigest()[:24])
-
-
-@query()
-def message_id_tokens(spark, sf_dir):
-    """Keyed digests of messages; no built-in gives them."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", _token(F.concat_ws("|", "conv_id", "turn", "text")).alias("token"))

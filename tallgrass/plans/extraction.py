@@ -12,7 +12,7 @@ LEGAL_SQL = r"\b(llc|l\.l\.c\.|inc\.?|incorporated|ltd\.?|limited|gmbh|s\.?a\.?|
 EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 TRACKING_SQL = "['utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref']"
 HOST_SQL = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
-SECOND_SQL = "('co.uk','org.uk','me.uk','ltd.uk','plc.uk','com.au','net.au','org.au','co.nz','co.za','com.br','com.mx','co.in','com.eg','co.jp','com.sg','com.tr')"
+SECOND_SQL = str(tuple(T.SECOND_LEVEL))
 STRIP_SQL = "regexp_replace(" * 4 + "html" + "".join(rf", '(?is)<{t}\b.*?(</{t}\s*>|$)', '', 'g')" for t in ("script", "style", "noscript", "template"))
 
 
