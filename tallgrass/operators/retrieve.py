@@ -1,4 +1,4 @@
-"""Keyword and vector retrieval. Queries are blocks against all rows; what is broadcast is checked for its size."""
+"""Keyword retrieval: a stated set of queries against all rows."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Rows of queries up to which their terms are broadcast.
-FEW = 10_000
-
 
 def terms(rows: DataFrame, id_: str, text: str, least: int = 3) -> DataFrame:
     """(id, term) for each occurrence of a word of some length."""
