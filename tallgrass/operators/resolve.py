@@ -91,3 +91,53 @@ def newest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.round(F.size(F.array_intersect(a, b)) / union, 3)).otherwise(0.0)
+
+
+def match_cascade(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, match_id, how): which stored row each incoming one merges into: by key, by place, by phone; else new.
+
+    Both hold id, key, place_id, phone, name, postal; stored rows also seq,
+    their order. A phone only counts with a shared name token or postal
+    district, and a row with a place never joins another with one; a register
+    row (no place) also takes the only stored row of its phone. Tokens and
+    districts are an index of one row each per phone, so a switchboard shared
+    by many rows makes no pairs of rows.
+    """
+    s = stored.select("id", "key", "place_id", "phone", "name", "postal", "seq")
+    first = lambda when=None: F.min_by("id", F.col("seq") if when is None else F.when(when, F.col("seq")))
+    by_key = s.filter("key IS NOT NULL").groupBy("key").agg(first().alias("_k"))
+    by_place = s.filter("place_id <> ''").groupBy("place_id").agg(first().alias("_p"))
+    lone = s.filter("phone <> ''").groupBy("phone").agg(F.when(F.count(F.lit(1)) == 1, F.min("id")).alias("_only"))
+    district = lambda: F.concat(F.lit("\t"), F.lower(F.substring_index(F.col("postal"), " ", 1)))
+    marks = lambda: F.array_distinct(F.concat(F.coalesce(T.name_tokens(F.col("name")), F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("postal") != "", district())))))
+    index = s.filter("phone <> ''").withColumn("mark", F.explode(marks())).groupBy("phone", "mark").agg(
+        F.min(F.struct("seq", "id")).alias("_any"), F.min(F.when(F.col("place_id").isNull() | (F.col("place_id") == ""), F.struct("seq", "id"))).alias("_bare")
+    )
+    i = incoming.select("id", "key", "place_id", "phone", "name", "postal")
+    hits = i.filter("phone <> ''").select(F.col("id"), "phone", "place_id", F.explode(marks()).alias("mark")).join(index, ["phone", "mark"])
+    hits = hits.groupBy("id").agg(F.min(F.when(F.coalesce(F.col("place_id"), F.lit("")) != "", F.col("_bare")).otherwise(F.col("_any"))).alias("h"))
+    j = i.join(by_key, "key", "left").join(by_place, "place_id", "left").join(hits, "id", "left").join(lone, "phone", "left")
+    register = F.coalesce(F.col("place_id"), F.lit("")) == ""
+    phone = F.coalesce("h.id", F.when(register, F.col("_only")))
+    how = F.when(F.col("_k").isNotNull(), "key").when(F.col("_p").isNotNull(), "place").when(phone.isNotNull(), "phone").otherwise("new")
+    return j.select("id", F.coalesce("_k", "_p", phone).alias("match_id"), how.alias("how"))
+
+
+def repair_by_phone(rows: DataFrame) -> DataFrame:
+    """(drop_id, keep_id): register rows that fold into the listing of their phone, the one of most reviews, where both may be the same business.
+
+    Rows: id, place_id, phone, name, postal, reviews. Listings never fold.
+    One listing per phone is kept in mind, so a shared phone makes no pairs.
+    """
+    listed = F.coalesce(F.col("place_id"), F.lit("")) != ""
+    a = rows.filter(listed & (F.col("phone") != "")).groupBy("phone").agg(F.max_by(F.struct(F.col("id").alias("i"), F.col("name").alias("n"), F.col("postal").alias("p")), F.struct(F.coalesce("reviews", F.lit(0)), "id")).alias("k"))
+    b = rows.filter(~listed).join(a, "phone").filter(F.coalesce(same_business(F.col("name"), F.col("postal"), F.col("k.n"), F.col("k.p")), F.lit(False)))
+    return b.select(F.col("id").alias("drop_id"), F.col("k.i").alias("keep_id"))
+
+
+def facts_merged(old: Column, new: Column, last_wins: bool) -> Column:
+    """Two maps of facts as one; of a fact in both the new one stays if last_wins, else the old one."""
+    keep, other = (new, old) if last_wins else (old, new)
+    empty = F.create_map().cast("map<string,string>")
+    keep, other = F.coalesce(keep, empty), F.coalesce(other, empty)
+    return F.map_concat(keep, F.map_filter(other, lambda k, _: ~F.map_contains_key(keep, k)))
