@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -83,6 +83,11 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def _firsts(xs: Column, key) -> Column:
+    """Of elements of one key the first."""
+    return T.let(F.transform(xs, lambda x: key(x)), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+
+
 def visible_text(html: Column) -> Column:
     """The text of markup; tags within a line join what they stand between, all others part it."""
     inline = F.regexp_replace(T.strip_noise(html), r"(?i)</?(a|b|em|font|i|small|span|strong|u)\b[^>]*>", "")
@@ -93,35 +98,37 @@ def links(html: Column) -> Column:
     return F.transform(_all(html, LINK), lambda u: F.trim(u))
 
 
-def with_emails(rows: DataFrame, html: str, out: str = "emails") -> DataFrame:
-    """Adds an array of (email, label), label role or personal, in order of appearance.
+def emails(html: Column) -> Column:
+    """An array of (email, label), label role or personal: deliberate addresses first, then as they appear.
 
     Links to addresses and hidden addresses count wherever they stand, plain
     ones outside scripts and styles. An address that ends another one goes if
     only raw markup shows it, or if the longer one is a role's. Null markup: null.
     """
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, "&#64;|&#x40;|&commat;", "@"), "&amp;", "&")
-    h, local = F.col(html), lambda e: F.substring_index(e, "@", 1)
+    h, local = html, lambda e: F.substring_index(e, "@", 1)
     tidy = lambda a: F.transform(a, lambda e: F.lower(F.regexp_replace(e, r"""^[\s.,;:<>()\[\]"']+|[\s.,;:<>()\[\]"']+$""", "")))
     junk = lambda e: F.exists(F.array(*map(F.lit, JUNK_HOSTS)), lambda j: F.contains(e, j))
     sound = lambda a: F.array_distinct(F.filter(tidy(a), lambda e: e.rlike(f"^{T.EMAIL}$") & ~junk(e) & ~local(e).isin(T.PLACEHOLDERS)))
     deliberate = F.concat(_all(plain(h), r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']mailto:([^"'?]*)"""), F.array_compact(F.transform(_all(h, 'data-cfemail="([0-9a-fA-F]+)"'), decode_hidden_email)))
-    spoken = F.transform(_all(F.col("_text"), AT_DOT, 0), lambda m: F.regexp_replace(m, AT_DOT, "$1@$2.$3"))
-    staged = rows.withColumn("_text", plain(visible_text(h))).withColumns({
-        "_sure": sound(F.concat(deliberate, _all(F.col("_text"), T.EMAIL, 0), spoken)),
-        "_any": sound(F.concat(deliberate, _all(plain(T.strip_noise(h)), T.EMAIL, 0), _all(F.col("_text"), T.EMAIL, 0), spoken)),
-    })
-    longer = lambda e: F.exists("_any", lambda o: (o != e) & F.endswith(o, e) & (~F.array_contains("_sure", e) | local(o).isin(T.ROLES)))
-    kept = F.filter("_any", lambda e: ~longer(e))
-    labelled = F.transform(kept, lambda e: F.struct(e.alias("email"), F.when(local(e).isin(T.ROLES), "role").otherwise("personal").alias("label")))
-    return staged.withColumn(out, labelled).drop("_text", "_sure", "_any")
+    spoken = lambda text: F.transform(_all(text, AT_DOT, 0), lambda m: F.regexp_replace(m, AT_DOT, "$1@$2.$3"))
+
+    def found(text: Column) -> Column:
+        shown = F.concat(_all(text, T.EMAIL, 0), spoken(text))
+        return F.struct(sound(F.concat(deliberate, shown)).alias("sure"), sound(F.concat(deliberate, _all(plain(T.strip_noise(h)), T.EMAIL, 0), shown)).alias("all"))
+
+    def kept(x: Column) -> Column:
+        longer = lambda e: F.exists(x["all"], lambda o: (o != e) & F.endswith(o, e) & (~F.array_contains(x["sure"], e) | local(o).isin(T.ROLES)))
+        return F.filter(x["all"], lambda e: ~longer(e))
+
+    labelled = lambda e: F.struct(e.alias("email"), F.when(local(e).isin(T.ROLES), "role").otherwise("personal").alias("label"))
+    return F.transform(T.let(T.let(plain(visible_text(h)), found), kept), labelled)
 
 
 def socials(html: Column) -> Column:
     """The first link of each social network, without parameters: an array of (network, url)."""
     known = F.filter(F.transform(F.filter(links(html), lambda u: u.startswith("http")), lambda u: F.struct(T.social_network(u).alias("network"), F.substring_index(u, "?", 1).alias("url"))), lambda x: x["network"].isNotNull())
-    names = F.transform(known, lambda x: x["network"])
-    return F.filter(known, lambda x, i: F.array_position(names, x["network"]) == i + 1)
+    return T.let(known, lambda xs: _firsts(xs, lambda x: x["network"]))
 
 
 def _within(host: Column, hosts: list[str]) -> Column:
@@ -150,9 +157,11 @@ def booking_platform(html: Column) -> Column:
 
 def booking_text(text: Column) -> Column:
     """Whether a word of booking stands within four words of "book"."""
-    w = F.transform(_all(text, "[A-Za-z']+", 0), F.lower)
-    near = lambda i: F.concat(F.slice(w, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4))), F.slice(w, i + 2, 4))
-    return F.exists(F.transform(w, lambda x, i: (x == "book") & F.arrays_overlap(near(i), F.array(*map(F.lit, BOOKING_WORDS)))), lambda b: b)
+    def shown(w: Column) -> Column:
+        near = lambda i: F.concat(F.slice(w, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4))), F.slice(w, i + 2, 4))
+        return F.exists(F.transform(w, lambda x, i: (x == "book") & F.arrays_overlap(near(i), F.array(*map(F.lit, BOOKING_WORDS)))), lambda b: b)
+
+    return T.let(F.transform(_all(text, "[A-Za-z']+", 0), F.lower), shown)
 
 
 def signals(html: Column, url: Column, year: int, stale_after: int) -> dict[str, Column]:
@@ -207,10 +216,12 @@ def headcount_range(n: Column) -> Column:
 
 def windows(text: Column, pattern: str, most: int | None = None) -> Column:
     """(start from 0, match) of a pattern's matches, the first ones where most is given."""
-    parts, found = F.split(text, pattern, -1), _all(text, pattern, 0)
-    taken = F.slice(found, 1, most) if most else found
-    before = lambda i: F.length(F.array_join(F.slice(parts, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
-    return F.transform(taken, lambda m, i: F.struct(before(i).alias("start"), m.alias("match")))
+    def placed(x: Column) -> Column:
+        parts, found = x["parts"], x["found"]
+        before = lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
+        return F.transform(F.slice(found, 1, most) if most else found, lambda m, i: F.struct(before(i).alias("start"), m.alias("match")))
+
+    return T.let(F.struct(F.split(text, pattern, -1).alias("parts"), _all(text, pattern, 0).alias("found")), placed)
 
 
 def _around(text: Column, w: Column, before: int, after: int) -> Column:
@@ -220,18 +231,17 @@ def _around(text: Column, w: Column, before: int, after: int) -> Column:
 
 def triggers(text: Column, industry: Column, most: int = 3) -> Column:
     """At most so many (text, strength, date), strong ones first; the date is the latest year beside a match, null without one."""
-    def of(pattern: str, strength: str) -> Column:
-        snippet = lambda w: T.clean_name(_around(text, w, 80, 80))
+    def of(t: Column, pattern: str, strength: str) -> Column:
         year = lambda s: F.array_max(_all(s, r"\b(20\d{2})\b"))
-        found = F.transform(windows(text, f"(?i){pattern}", most), snippet)
-        return F.transform(found, lambda s: F.struct(F.substring(s, 1, 240).alias("text"), F.lit(strength).alias("strength"), F.concat(year(s), F.lit("-01-01")).alias("date")))
+        snippets = F.transform(windows(t, f"(?i){pattern}", most), lambda w: T.clean_name(_around(t, w, 80, 80)))
+        return F.transform(snippets, lambda s: F.struct(F.substring(s, 1, 240).alias("text"), F.lit(strength).alias("strength"), F.concat(year(s), F.lit("-01-01")).alias("date")))
 
-    both = {k: F.concat(of(strong, "strong"), of(medium, "medium")) for k, (strong, medium) in TRIGGERS.items()}
-    pick, name = None, F.lower(F.coalesce(industry, F.lit("")))
-    for k, v in both.items():
-        if k:
-            pick = F.when(name == k, v) if pick is None else pick.when(name == k, v)
-    return F.slice(pick.otherwise(both[""]), 1, most)
+    def found(t: Column) -> Column:
+        both = {k: F.concat(of(t, strong, "strong"), of(t, medium, "medium")) for k, (strong, medium) in TRIGGERS.items()}
+        name = F.lower(F.coalesce(industry, F.lit("")))
+        return F.slice(F.coalesce(*[F.when(name == k, v) for k, v in both.items()], both[""]), 1, most)
+
+    return T.let(text, found)
 
 
 def freshness(date: Column, today: Column) -> Column:
@@ -247,13 +257,16 @@ def review_noise(window: Column) -> Column:
 def people(text: Column, url: Column, most: int = 8) -> Column:
     """Names beside titles: an array of (name, title, context), context team or other. A name behind its title is preferred to one before it."""
     good = lambda zone: F.filter(_all(zone, NAME), lambda n: ~F.lower(n).isin(NO_NAMES) & ~n.rlike(TITLES) & ~F.exists(F.split(F.lower(n), r"\s+"), lambda t: t.isin(NO_NAME_WORDS)))
-    end = lambda w: w["start"] + F.length(w["match"])
-    after = lambda w: F.get(good(F.substring(text, end(w) + 1, F.lit(60))), F.lit(0))
-    zone = lambda w: F.substring(text, F.greatest(w["start"] - 59, F.lit(1)), F.least(w["start"], F.lit(60)))
-    name = lambda w: F.coalesce(after(w), F.try_element_at(good(zone(w)), F.lit(-1)))
-    around = lambda w: _around(text, w, 120, 120)
-    team = lambda w: around(w).rlike(TEAM_TEXT) | F.coalesce(url.rlike(TEAM_URL), F.lit(False))
-    hits = F.filter(windows(text, TITLES), lambda w: ~review_noise(around(w)))
-    found = F.filter(F.transform(hits, lambda w: F.struct(name(w).alias("name"), F.initcap(w["match"]).alias("title"), F.when(team(w), "team").otherwise("other").alias("context"))), lambda p: p["name"].isNotNull())
-    keys = F.transform(found, lambda p: F.lower(p["name"]))
-    return F.slice(F.filter(found, lambda p, i: F.array_position(keys, F.lower(p["name"])) == i + 1), 1, most)
+
+    def found(t: Column) -> Column:
+        end = lambda w: w["start"] + F.length(w["match"])
+        after = lambda w: F.get(good(F.substring(t, end(w) + 1, F.lit(60))), F.lit(0))
+        zone = lambda w: F.substring(t, F.greatest(w["start"] - 59, F.lit(1)), F.least(w["start"], F.lit(60)))
+        name = lambda w: F.coalesce(after(w), F.try_element_at(good(zone(w)), F.lit(-1)))
+        around = lambda w: _around(t, w, 120, 120)
+        team = lambda w: around(w).rlike(TEAM_TEXT) | F.coalesce(url.rlike(TEAM_URL), F.lit(False))
+        hits = F.filter(windows(t, TITLES), lambda w: ~review_noise(around(w)))
+        people = F.transform(hits, lambda w: F.struct(name(w).alias("name"), F.initcap(w["match"]).alias("title"), F.when(team(w), "team").otherwise("other").alias("context")))
+        return F.filter(people, lambda p: p["name"].isNotNull())
+
+    return F.slice(T.let(T.let(text, found), lambda ps: _firsts(ps, lambda p: F.lower(p["name"]))), 1, most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Facts that set a business apart, the order in which facts go when a packet is too long, claims and denials.
 DISTINCTIVE = ["legal_name", "incorporated_year", "company_status", "booking", "site_stale", "hiring", "phone_confirmed", "gbp_appointments", "review_name"]
 DROP_ORDER = [
@@ -62,9 +64,12 @@ def _tokens(frame: Column, found: Column) -> Column:
 
 def trimmed(p: Column, most: int) -> Column:
     """A packet's facts without the least worth, as far as it must shrink; then from the end. Nothing but facts goes."""
-    frame = _frame_chars(p)
-    by_worth = F.aggregate(F.array(*map(F.lit, DROP_ORDER)), p["facts"], lambda kept, k: F.when(_tokens(frame, kept) > most, F.filter(kept, lambda f: f["k"] != k)).otherwise(kept))
-    return F.aggregate(F.sequence(F.lit(1), F.size(p["facts"]) + 1), by_worth, lambda kept, _: F.when((_tokens(frame, kept) > most) & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept))
+    def kept(frame: Column) -> Column:
+        by_worth = F.aggregate(F.array(*map(F.lit, DROP_ORDER)), p["facts"], lambda facts, k: F.when(_tokens(frame, facts) > most, F.filter(facts, lambda f: f["k"] != k)).otherwise(facts))
+        each = F.sequence(F.lit(1), F.size(p["facts"]) + 1)
+        return F.aggregate(each, by_worth, lambda facts, _: F.when((_tokens(frame, facts) > most) & (F.size(facts) > 0), F.slice(facts, F.lit(1), F.size(facts) - 1)).otherwise(facts))
+
+    return T.let(_frame_chars(p), kept)
 
 
 def grade(found: Column) -> Column:
@@ -108,7 +113,11 @@ def inferred_fact(p: Column, subject: Column, observation: Column) -> Column:
 def gate(p: Column, subject: Column, observation: Column, used_fact: Column) -> Column:
     """Why a draft fails, as an array of KIND:detail; empty where it passes. Null texts count as empty."""
     subject, observation = F.coalesce(subject, F.lit("")), F.coalesce(observation, F.lit(""))
-    text, hay = F.concat(subject, F.lit("\n"), observation), haystack(p)
+    return T.let(haystack(p), lambda hay: _reasons(p, hay, subject, observation, used_fact))
+
+
+def _reasons(p: Column, hay: Column, subject: Column, observation: Column, used_fact: Column) -> Column:
+    text = F.concat(subject, F.lit("\n"), observation)
     found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tag = lambda kind, a: F.transform(a, lambda x: F.concat(F.lit(f"{kind}:"), x))
     when = lambda kind, c: F.when(F.coalesce(c, F.lit(False)), F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))

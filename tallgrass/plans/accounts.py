@@ -30,6 +30,12 @@ def pick(values: list, k: Column) -> Column:
     return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (k % len(values)).cast("int"))
 
 
+def each(rows, key: str, found: Column, *fields: str):
+    """A row for each element. An outer explode keeps Spark from working the array out once more to drop empty ones first."""
+    found = rows.select(key, F.explode_outer(found).alias("x")).filter("x IS NOT NULL")
+    return found.select(key, *[F.col(f"x.{f}") for f in fields])
+
+
 def pages_with(spark, sf_dir, passages: list):
     """Pages, each with one of the passages behind its markup, by its key."""
     k = F.col("page_id")
@@ -55,14 +61,14 @@ def page_emails(spark, sf_dir):
         text('<a class="c" href="mailto:Sales@shop', k, '.com?subject=x">write</a>'), text("<p>joe", k, " [at] shop", k, " [dot] com</p>"), text("<p><b>i</b>nfo@shop", k, ".com</p>"),
         text('<script>var m="x@shop', k, '.com";</script><p>test@shop.com</p>'), "<p>ann@shop.com, joann@shop.com, logo@2x.png</p>", f'<span data-cfemail="{HIDDEN}">hidden</span>',
     ])
-    return S.with_emails(pages, "html").select("page_id", F.explode("emails").alias("e")).select("page_id", "e.email", "e.label")
+    return each(pages, "page_id", S.emails(F.col("html")), "email", "label")
 
 
 @query("""
 SELECT page_id, 'facebook' AS network, 'https://www.facebook.com/p' || page_id AS url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'x', 'https://x.com/p' FROM pages WHERE page_id % 2 = 0""")
 def page_socials(spark, sf_dir):
     found = text('<a href="https://www.facebook.com/p', F.col("page_id"), """?ref=1">f</a><a rel=me href='https://m.facebook.com/other'>f</a><a href="https://x.com/p">x</a>""")
-    return pages_with(spark, sf_dir, [found, '<a href="/facebook.com">f</a>']).select("page_id", F.explode(S.socials(F.col("html"))).alias("s")).select("page_id", "s.network", "s.url")
+    return each(pages_with(spark, sf_dir, [found, '<a href="/facebook.com">f</a>']), "page_id", S.socials(F.col("html")), "network", "url")
 
 
 @query("""
@@ -99,7 +105,7 @@ def site_profile(spark, sf_dir):
         '<img src="https://crm4.dynamics.com/p"><p>HR manager. Business Central and a WMS for 1200+ staff.</p>', "<p>Nothing here.</p>",
     ])
     h, k = F.col("html"), F.col("page_id")
-    t = S.visible_text(h)
+    p, t = p.withColumn("text", S.visible_text(h)), F.col("text")
     office, state = S.office_suite(F.array(pick(["a.mail.protection.outlook.com", "aspmx.l.google.com", "mx.shop.com"], k)))
     return p.select(
         k, office.alias("office"), state.alias("office_state"), S.crm(h).alias("crm"), S.erp(h, t).alias("erp"), F.array_join(S.other_systems(t), ",").alias("other"),
@@ -114,8 +120,7 @@ def site_triggers(spark, sf_dir):
     """Signs of change that pages tell of, by the trade, with how fresh they are."""
     p = pages_with(spark, sf_dir, [f"<p>A new office in 2024, moved 2025.</p>{GAP}<p>We are hiring.</p>", "<p>Fleet expansion since 2023</p>", "<p>Fleet expansion since 2023, a new era.</p>"])
     found = S.triggers(S.visible_text(F.col("html")), pick(["", "Logistics", "saas"], F.col("page_id")))
-    t = p.select("page_id", F.explode(found).alias("t"))
-    return t.select("page_id", "t.strength", "t.date", S.freshness(F.col("t.date"), F.lit("2025-12-31")).alias("fresh"))
+    return each(p, "page_id", found, "strength", "date").withColumn("fresh", S.freshness(F.col("date"), F.lit("2025-12-31")))
 
 
 @query("""
@@ -127,7 +132,7 @@ def titled_people(spark, sf_dir):
         "<p>Director: Contact Us Today</p>", "<p>Peter Parker was here.</p>",
     ])
     found = S.people(S.visible_text(F.col("html")), F.lit("https://shop.com/"))
-    return p.select("page_id", F.explode(found).alias("p")).select("page_id", "p.name", "p.title", "p.context")
+    return each(p, "page_id", found, "name", "title", "context")
 
 
 def packets(spark, sf_dir):
