@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as R
@@ -16,9 +13,15 @@ tot AS (SELECT count(*) AS n_docs, avg(size) AS mean FROM sizes), df AS (SELECT
 bm AS (SELECT query, tf.id AS doc, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN sizes ON sizes.id = tf.id, tot GROUP BY 1, 2)"""
 
 
-def keyword_scores(spark, sf_dir):
+def keyword_weights(spark, sf_dir):
+    """Weighed postings of all terms of the benchmark, and its terms."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return R.bm25(R.terms(docs, "doc_id", "text"), R.terms(items, "item_id", "text"))
+    asked = R.terms(items, "item_id", "text")
+    return R.weights(R.postings(R.term_counts(docs, "doc_id", "text"), asked)), asked
+
+
+def keyword_scores(spark, sf_dir):
+    return R.bm25(*keyword_weights(spark, sf_dir))
 
 
 @query(BM25_SQL + " SELECT query, doc, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) <= 10")
@@ -31,44 +34,15 @@ def bm25_topk(spark, sf_dir):
 @query(BM25_SQL + ", r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS place, doc FROM bm), g AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT r.query, min(place) AS first_place, bool_or(place <= 1) AS hit1, bool_or(place <= 5) AS hit5 FROM r JOIN g ON r.query = g.query AND r.doc = g.doc GROUP BY 1")
 def hit_at_k(spark, sf_dir):
     """At which place the keyword ranking has a document that holds the whole passage."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    s = keyword_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")).cast("long")
-    ranked = s.withColumn("place", place)
-    # Passages are found among documents that the ranking has for them: an equi-join, not every pair.
-    texts = ranked.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(items.select(F.col("item_id").alias("query"), F.col("text").alias("passage")), "query")
-    found = texts.filter(F.contains("text", F.col("passage")))
-    return found.groupBy("query").agg(F.min("place").alias("first_place"), F.bool_or(F.col("place") <= 1).alias("hit1"), F.bool_or(F.col("place") <= 5).alias("hit5"))
-
-
-def block_cosine(spark, sf_dir, k: int):
-    """(query, doc, score): every vector whose id is divisible by 50 against all vectors, by blocks of a matrix product.
-
-    Queries come as blocks of 256 that each meet every Arrow batch of vectors;
-    each task keeps its k best for a query, and a rank picks among those.
-    """
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("embedding IS NOT NULL")
-    blocks = v.filter("vec_id % 50 = 0").withColumn("block", F.floor(F.col("vec_id") / (50 * 256))).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    # One row for 256 queries; vectors in groups of about 2048 meet each block once.
-    groups = v.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, v.count() // 2048)))).groupBy("g").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
+    docs, items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    weighted, asked = keyword_weights(spark, sf_dir)
+    s = R.bm25(weighted, asked).withColumn("score", F.round("score", 6))
+    place = R.best_places(s, R.holders(weighted, docs, items))
+    return place.select("query", F.col("place").alias("first_place"), (F.col("place") <= 1).alias("hit1"), (F.col("place") <= 5).alias("hit5"))
 
-    def run(batches):
-        for batch in batches:
-            for qs, rows in zip(batch.column("queries"), batch.column("rows"), strict=True):
-                qi, q = _matrix(qs.values)
-                di, d = _matrix(rows.values)
-                s = np.round(q @ d.T, 6)
-                n = min(k + 1, s.shape[1])
-                best = np.lexsort((np.broadcast_to(di, s.shape), -s), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(di[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["query", "doc", "score"])
 
-    return blocks.join(groups, F.lit(True)).select("queries", "rows").mapInArrow(run, "query long, doc long, score double").filter("query <> doc")
-
-
-def _matrix(structs: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    ids, vectors = structs.field("vec_id").to_numpy(zero_copy_only=False), structs.field("embedding")
-    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-    return ids, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 @query("""
@@ -76,19 +50,38 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELEC
 SELECT query, doc, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 10""")
 def cosine_topk(spark, sf_dir):
     """The ten nearest vectors of each queried one."""
-    return R.top_k(block_cosine(spark, sf_dir, 10), 10).select("query", "doc", "score")
+    v = vectors(spark, sf_dir)
+    near = R.nearest(v.filter("id % 50 = 0"), v.withColumn("bonus", F.lit(0.0)), 11).filter("query <> doc")
+    return R.top_k(near, 10).select("query", "doc", "score")
 
 
-@query(BM25_SQL + """, m AS (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM bm), h AS (SELECT query, doc, round(0.55 * score / best + 0.08 * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + 0.04 * (CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END), 6) AS score FROM m JOIN documents ON doc_id = doc)
+@query(BM25_SQL + """, m AS (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM bm),
+p AS (SELECT item_id AS query, doc_id AS doc, 0.08 * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + 0.04 * (CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS bonus FROM benchmark, documents),
+h AS (SELECT p.query, p.doc, round(0.55 * coalesce(m.score / best, 0) + 0.45 * coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) + bonus, 6) AS score
+  FROM p LEFT JOIN m USING (query, doc) LEFT JOIN embeddings a ON a.vec_id = p.query LEFT JOIN embeddings b ON b.vec_id = p.doc)
 SELECT query, doc, score FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 5""")
 def hybrid_topk(spark, sf_dir):
-    """Keyword scores against the query's best, with what the document's columns add."""
-    s = keyword_scores(spark, sf_dir)
+    """Keyword scores against the query's best, cosines, and what the document's columns add, over all documents.
+
+    The vector of a document or item is the one of its number. A document can
+    only be among a query's best with its keyword score, or as one of the best
+    by vector and columns, or of those without a vector by columns alone.
+    """
+    k = 5
+    v, s = vectors(spark, sf_dir).withColumn("vector", R.sound(F.col("vector"))), keyword_scores(spark, sf_dir)
+    bonus = 0.08 * F.when(F.col("lang") == "en", 1).otherwise(0) + 0.04 * F.when(F.col("n_chars") > 2000, 1).otherwise(0)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), bonus.alias("bonus")).join(v, "id", "left")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).join(v, "id", "left")
     best = s.groupBy("query").agg(F.max("score").alias("best"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "n_chars")
-    h = s.join(best, "query").join(d, "doc")
-    score = 0.55 * F.col("score") / F.col("best") + 0.08 * F.when(F.col("lang") == "en", 1).otherwise(0) + 0.04 * F.when(F.col("n_chars") > 2000, 1).otherwise(0)
-    return R.top_k(h.select("query", "doc", F.round(score, 6).alias("score")), 5).select("query", "doc", "score")
+    pairs = s.join(best, "query").join(d.select(F.col("id").alias("doc"), "bonus", F.col("vector").alias("b")), "doc").join(q.select(F.col("id").alias("query"), F.col("vector").alias("a")), "query")
+    words = pairs.select("query", "doc", F.round(0.55 * F.col("score") / F.col("best") + 0.45 * F.coalesce(R.cosine(F.col("a"), F.col("b")), F.lit(0.0)) + F.col("bonus"), 6).alias("score"))
+    near = R.nearest(q, d, k, scale=0.45)
+    # k rows that columns alone put first: of all documents for a query without a vector, else of those without one.
+    first = lambda rows: F.broadcast(rows.orderBy(F.desc("bonus"), "id").limit(k).select(F.col("id").alias("doc"), F.round("bonus", 6).alias("score")))
+    asked = q.select(F.col("id").alias("query"), F.col("vector").isNull().alias("none"))
+    bare = asked.filter("NOT none").join(first(d.filter("vector IS NULL")), F.lit(True)).unionByName(asked.filter("none").join(first(d), F.lit(True))).drop("none")
+    every = words.unionByName(near).unionByName(bare).groupBy("query", "doc").agg(F.max("score").alias("score"))
+    return R.top_k(every, k).select("query", "doc", "score")
 
 
 @query("""
@@ -99,6 +92,30 @@ def content_hash_incremental(spark, sf_dir):
     return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("seen"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN vec_id IS NULL THEN 'new' WHEN d IS NULL THEN 'gone' WHEN lower(text) = text THEN 'unchanged' ELSE 'changed' END AS state
+FROM (SELECT coalesce(doc_id, vec_id) AS doc_id, doc_id AS d, vec_id, text FROM documents FULL JOIN embeddings ON vec_id = doc_id) x""")
+def index_changes(spark, sf_dir):
+    """What an index of the texts in lower case, which holds the rows that have a vector, must do with each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(F.lower("text"), 256).alias("low"))
+    held = vectors(spark, sf_dir).select(F.col("id").alias("doc_id")).join(d.select("doc_id", F.col("low").alias("digest")), "doc_id", "left")
+    return R.index_changes(d, held, "doc_id", "digest")
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, unnest(string_split('before ' || turn || chr(10) || '# ' || role || chr(10) || text || chr(10) || '## end' || chr(10) || 'turn ' || turn, chr(10))) AS l, unnest(range(1, 2 + len(string_split('before ' || turn || chr(10) || '# ' || role || chr(10) || text || chr(10) || '## end' || chr(10) || 'turn ' || turn, chr(10))))) AS i FROM conversations),
+h AS (SELECT *, sum(CASE WHEN regexp_matches(l, '^#{1,2}\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part, regexp_matches(l, '^#{1,2}\s+') AS head FROM t WHERE l IS NOT NULL)
+SELECT conv_id, turn, coalesce(max(CASE WHEN head THEN trim(regexp_replace(l, '^#{1,2}\s+', '')) END), 'conversation') AS name, min(i)::INTEGER AS start_line, max(i)::INTEGER AS end_line, trim(string_agg(l, chr(10) ORDER BY i) FILTER (NOT head), ' ' || chr(9) || chr(10) || chr(13)) AS body
+FROM h GROUP BY conv_id, turn, part HAVING trim(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT head), ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def heading_chunks(spark, sf_dir):
+    """Turns as small documents with headings, cut by these."""
+    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    turn = F.col("turn").cast("string")
+    text = F.concat(F.lit("before "), turn, F.lit("\n# "), "role", F.lit("\n"), "text", F.lit("\n## end\nturn "), turn)
+    found = c.select("conv_id", "turn", F.explode_outer(R.heading_chunks(text, F.lit("conversation"), 1 << 30)).alias("c")).filter("c IS NOT NULL")
+    return found.select("conv_id", "turn", "c.name", "c.start_line", "c.end_line", "c.body")
+
+
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\n+')) AS part FROM documents) SELECT doc_id, count(*) AS chunks, max(length(part)) AS longest FROM w WHERE part <> '' GROUP BY 1""")
 def text_chunks(spark, sf_dir):

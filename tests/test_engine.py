@@ -95,10 +95,48 @@ def test_lifecycle():
 
 
 def test_bm25_prefers_the_holder(spark):
-    docs = spark.createDataFrame([(1, "red boat sails"), (2, "blue car drives"), (3, "red car stands")], "id int, text string")
+    docs = spark.createDataFrame([(1, "red boat sails"), (2, "blue car drives"), (3, "red car stands"), (4, None), (5, "a b")], "id int, text string")
     q = spark.createDataFrame([(9, "red boat")], "id int, text string")
-    top = V.top_k(V.bm25(V.terms(docs, "id", "text"), V.terms(q, "id", "text")), 1).first()
-    assert top.doc == 1 and top.score > 0
+    asked = V.terms(q, "id", "text")
+    weighted = V.weights(V.postings(V.term_counts(docs, "id", "text"), asked))
+    scores = V.bm25(weighted, asked)
+    top = V.top_k(scores, 1).first()
+    assert top.doc == 1 and top.score > 0 and scores.count() == 2
+    found = V.holders(weighted, docs, q)
+    assert [tuple(r) for r in found.collect()] == [(9, 1)]
+    assert [tuple(r) for r in V.best_places(scores, found).collect()] == [(9, 1)]
+    assert [tuple(r) for r in V.best_places(scores, found.withColumn("doc", F.lit(3))).collect()] == [(9, 2)]
+
+
+def test_holders_need_whole_passages(spark):
+    docs = spark.createDataFrame([(1, "xthe old red boats sailed"), (2, "the old red boat"), (3, "old red"), (4, "red old the boat")], "id int, text string")
+    q = spark.createDataFrame([(7, "the old red boat"), (8, "he old re"), (9, "old red"), (10, "zzz")], "id int, text string")
+    weighted = V.weights(V.postings(V.term_counts(docs, "id", "text"), V.terms(q, "id", "text")))
+    assert {tuple(r) for r in V.holders(weighted, docs, q).collect()} == {(7, 1), (7, 2), (8, 1), (8, 2), (9, 1), (9, 2), (9, 3)}
+
+
+def test_nearest_takes_sound_vectors_only(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [1.0, float("nan")]), (8, [1.0, 0.0, 0.0]), (9, [2.0, 0.0]), (10, [])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = V.top_k(V.nearest(v, v.withColumn("bonus", F.lit(0.0)), 2), 2)
+    assert sorted((r.query, r.doc, r.score) for r in got.collect()) == [
+        (1, 1, 1.0), (1, 9, 1.0), (2, 2, 1.0), (2, 3, 0.707107), (3, 1, 0.707107), (3, 3, 1.0), (8, 8, 1.0), (9, 1, 1.0), (9, 9, 1.0),
+    ]
+    assert V.nearest(v.filter("id < 0"), v.withColumn("bonus", F.lit(0.0)), 2).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("intro\n# One \nbody\n\n## Two\n\n# Three\nx\r\ny", [("doc", 1, 1, "intro"), ("One", 2, 4, "body"), ("Three", 7, 9, "x\ny")]), ("", [("doc", 1, 1, "")]), ("# A", [("doc", 1, 1, "# A")]),
+    ("### deep", [("doc", 1, 1, "### deep")]), (None, None),
+])
+def test_heading_chunks(spark, text, want):
+    got = one(spark, text, lambda c: V.heading_chunks(c, F.lit("doc")))
+    assert (got and [tuple(x) for x in got]) == want
+
+
+def test_index_changes(spark):
+    rows, index = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, d string"), spark.createDataFrame([(2, "x"), (3, None), (4, "y")], "k int, d string")
+    assert {tuple(r) for r in V.index_changes(rows, index, "k", "d").collect()} == {(1, "new"), (2, "changed"), (3, "unchanged"), (4, "gone")}
 
 
 def test_sources_and_sinks(spark, tmp_path):
