@@ -24,7 +24,7 @@ ABOUT = "array<struct<id:string,name:string,options:array<struct<name:string,ena
 
 
 def _segments(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, "·"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, "·"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def card(name: Column, href: Column, lines: Column, website: Column) -> Column:
@@ -35,13 +35,13 @@ def card(name: Column, href: Column, lines: Column, website: Column) -> Column:
         rated = F.get(F.filter(xs, lambda l: l.rlike(RATING)), F.lit(0))
         about = _segments(F.get(F.filter(xs, lambda l: l.contains("·") & ~l.rlike(OPEN) & (F.size(_segments(l)) > 0)), F.lit(0)))
         state = _segments(F.get(F.filter(xs, lambda l: l.rlike(OPEN)), F.lit(0)))
-        last = F.element_at(state, -1)
+        last = F.try_element_at(state, F.lit(-1))
         rating, reviews = K.rating_line(rated)
         spot = lambda group: F.regexp_extract(href, PLACE, group).try_cast("double")
         code = F.regexp_extract(href, CID, 1)
         return F.struct(
             F.trim(name).alias("name"), F.when(code != "", K.hex_to_decimal(code)).alias("cid"), spot(1).alias("lat"), spot(2).alias("lng"), rating.alias("rating"), reviews.alias("reviews"),
-            F.get(about, F.lit(0)).alias("category"), F.when(F.size(about) > 1, F.element_at(about, -1)).alias("street"), F.get(state, F.lit(0)).alias("open_state"),
+            F.get(about, F.lit(0)).alias("category"), F.when(F.size(about) > 1, F.try_element_at(about, F.lit(-1))).alias("street"), F.get(state, F.lit(0)).alias("open_state"),
             F.when((F.size(state) > 1) & (F.length(F.regexp_replace(last, r"\D", "")) >= 6), last).alias("phone"), K.unwrap_redirect(website).alias("website"),
         )
 
@@ -50,10 +50,10 @@ def card(name: Column, href: Column, lines: Column, website: Column) -> Column:
 
 def locality(text: Column, area: Column) -> tuple[Column, Column]:
     """Town and country that a search was for: from its area, else from what stands behind the last " in " of its text."""
-    said = F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(" in ")), F.element_at(F.split(text, " in "), -1)).otherwise("")
+    said = F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(" in ")), F.try_element_at(F.split(text, " in "), F.lit(-1))).otherwise("")
     whole = F.trim(F.coalesce(F.when(F.trim(area) != "", area), said))
-    parts = F.filter(F.transform(F.split(whole, ","), F.trim), lambda p: p != "")
-    return F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.when(F.size(parts) > 1, F.element_at(parts, -1))
+    parts = F.filter(F.transform(F.split(whole, ","), lambda x: F.trim(x)), lambda p: p != "")
+    return F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-1)))
 
 
 def full_address(street: Column, town: Column) -> Column:
@@ -70,7 +70,7 @@ def split_address(whole: Column) -> Column:
 def map_category(raw: Column, names: Column, wanted: list[str]) -> tuple[Column, Column]:
     """The category that goes with a wanted one (either holds the other), else the first, and all of them."""
     low = F.array(*[F.lit(w.lower()) for w in wanted]).cast("array<string>")
-    clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     first = F.trim(raw)
     every = F.when(F.coalesce(first, F.lit("")).isin("") | F.array_contains(clean, first), clean).otherwise(F.concat(F.array(first), clean))
     fits = F.filter(every, lambda c: F.exists(low, lambda w: F.contains(F.lower(c), w) | F.contains(w, F.lower(c))))
@@ -102,9 +102,9 @@ def signed_names(replies: Column, business: Column) -> Column:
 
     def signed(r: Column) -> Column:
         text = F.coalesce(r["text"], F.lit(""))
-        # The greedy run before it makes it the last one; what follows must be short.
-        found = F.regexp_extract(text, rf"(?s)^.*(({SIGN_OFF}).*)$", 1)
-        name = F.regexp_extract(found, f"^{SIGN_OFF}", 1)
+        names = F.regexp_extract_all(text, F.lit(SIGN_OFF), F.lit(1))
+        name = F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit(""))
+        found = F.concat(F.try_element_at(F.regexp_extract_all(text, F.lit(SIGN_OFF), F.lit(0)), F.lit(-1)), F.try_element_at(F.split(text, SIGN_OFF), F.lit(-1)))
         reviewer = F.lower(F.get(F.split(F.trim(F.coalesce(r["reviewer"], F.lit(""))), " "), F.lit(0)))
         bad = F.lower(name).isin(NO_NAMES) | F.array_contains(own, F.lower(name)) | ((F.length(name) > 1) & (name == F.upper(name))) | (F.lower(name) == reviewer)
         return F.when((name != "") & (F.length(found) <= 60) & ~bad, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounts, analytics, decisions, entities, extraction, lifecycle, listings, rules, search, sheets  # noqa: F401
+from . import accounts, analytics, decisions, entities, extraction, lifecycle, listings, profiles, rules, search, sheets  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -205,7 +205,7 @@ def extract_people(spark, sf_dir):
 
 
 @query()
-def structured_people(spark, sf_dir):
+def card_headings(spark, sf_dir):
     """Headings and emphasised text of page cards, by the standard library's parser over Arrow batches."""
     import pyarrow as pa
 

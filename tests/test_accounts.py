@@ -3,11 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallgrass.functions import profiles as G
 from tallgrass.functions import sites as S
+from tallgrass.operators import company as N
 from tallgrass.operators import drafts as D
+from tallgrass.operators import letters as L
 from tallgrass.operators import outreach as O
 from tallgrass.operators import resolve as R
 from tallgrass.operators import score as P
+from tallgrass.sources.html import structured_people
 
 
 def one(spark, value, f):
@@ -94,3 +98,42 @@ def test_fit_of_an_unknown_account(spark):
     fit = P.account_fit(none.cast("array<string>"), ["cars"], none.cast("int"), F.lit(True), none.cast("long"), none.cast("array<struct<text:string,strength:string,date:string>>"), none.cast("array<string>"), [none, none, none], [none, none, none], none.cast("string"))
     r = spark.range(1).select(*[v.alias(k) for k, v in fit.items()]).first()
     assert (r.total, r.grade, r.confidence, r.industry) == (0.0, "D", 0, False)
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<script type="application/ld+json">{"@type": "Event", "organizer": {"@type": "Person", "name": "A B"}, "performer": [{"@type": "Person", "name": "C D", "email": ["x", "c@d.org"]}, {"@type": "Organization", "name": "Org"}]}</script>',
+     [("A B", "", "event", [], []), ("C D", "", "event", [], ["c@d.org"])]),
+    ('<script type="application/ld+json">{"@type": "ProfilePage", "mainEntity": {"@type": ["Thing", "Person"], "name": "E F", "telephone": {"value": " 1  2 "}}}</script>', [("E F", "", "profile", ["1 2"], [])]),
+    ('<div class="card team-member-x"><h3>G H</h3><p class="position">Boss</p><a href="tel:123?x">t</a></div><div class="vcard"><span itemprop="name">g h</span><b class="title">boss</b><a class="tel" title="12 4">x</a></div>', [("G H", "Boss", "structured", ["123", "12 4"], [])]),
+    ("".join(f'<div class="employee"><h2>N {i}</h2></div>' for i in range(9)), [(f"N {i}", "", "structured", [], []) for i in range(8)]),
+    ('<div class="vcard"><b class="fn">one two three four five six seven</b></div><script type="application/ld+json">[1, "x", null, {"@type": null}]</script>', []), ("<b>" * 5000, []), ("", []),
+])
+def test_structured_people(html, want):
+    assert structured_people(html) == want
+
+
+def test_profiles_of_nothing(spark):
+    row = spark.range(1).select(
+        G.card(F.lit(" "), F.lit(""), F.lit(None).cast("array<string>"), F.lit(None)).alias("none"), G.card(F.lit("A"), F.lit(None), F.lit(None).cast("array<string>"), F.lit("https://a.com")).alias("card"),
+        G.appointments(F.lit(None).cast(G.ABOUT)).alias("a"), G.signed_names(F.lit(None).cast("array<struct<reviewer:string,text:string>>"), F.lit(None).cast("string")).alias("s"),
+        G.map_category(F.lit(None).cast("string"), F.lit(None).cast("array<string>"), [])[0].alias("c"), G.display_phone(F.lit("+447911123456")).alias("p"), G.display_phone(F.lit(None).cast("string")).alias("q"),
+        G.any_mobile(F.lit(None).cast("array<string>")).alias("m"), G.locality(F.lit(None).cast("string"), F.lit(None).cast("string"))[0].alias("l"),
+    ).first()
+    assert row.none is None and row.card.name == "A" and row.card.website == "https://a.com" and row.card.phone is None and row.card.category is None
+    assert (row.a, row.s, row.c, row.p, row.q, row.m, row.l) == ("none", None, None, "+44 7911 123456", "", False, "")
+
+
+def test_company_of_unknowns(spark):
+    none = lambda kind: F.lit(None).cast(kind)
+    c = N.Company(none("array<string>"), none("date"), none("array<date>"), none("boolean"), none("boolean"), none("string"), none("string"), none("boolean"))
+    row = N.scored(spark.range(1), c, ["1"], F.lit("2025-01-01").cast("date")).first()
+    assert (row.total, row.tier) == (9.5, "C") and [f.why for f in row.factors] == ["no trade codes", "age unknown", "no officers on file", "site not crawled", "no domain", ""]
+    points, why = N.contactability(none("boolean"), F.lit(True), none("boolean"), F.lit(False))
+    assert tuple(spark.range(1).select(points, why).first()) == (30, "e-mail")
+
+
+def test_letters(spark):
+    with pytest.raises(ValueError, match="b, c"):
+        L.letter("{{a}} {{b}} {{c}}", {"a": F.lit("x")})
+    body = L.letter("\n {{a}}-{{b}}\n", {"a": F.lit("x {{b}}"), "b": F.lit(None).cast("string")})
+    assert spark.range(1).select(body.alias("t")).first().t == "x {{b}}-\n"
