@@ -24,28 +24,22 @@ def terms(rows: DataFrame, id_: str, text: str, least: int = 3) -> DataFrame:
     return rows.select(F.col(id_).alias("id"), F.explode(_long_words(text, least)).alias("term"))
 
 
-def term_counts(rows: DataFrame, id_: str, text: str, least: int = 3) -> DataFrame:
-    """(id, term, n): how often each word stands in a row, and one row without a term that has its number of words.
+def postings(rows: DataFrame, id_: str, text: str, queries: DataFrame, least: int = 3) -> DataFrame:
+    """(id, term, n), a written table: how often each term of queries (id, term) stands in a row, and by a null term each row's number of words.
 
     Each text is split once. Rows of one id count together; null texts give nothing.
     """
-    one = lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"))
-    whole = lambda ws: F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(ws).alias("n")))
-    found = T.let(_long_words(text, least), lambda ws: F.concat(F.transform(ws, one), whole(ws)))
-    # An outer explode, as Spark would work the array out once more to drop empty ones first.
-    each = rows.select(F.col(id_).alias("id"), F.explode_outer(found).alias("x")).filter("x IS NOT NULL")
-    return each.groupBy("id", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"))
-
-
-def postings(counts: DataFrame, queries: DataFrame) -> DataFrame:
-    """The rows of term_counts that the (id, term) rows of queries ask for, and all sizes, as a written table."""
+    split = rows.select(F.col(id_).alias("id"), _long_words(text, least).alias("ws"))
+    each = split.select("id", F.size("ws").alias("size"), F.concat("ws", F.array(F.lit(None).cast("string"))).alias("ws"))
+    each = each.select("id", "size", F.explode_outer("ws").alias("term"))
     wanted = queries.select(F.col("term").alias("key")).distinct().withColumn("hit", F.lit(True))
     # Sizes get keys of their own, so that a shuffled join doesn't bring them all to one task.
-    keyed = counts.withColumn("key", F.coalesce("term", F.concat(F.lit(" "), F.col("id").cast("string"))))
-    kept = keyed.join(wanted, "key", "left").filter("term IS NULL OR hit").select("id", "term", "n")
-    path = shared_path(counts.sparkSession, "postings")
-    kept.write.parquet(path)
-    return counts.sparkSession.read.parquet(path)
+    keyed = each.withColumn("key", F.coalesce("term", F.concat(F.lit(" "), F.col("id").cast("string"))))
+    kept = keyed.join(wanted, "key", "left").filter("size >= 0 AND (term IS NULL OR hit)")
+    counts = kept.groupBy("id", "term").agg(F.sum(F.when(F.col("term").isNull(), F.col("size")).otherwise(1)).alias("n"))
+    path = shared_path(rows.sparkSession, "postings")
+    counts.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def weights(kept: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

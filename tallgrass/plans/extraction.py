@@ -195,7 +195,9 @@ def reply_classification(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", label.alias("label"), t.rlike("(unsubscribe|opt out|stop)").alias("opt_out"))
 
 
-@query()
+@query(r"""
+WITH f AS (SELECT doc_id, regexp_extract_all(text, '\b([A-Z][a-z]+ [A-Z][a-z]+)\b[^.\n]{0,60}?\b(?:owner|director|manager|founder|of|the)\b', 1) AS xs FROM documents), u AS (SELECT doc_id, unnest(xs) AS person, unnest(range(len(xs))) AS i FROM f),
+d AS (SELECT doc_id, person, min(i) AS i FROM u GROUP BY 1, 2) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS place, person FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 8""")
 def extract_people(spark, sf_dir):
     """Capitalised pairs of words near a title word, at most eight of a document, without repeats."""
     d = table(spark, sf_dir, "documents")

@@ -88,7 +88,14 @@ def sessions(spark, sf_dir):
     return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-@query()
+FOLD_SQL = """
+WITH m(before, after) AS (VALUES ('none', 'enrolled'), ('enrolled', 'drafted'), ('drafted', 'sent'), ('sent', 'replied'), ('sent', 'bounced')),
+t AS (SELECT list(before || '>' || after) AS moves FROM m),
+l AS (SELECT user_id, count(*) AS n, list(CASE event_type WHEN 'signup' THEN 'enrolled' WHEN 'view' THEN 'drafted' WHEN 'click' THEN 'sent' WHEN 'purchase' THEN 'replied' WHEN 'error' THEN 'bounced' END ORDER BY ts, event_id) AS asked FROM events GROUP BY 1)
+SELECT user_id, nullif(list_reduce(list_prepend('none', asked), lambda s, a: CASE WHEN list_contains(moves, s || '>' || a) THEN a ELSE s END), 'none') AS state, n FROM l, t"""
+
+
+@query(FOLD_SQL)
 def lifecycle_fold(spark, sf_dir):
     """Every user's last state by the ordered fold, in batch."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
@@ -104,7 +111,7 @@ def stream_event_dedupe(spark, sf_dir):
     return S.run_to_table(found, shared_path(spark, "dedupe"), "append")
 
 
-@query()
+@query(FOLD_SQL)
 def stream_state_machine(spark, sf_dir):
     """The lifecycle as a stateful stream."""
     events = S.read_events(spark, f"{sf_dir}/events.parquet", files=None).select("user_id", "ts", "event_id", "event_type")

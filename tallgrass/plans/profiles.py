@@ -111,8 +111,8 @@ def structured_people(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey * 97 % 6000 AS INTEGER) / 365.25 END AS years, CASE WHEN s_suppkey % 4 = 0 THEN DATE '2025-12-31' - CAST(s_suppkey * 31 % 900 AS INTEGER) END AS officer FROM supplier),
-f AS (SELECT *, CASE WHEN k % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN years IS NULL THEN 5 WHEN years < 1 THEN 10 WHEN years <= 3 THEN 15 WHEN years <= 10 THEN 20 ELSE 15 END + CASE WHEN officer >= DATE '2024-12-31' THEN 20 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 15 ELSE 0 END
-  + CASE WHEN k % 7 <> 0 THEN 10 ELSE 0 END + 4.5 + CASE WHEN k % 5 <> 4 THEN 6 ELSE 0 END + CASE WHEN k % 3 <> 2 THEN 3 ELSE 0 END + CASE WHEN k % 7 <> 0 THEN 1.5 ELSE 0 END AS total,
+f AS (SELECT *, least(100, CASE WHEN k % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN years IS NULL THEN 5 WHEN years < 1 THEN 10 WHEN years <= 3 THEN 15 WHEN years <= 10 THEN 20 ELSE 15 END + CASE WHEN officer >= DATE '2024-12-31' THEN 20 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 15 ELSE 0 END
+  + CASE WHEN k % 7 <> 0 THEN 10 ELSE 0 END + 4.5 + CASE WHEN k % 5 <> 4 THEN 6 ELSE 0 END + CASE WHEN k % 3 <> 2 THEN 3 ELSE 0 END + CASE WHEN k % 7 <> 0 THEN 1.5 ELSE 0 END) AS total,
   CASE WHEN k % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN k % 7 <> 0 THEN 30 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 15 ELSE 0 END AS points FROM s),
 t AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'DQ' WHEN total >= 75 THEN 'A' WHEN total >= 55 THEN 'B' ELSE 'C' END AS tier FROM f)
 SELECT k AS s_suppkey, CAST(total AS DOUBLE) AS total, tier, CAST(points AS INTEGER) AS points, CASE WHEN tier = 'DQ' THEN 'DISQUALIFIED' WHEN tier IN ('A', 'B') AND points >= 55 THEN 'READY_FOR_OUTREACH' WHEN points = 0 THEN 'NEEDS_ENRICHMENT' ELSE 'MANUAL_REVIEW' END AS status FROM t""")

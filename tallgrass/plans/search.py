@@ -17,7 +17,7 @@ def keyword_weights(spark, sf_dir):
     """Weighed postings of all terms of the benchmark, and its terms."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     asked = R.terms(items, "item_id", "text")
-    return R.weights(R.postings(R.term_counts(docs, "doc_id", "text"), asked)), asked
+    return R.weights(R.postings(docs, "doc_id", "text", asked)), asked
 
 
 def keyword_scores(spark, sf_dir):

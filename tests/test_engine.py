@@ -98,7 +98,7 @@ def test_bm25_prefers_the_holder(spark):
     docs = spark.createDataFrame([(1, "red boat sails"), (2, "blue car drives"), (3, "red car stands"), (4, None), (5, "a b")], "id int, text string")
     q = spark.createDataFrame([(9, "red boat")], "id int, text string")
     asked = V.terms(q, "id", "text")
-    weighted = V.weights(V.postings(V.term_counts(docs, "id", "text"), asked))
+    weighted = V.weights(V.postings(docs, "id", "text", asked))
     scores = V.bm25(weighted, asked)
     top = V.top_k(scores, 1).first()
     assert top.doc == 1 and top.score > 0 and scores.count() == 2
@@ -111,7 +111,7 @@ def test_bm25_prefers_the_holder(spark):
 def test_holders_need_whole_passages(spark):
     docs = spark.createDataFrame([(1, "xthe old red boats sailed"), (2, "the old red boat"), (3, "old red"), (4, "red old the boat")], "id int, text string")
     q = spark.createDataFrame([(7, "the old red boat"), (8, "he old re"), (9, "old red"), (10, "zzz")], "id int, text string")
-    weighted = V.weights(V.postings(V.term_counts(docs, "id", "text"), V.terms(q, "id", "text")))
+    weighted = V.weights(V.postings(docs, "id", "text", V.terms(q, "id", "text")))
     assert {tuple(r) for r in V.holders(weighted, docs, q).collect()} == {(7, 1), (7, 2), (8, 1), (8, 2), (9, 1), (9, 2), (9, 3)}
 
 
