@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, embeddings, exact, packing, repeats, secrets, simhash, token_counts, toxicity
+from . import align, bpe, dac, embeddings, exact, packing, repeats, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 JSON = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +53,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned_tokens(documents(spark, sf_dir), public_tokenizers.path(JSON), public_tokenizers.path(PIECES))
+
+
+OPERATORS = (
+    op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op8_repeated_strings, op9_byte_bpe,
+    op10_simhash, op12_cross_tokenizer_alignment,
+)
+
+
 def queries() -> dict:
     import corpus_pipeline  # stands beside the package, and comes and goes with this folder
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op8_repeated_strings, op9_byte_bpe, op10_simhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

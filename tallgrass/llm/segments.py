@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries after which a worker's memo starts anew: about 80 MB.
-MEMO_ENTRIES = 500_000
+#: Entries, and bytes of ids and segments, after which a worker's memo starts anew: about 150 MB with the dictionary.
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 64 << 20
+#: Characters from which a segment isn't remembered, as texts without spaces are single segments.
+LONG = 64
 #: Bytes of text that are worked on at a time.
 SLICE_BYTES = 4 << 20
 
@@ -36,8 +38,9 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nd
     if not len(lens):
         return flat[:0]
     ends = np.cumsum(lens)
-    step = np.repeat((starts - (ends - lens)).astype(np.int32), lens)
-    step += np.arange(len(step), dtype=np.int32)
+    kind = np.int32 if max(len(flat), int(ends[-1])) < 1 << 31 else np.int64
+    step = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    step += np.arange(len(step), dtype=kind)
     return flat[step]
 
 
@@ -58,49 +61,66 @@ class SegmentEncoder:
     encode(segments): ids of each segment, as one flat array and their lengths.
     whole: texts that contain this string bypass the segments (special tokens
     are looked for before pre-tokenising, so they may change the cut).
-    Null and empty texts have no ids.
+    cut: where texts with a space before white space or the end are cut; None:
+    nowhere, for encoders that may merge spaces.
+    Null and empty texts have no ids.  What is remembered between batches is
+    bounded by entries and bytes; long segments are never remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Ragged], whole: str | None = None, entries: int = MEMO_ENTRIES):
-        self.encode, self.whole, self.entries = encode, whole, entries
+    def __init__(self, encode: Callable[[list[str]], Ragged], whole: str | None = None, entries: int = MEMO_ENTRIES, most: int = MEMO_BYTES, cut: re.Pattern | None = _BREAK):
+        self.encode, self.whole, self.entries, self.most, self.cut = encode, whole, entries, most, cut
         self._reset()
 
     def _reset(self) -> None:
         #: Slots of segments that follow a space, and of first ones; no mark within a text could tell them apart.
         self.slot: tuple[dict[str, int], dict[str, int]] = {}, {}
-        self.held = 0
-        self.starts, self.lens = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.held, self.key_bytes = 0, 0
+        self.starts, self.lens = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
         self.flat, self.used = np.empty(1 << 18, np.uint32), 0
 
+    @property
+    def memo_bytes(self) -> int:
+        """Bytes of remembered segments and of the arrays that hold ids."""
+        return self.key_bytes + self.flat.nbytes
+
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         if n <= len(a):
             return a
-        b = np.empty(max(n, 2 * len(a)), a.dtype)
+        b = np.empty(max(n, len(a) + min(len(a), 1 << 22)), a.dtype)
         b[: len(a)] = a
         return b
 
-    def _slots(self, segments: list[str], first: list[bool]) -> np.ndarray:
-        if self.held > self.entries:
+    def _taken(self, segments: list[str], first: list[bool], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments[code] in order, and the number of each."""
+        if self.held > self.entries or self.memo_bytes > self.most:
             self._reset()
         held, get = self.held, [slot.get for slot in self.slot]
         slots = np.fromiter((get[f](s, -1) for s, f in zip(segments, first)), np.int64, len(segments))
         missing = np.flatnonzero(slots < 0)
+        kept_ids = self.used
         if len(missing):
+            long = np.fromiter((len(segments[i]) >= LONG for i in missing), bool, len(missing))
+            missing = np.concatenate((missing[~long], missing[long]))
             new = [(segments[i], first[i]) for i in missing]
             ids, lens = self.encode([s if f else " " + s for s, f in new])
-            n = len(new)
+            n, short = len(new), len(new) - int(long.sum())
             self.starts, self.lens = self._room(self.starts, held + n), self._room(self.lens, held + n)
             self.flat = self._room(self.flat, self.used + len(ids))
             self.flat[self.used : self.used + len(ids)] = ids
             self.lens[held : held + n] = lens
             self.starts[held : held + n] = self.used + np.cumsum(lens) - lens
-            self.used += len(ids)
+            kept_ids = self.used + int(lens[:short].sum())
             slots[missing] = np.arange(held, held + n)
-            for k, (s, f) in enumerate(new, held):
+            for k, (s, f) in enumerate(new[:short], held):
                 self.slot[f][s] = k
-            self.held += n
-        return slots
+                self.key_bytes += len(s)
+            self.held += short
+        slots = slots[code]
+        lens = self.lens[slots].astype(np.int64)
+        ids = ragged_take(self.flat, self.starts[slots], lens)
+        self.used = kept_ids  # long segments give their places back
+        return ids, lens
 
     def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Segments of all texts in order, and their number in each; a space that is left out stands before all but a text's first."""
@@ -114,7 +134,7 @@ class SegmentEncoder:
         parts = lists.to_pylist()
         for i in odd:
             text = texts[int(i)].as_py()
-            parts[i] = [text] if self.whole and self.whole in text else _BREAK.split(text)
+            parts[i] = [text] if self.cut is None or self.whole and self.whole in text else self.cut.split(text)
         return pa.array([s for p in parts for s in p], pa.string()), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def batch(self, texts: pa.Array) -> Ragged:
@@ -127,22 +147,24 @@ class SegmentEncoder:
         code = coded.indices.to_numpy().astype(np.int64) * 2
         code[at[:-1]] += 1  # a text's first segment
         used = np.flatnonzero(np.bincount(code, minlength=2 * len(words)))
-        slot_of = np.zeros(2 * len(words), np.int64)
-        slot_of[used] = self._slots([words[i] for i in (used >> 1).tolist()], (used & 1).astype(bool).tolist())
-        slots = slot_of[code]
-        lens = self.lens[slots]
-        ids = ragged_take(self.flat, self.starts[slots], lens)
+        place = np.zeros(2 * len(words), np.int64)
+        place[used] = np.arange(len(used))
+        ids, lens = self._taken([words[i] for i in (used >> 1).tolist()], (used & 1).astype(bool).tolist(), place[code])
         ends = np.concatenate(([0], np.cumsum(lens)))
         return ids, np.diff(ends[at])
 
 
-def library_encoder(path: str, entries: int = MEMO_ENTRIES) -> SegmentEncoder:
-    """A SegmentEncoder over the tokenizers library for a byte-level .json file, with its default handling of special strings."""
+def library_encoder(path: str, entries: int = MEMO_ENTRIES, most: int = MEMO_BYTES, plain: bool = False) -> SegmentEncoder:
+    """A SegmentEncoder over the tokenizers library for a byte-level .json file, with its default handling of special strings.
+
+    plain: strings of special tokens are ordinary text.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = plain
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = [] if plain else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     if len(special) > 1:
         raise ValueError("one special token at most")
     opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -180,17 +202,40 @@ def library_encoder(path: str, entries: int = MEMO_ENTRIES) -> SegmentEncoder:
         starts[placed] = np.cumsum(lens[placed]) - lens[placed]
         return ragged_take(np.concatenate(flats), starts, lens), lens
 
-    return SegmentEncoder(encode, special[0] if special else None, entries)
+    return SegmentEncoder(encode, special[0] if special else None, entries, most)
+
+
+def piece_encoder(path: str) -> SegmentEncoder:
+    """A SegmentEncoder over sentencepiece for texts that have one space put before them, which the model itself would put there.
+
+    Segments may be encoded alone because no piece of the model has a space
+    behind another character; texts with spaces before white space or at the
+    end are encoded whole.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    space = "\u2581"
+    if any(space in model.id_to_piece(i).lstrip(space) for i in range(model.get_piece_size())):
+        raise ValueError("a piece crosses a space")
+
+    def encode(segments: list[str]) -> Ragged:
+        found = model.encode([s[1:] for s in segments], num_threads=1)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum())), lens
+
+    return SegmentEncoder(encode, cut=None)
 
 
-_ENCODERS: dict[str, SegmentEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}
 
 
-def shared_encoder(path: str) -> SegmentEncoder:
+def shared_encoder(path: str, plain: bool = False) -> SegmentEncoder:
     """The encoder of this Python worker for a file; its memo lives as long as the worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = library_encoder(path)
-    return _ENCODERS[path]
+    key = path, plain
+    if key not in _ENCODERS:
+        _ENCODERS[key] = piece_encoder(path) if path.endswith(".model") else library_encoder(path, plain=plain)
+    return _ENCODERS[key]
