@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, dac, embeddings, exact, packing, repeats, secrets, simhash, token_counts, toxicity
+from . import align, bpe, dac, embeddings, exact, packing, repeats, secrets, simhash, token_counts, toxicity, warc
 from .common import documents
 
 JSON = "byte_bpe_50k.json"
@@ -53,13 +53,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned_tokens(documents(spark, sf_dir), public_tokenizers.path(JSON), public_tokenizers.path(PIECES))
 
 
 OPERATORS = (
     op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op8_repeated_strings, op9_byte_bpe,
-    op10_simhash, op12_cross_tokenizer_alignment,
+    op10_simhash, op11_warc, op12_cross_tokenizer_alignment,
 )
 
 
@@ -70,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact.ORACLE, "op5_embedding_near_dedup": embeddings.ORACLE}
+    return {"op2_exact_dedup": exact.ORACLE, "op5_embedding_near_dedup": embeddings.ORACLE, "op11_warc": warc.ORACLE}
