@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import align, bpe, dac, embeddings, exact, packing, repeats, secrets, simhash, token_counts, toxicity, warc
+from . import align, bpe, dac, embeddings, exact, negatives, packing, repeats, secrets, simhash, token_counts, toxicity, warc
 from .common import documents
 
 JSON = "byte_bpe_50k.json"
@@ -61,9 +62,15 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.aligned_tokens(documents(spark, sf_dir), public_tokenizers.path(JSON), public_tokenizers.path(PIECES))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, id_ = F.col("label"), F.col("vec_id")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(vectors, id_ % 100 == 0)
+
+
 OPERATORS = (
     op1_secret_scan, op2_exact_dedup, op3_toxicity, op4_best_fit_packing, op5_embedding_near_dedup, op6_token_files, op7_token_counts, op8_repeated_strings, op9_byte_bpe,
-    op10_simhash, op11_warc, op12_cross_tokenizer_alignment,
+    op10_simhash, op11_warc, op12_cross_tokenizer_alignment, op13_hard_negatives,
 )
 
 
@@ -74,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact.ORACLE, "op5_embedding_near_dedup": embeddings.ORACLE, "op11_warc": warc.ORACLE}
+    return {"op2_exact_dedup": exact.ORACLE, "op5_embedding_near_dedup": embeddings.ORACLE, "op11_warc": warc.ORACLE, "op13_hard_negatives": negatives.ORACLE}
