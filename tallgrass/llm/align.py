@@ -84,16 +84,30 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def _decimals(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal ids, each followed by its mark (a byte), as one buffer; and the length of each with its mark."""
-    places = 10 ** np.arange(9, -1, -1)
-    places = places[-max(1, len(str(int(ids.max(initial=0))))) :]
-    digits = (ids[:, None] // places % 10).astype(np.uint8)
-    shown = np.maximum.accumulate(digits > 0, axis=1)
-    shown[:, -1] = True
-    cells = np.column_stack((digits + 48, marks))
-    keep = np.column_stack((shown, np.ones(len(ids), bool)))
-    return cells[keep], keep.sum(axis=1)
+class _Decimals:
+    """Ids from 0 on in decimal, each with room for a mark (a byte) behind it."""
+
+    def __init__(self, n: int):
+        ids = np.arange(n)
+        width = len(str(n - 1))
+        digits = np.column_stack([ids // 10**p % 10 for p in range(width - 1, -1, -1)] + [np.zeros(n, int)])
+        self.cells = (digits + 48).astype(np.uint8)
+        self.size = 1 + np.fromiter(map(len, map(str, range(n))), np.int64, n)
+        self.shown = np.arange(width + 1) > width - self.size[:, None]
+
+    def joined(self, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        cells = self.cells[ids]
+        cells[:, -1] = marks
+        return cells[self.shown[ids]]
+
+
+_DECIMALS: dict[int, _Decimals] = {}
+
+
+def _decimals(n: int) -> _Decimals:
+    if n not in _DECIMALS:
+        _DECIMALS[n] = _Decimals(n)
+    return _DECIMALS[n]
 
 
 class Aligned:
@@ -119,33 +133,43 @@ class Aligned:
             same = s.spelt(ids) == ragged_take(want, edges[:-1][sound], size[sound])
             sound[np.flatnonzero(sound)[_sums(same, size[sound]) != size[sound]]] = False
         self.n_texts, self.rows, self.size = len(texts), np.flatnonzero(sound), size[sound]
-        self.a, self.b = (ids[np.repeat(sound, n)].astype(np.int64) for ids, n in found)
+        self.vocabulary = max(len(a.size), len(b.size))
+        self.a, self.b = (ids[np.repeat(sound, n)].astype(np.int32) for ids, n in found)
         self.n_a, self.n_b = (n[sound] for _, n in found)
-        # Where tokens end, over all texts one after another; both sides end with each text.
-        self.end_a, self.end_b = (np.cumsum(s.size[ids]) for s, ids in ((a, self.a), (b, self.b)))
-        self.cuts = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
+        # Marks of bytes with which a token ends, over all texts one after another; both sides end with each text.
+        total = int(self.size.sum())
+        ends_a, ends_b = np.zeros(total, bool), np.zeros(total, bool)
+        ends_a[np.cumsum(a.size[self.a]) - 1] = True
+        ends_b[np.cumsum(b.size[self.b]) - 1] = True
         # Each stretch between neighbouring ends is the overlap of one A and one B token.
-        stretches = np.union1d(self.end_a, self.end_b)
-        self.link_a = self.a[np.searchsorted(self.end_a, stretches)]
-        self.link_b = self.b[np.searchsorted(self.end_b, stretches)]
-        ends = np.cumsum(self.size)
-        self.link_text = np.searchsorted(ends, stretches)
-        self.n_groups = np.diff(np.concatenate(([0], np.searchsorted(self.cuts, ends, side="right"))))
-        self.n_links = np.bincount(self.link_text, minlength=len(ends)).astype(np.int64)
+        stretches = np.flatnonzero(ends_a | ends_b)
+        self.in_a, self.in_b = ends_a[stretches], ends_b[stretches]
+        before = lambda marks: np.cumsum(marks, dtype=np.int32) - marks
+        self.at_a, self.at_b, cut = before(self.in_a), before(self.in_b), self.in_a & self.in_b
+        self.group = before(cut)
+        self.link_a, self.link_b = self.a[self.at_a], self.b[self.at_b]
+        upto = np.concatenate(([0], np.searchsorted(stretches, np.cumsum(self.size))))
+        self.n_links = np.diff(upto)
+        self.n_groups = np.diff(np.concatenate(([0], np.cumsum(cut)))[upto])
+        self.link_text = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.n_links)
 
     def digests(self) -> list[str]:
         """For each of rows the SHA-256 of its groups, a1,a2|b1;a3|b2,b3."""
-        group_a, group_b = np.searchsorted(self.cuts, self.end_a), np.searchsorted(self.cuts, self.end_b)
-        at_a = np.arange(len(self.a)) + np.searchsorted(group_b, group_a)
-        at_b = np.arange(len(self.b)) + np.searchsorted(group_a, group_b, side="right")
+        # A token stands behind its own side's tokens before it and the other side's of all groups before (A) or up to its own (B).
+        group_a, group_b = self.group[self.in_a], self.group[self.in_b]
+        closes = self.in_a & self.in_b
+        b_before = np.concatenate(([0], self.at_b[closes] + 1))
+        a_upto = self.at_a[closes] + 1
         n = len(self.a) + len(self.b)
-        ids, marks = np.empty(n, np.int64), np.empty(n, np.uint8)
-        ids[at_a], ids[at_b] = self.a, self.b
-        last = lambda g: np.concatenate((g[1:] != g[:-1], [True])) if len(g) else np.zeros(0, bool)
-        marks[at_a] = np.where(last(group_a), ord("|"), ord(","))
-        marks[at_b] = np.where(last(group_b), ord(";"), ord(","))
-        data, lens = _decimals(ids, marks)
-        ends = np.cumsum(_sums(lens, self.n_a + self.n_b))
+        ids, marks = np.empty(n, np.int32), np.full(n, ord(","), np.uint8)
+        to_a = np.arange(len(self.a)) + b_before[group_a]
+        to_b = np.arange(len(self.b)) + a_upto[group_b]
+        ids[to_a], ids[to_b] = self.a, self.b
+        marks[to_a[a_upto - 1]] = ord("|")
+        marks[to_b[b_before[1:] - 1]] = ord(";")
+        table = _decimals(self.vocabulary)
+        data = table.joined(ids, marks)
+        ends = np.cumsum(_sums(table.size[ids], self.n_a + self.n_b))
         view = memoryview(np.ascontiguousarray(data))
         starts = np.concatenate(([0], ends[:-1])).tolist() if len(ends) else []
         return [hashlib.sha256(view[i : j - 1]).hexdigest() for i, j in zip(starts, ends.tolist())]  # the last mark goes
@@ -246,8 +270,12 @@ def _records(x: Aligned, size_a: int, size_b: int) -> Iterator[tuple[int, list[b
     if bits_a + max(bits_b, low) + bits_text > 63:
         raise ValueError("vocabularies of over 40 bits together")
     # Part first, then the rest of the B id, the A id and the document, in one number.
-    turned = (x.link_b % PARTS) << max(bits_b - low, 0) | x.link_b >> low
-    codes, links = np.unique((turned << bits_a | x.link_a) << bits_text | x.rows[x.link_text], return_counts=True)
+    link_b = x.link_b.astype(np.int64)
+    turned = (link_b % PARTS) << max(bits_b - low, 0) | link_b >> low
+    codes = (turned << bits_a | x.link_a) << bits_text | x.rows[x.link_text]
+    codes.sort()
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), codes[1:] != codes[:-1])))
+    codes, links = codes[at], np.diff(np.append(at, len(codes)))
     text, a, turned = codes & ((1 << bits_text) - 1), codes >> bits_text & ((1 << bits_a) - 1), codes >> bits_text + bits_a
     part = turned >> max(bits_b - low, 0)
     pair = ((turned & ((1 << max(bits_b - low, 0)) - 1)) << low | part) << A_BITS | a

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,20 +92,25 @@ class SegmentEncoder:
         b[: len(a)] = a
         return b
 
-    def _taken(self, segments: list[str], first: list[bool], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _taken(self, segments: list[str], first: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of segments[code] in order, and the number of each."""
         if self.held > self.entries or self.memo_bytes > self.most:
             self._reset()
-        held, get = self.held, [slot.get for slot in self.slot]
-        slots = np.fromiter((get[f](s, -1) for s, f in zip(segments, first)), np.int64, len(segments))
+        held, first = self.held, np.asarray(first, bool)
+        slots = np.empty(len(segments), np.int64)
+        for f in (False, True):
+            at = np.flatnonzero(first == f)
+            some = segments if len(at) == len(segments) else [segments[i] for i in at]
+            slots[at] = np.fromiter(map(self.slot[f].get, some, repeat(-1)), np.int64, len(at))
         missing = np.flatnonzero(slots < 0)
         kept_ids = self.used
         if len(missing):
-            long = np.fromiter((len(segments[i]) >= LONG for i in missing), bool, len(missing))
-            missing = np.concatenate((missing[~long], missing[long]))
-            new = [(segments[i], first[i]) for i in missing]
-            ids, lens = self.encode([s if f else " " + s for s, f in new])
-            n, short = len(new), len(new) - int(long.sum())
+            size = np.fromiter(map(len, [segments[i] for i in missing]), np.int64, len(missing))
+            # Short ones that follow a space, short first ones, long ones.
+            missing = missing[np.argsort(np.where(size >= LONG, 2, first[missing]), kind="stable")]
+            n, short, plain = len(missing), int((size < LONG).sum()), int((~first[missing[: int((size < LONG).sum())]]).sum())
+            new = [segments[i] for i in missing]
+            ids, lens = self.encode([s if f else " " + s for s, f in zip(new, first[missing].tolist())])
             self.starts, self.lens = self._room(self.starts, held + n), self._room(self.lens, held + n)
             self.flat = self._room(self.flat, self.used + len(ids))
             self.flat[self.used : self.used + len(ids)] = ids
@@ -112,9 +118,9 @@ class SegmentEncoder:
             self.starts[held : held + n] = self.used + np.cumsum(lens) - lens
             kept_ids = self.used + int(lens[:short].sum())
             slots[missing] = np.arange(held, held + n)
-            for k, (s, f) in enumerate(new[:short], held):
-                self.slot[f][s] = k
-                self.key_bytes += len(s)
+            self.slot[False].update(zip(new[:plain], range(held, held + plain)))
+            self.slot[True].update(zip(new[plain:short], range(held + plain, held + short)))
+            self.key_bytes += int(size[size < LONG].sum())
             self.held += short
         slots = slots[code]
         lens = self.lens[slots].astype(np.int64)
@@ -149,7 +155,7 @@ class SegmentEncoder:
         used = np.flatnonzero(np.bincount(code, minlength=2 * len(words)))
         place = np.zeros(2 * len(words), np.int64)
         place[used] = np.arange(len(used))
-        ids, lens = self._taken([words[i] for i in (used >> 1).tolist()], (used & 1).astype(bool).tolist(), place[code])
+        ids, lens = self._taken([words[i] for i in (used >> 1).tolist()], used & 1, place[code])
         ends = np.concatenate(([0], np.cumsum(lens)))
         return ids, np.diff(ends[at])
 
@@ -174,7 +180,7 @@ def library_encoder(path: str, entries: int = MEMO_ENTRIES, most: int = MEMO_BYT
     def alone(segments: list[str]) -> Ragged:
         found = [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum())), lens
 
     def encode(segments: list[str]) -> Ragged:
         """Joins segments that open with a space, as each then opens with a token that does; runs where other tokens do too are encoded one by one."""
@@ -222,7 +228,7 @@ def piece_encoder(path: str) -> SegmentEncoder:
     def encode(segments: list[str]) -> Ragged:
         found = model.encode([s[1:] for s in segments], num_threads=1)
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum())), lens
 
     return SegmentEncoder(encode, cut=None)
 
