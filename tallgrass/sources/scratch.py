@@ -11,6 +11,10 @@ _OWN: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or, where that is unset as in tests, in a folder of this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("folder", tempfile.mkdtemp(prefix="tallgrass-"))
+    """A new path in spark.checkpoint.dir, or, where that is unset as in tests, in a folder of this process, which only a session on one machine can use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _OWN.setdefault("folder", tempfile.mkdtemp(prefix="tallgrass-"))
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
