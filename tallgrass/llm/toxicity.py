@@ -28,8 +28,6 @@ from .common import in_batches, stash
 
 #: Labelled rows that the lexicon and the weights are fitted on at most, by the hash of doc_id.
 SAMPLE = 24_000
-#: Insult units kept at most, the best attested first.
-UNITS = 4_000
 #: Weight of a unit at least: it is ten times likelier in toxic contexts.
 LEAST = math.log(10)
 #: Letters of the beginnings of words that may be units.
@@ -243,7 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled documents whose crc32(doc_id) mod 3 is not 1.
 
     At most `sample` labelled rows are used, those of the smallest hashes; only
-    text and toxic are read of them.  A unit is taken when its likelihood ratio
+    text and toxic are read of them; equal texts are one, toxic if any is, and
+    in the half of the smallest doc_id, so that the order of rows has no say.
+    A unit is taken when its likelihood ratio
     is higher than the best of as many units by chance would be.  The weights
     are fitted on hits that the other half's insults find, the insults of the
     model are those of both halves.  Without labels of both kinds the model
@@ -253,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` pairs of numbers go to every executor.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = stash(rows.dropDuplicates(["text"]).withColumn("half", (F.crc32(F.col("doc_id").cast("string")) % 3 == 0).cast("int")), "labelled")
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    rows = stash(rows.withColumn("half", (F.crc32(F.col("doc_id").cast("string")) % 3 == 0).cast("int")), "labelled")
     sums = [f(F.when(F.col("half") == h, v)).alias(f"{n}{h}") for h in (0, 1) for f, n, v in ((F.sum, "bad", F.col("toxic")), (F.count, "all", F.lit(1)))]
     whole = [F.coalesce(F.col(f"{n}{h}"), F.lit(0)).alias(f"{n}{h}") for h in (0, 1) for n in ("bad", "all")]
     # Copies of a document bring no evidence of their own: words are counted in different contexts.
@@ -271,10 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     columns = [("bad0", "all0"), ("bad1", "all1"), ("bad0 + bad1", "all0 + all1")]
     gains = [_gain(F.expr(b), F.expr(a), *t) if 0 < t[0] < t[1] else F.lit(0.0) for (b, a), t in zip(columns, halves, strict=True)]
     named = counts.withColumns({f"gain{i}": g for i, g in enumerate(gains)})
-    best = [named.filter(F.col(f"gain{i}") > chance).orderBy(F.desc(f"gain{i}"), "unit").limit(UNITS).select("unit", F.expr(b).alias("bad"), F.expr(a).alias("rows")) for i, (b, a) in enumerate(columns)]
+    # The labelled sample bounds the units that are better attested than chance: each needs toxic contexts of its own.
+    best = [named.filter(F.col(f"gain{i}") > chance).select("unit", F.expr(b).alias("bad"), F.expr(a).alias("rows")) for i, (b, a) in enumerate(columns)]
     units = [lexicon([tuple(r) for r in part.collect()], *t, chance) for part, t in zip(best, halves, strict=True)]
-    found = [_sums(rows.filter(F.col("half") == h), Model(units[1 - h])).toPandas() for h in (0, 1)]
-    x, y = ([v for part in found for v in part[c].tolist()] for c in ("sums", "toxic"))
+    found = [sorted(map(tuple, _sums(rows.filter(F.col("half") == h), Model(units[1 - h])).select("sums", "toxic").collect())) for h in (0, 1)]
+    x, y = ([r[k] for part in found for r in part] for k in (0, 1))
     coefficients, intercept = _logistic(features(np.array(x, float)), np.array(y, float))
     return Model(units[2], coefficients, intercept)
 
