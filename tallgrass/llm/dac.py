@@ -186,8 +186,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         if held:
             yield close()
 
-    # A range of ids for each task; empty ones are files of no documents.
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # A range of ids for each task; rows of one id, whose order is free, are told apart by their texts, so that they can be split.
+    rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     return stash(ordered.mapInArrow(write, "path string, part int, number int, docs long, ids long"), "manifest")
 
 
