@@ -90,9 +90,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches(batches, work, SLICE_BYTES)
 
-    # Digests meet the cache first, so that texts which have a count aren't moved.
-    missing = stash(text.select("digest").distinct().join(known(), "digest", "left_anti"), "missing")
-    texts = text.select("digest", "text").join(missing, "digest", "left_semi").dropDuplicates(["digest"])
+    # Digests meet the cache first, so that texts which have a count aren't moved.  Of each digest that is missing one
+    # id is chosen before any text is: copies of a hot text differ by id, and so go to different tasks.
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    missing = text.groupBy("digest").agg(F.min(own).alias("own")).join(known(), "digest", "left_anti")
+    missing = stash(missing.select("digest", "own"), "missing")
+    texts = text.select("digest", own.alias("own"), "text").join(missing, ["digest", "own"], "left_semi").dropDuplicates(["digest"])
     counted = texts.mapInArrow(encode, "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     rows = text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
