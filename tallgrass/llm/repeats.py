@@ -42,7 +42,7 @@ GRAM = 32
 PLACES = 15
 #: Windows of a block on each level of merging.
 BLOCKS = (35, 5, 1)
-#: Pieces of one core that one merge takes; those of more are dealt in parts.
+#: Pieces of one core that one merge takes, where they are short; those of more are dealt in parts.
 PART = 1 << 13
 #: Bytes that are merged at a time, but for a core's or part's that are more, and shards that they are spread over.
 MERGE, SHARDS = 1 << 18, 8
@@ -231,6 +231,8 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, order: np.ndarray, len
     order: a number for each place, equal only where the same place of a text
     stands twice.  Strings go to the shards in turn.
     """
+    if len(data) >= 1 << _BITS:
+        raise ValueError("the strings are too many for a place's bits")
     ends, string = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
     left = ends[string] - np.arange(len(data))
     name, window = names(data, left, STEP), left >= length
@@ -322,10 +324,16 @@ def _shared(found: DataFrame) -> DataFrame:
     return found.repartition(spread).sortWithinPartitions("core").mapInArrow(run, found.schema)
 
 
-def _dealt(found: DataFrame) -> DataFrame:
-    """Pieces with the key of their merge (group): the core, or a part of it where it has more than PART; flag 1 in place marks those."""
-    counts = found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > PART)
-    crowded = stash(counts.select(F.col("core").alias("_core"), F.ceil(F.col("c") / PART).alias("_parts")), "crowded")
+def part_size(length: int) -> int:
+    """Pieces that one merge takes: so many that places of about twice their bytes still fit in _BITS."""
+    return max(1, min(PART, (1 << _BITS) * 10 // 19 // (BLOCKS[0] + length - 1)))
+
+
+def _dealt(found: DataFrame, length: int) -> DataFrame:
+    """Pieces with the key of their merge (group): the core, or a part of it where it has more than part_size; flag 1 in place marks those."""
+    most = part_size(length)
+    counts = found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most)
+    crowded = stash(counts.select(F.col("core").alias("_core"), F.ceil(F.col("c") / most).alias("_parts")), "crowded")
     plain = F.col("place").bitwiseAND(F.lit((1 << _FLAG) - 1))
     if crowded.isEmpty():
         return found.withColumns({"group": F.col("core"), "place": plain})
@@ -416,7 +424,7 @@ def _merged(strings: DataFrame, length: int) -> DataFrame:
             yield _rows(0, d[alive], x[alive], place[alive] & ((1 << _FLAG) - 1), table["bytes"].filter(pa.array(alive)).combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["group"], least=PART):
+        for table in runs(batches, ["group"], least=part_size(length)):
             table = table.combine_chunks()
             d, x, place = (table[k].to_numpy() for k in ("d", "x", "place"))
             plain, by = place & ((1 << _FLAG) - 1), np.lexsort((x, d))
@@ -466,7 +474,7 @@ def _repeats(texts: DataFrame, length: int) -> DataFrame:
     """Runs (d, x, start, stop) of bytes that repeated windows cover, texts being different from each other."""
     blocks = [min(b, length - GRAM + 1) for b in BLOCKS]
     found = stash(_shared(_search(texts, length, blocks[0])), "pieces")
-    merged = stash(_merged(_strings(texts, _dealt(found), length), length), "merged")
+    merged = stash(_merged(_strings(texts, _dealt(found, length), length), length), "merged")
     start = F.shiftright("place", _START)
     out, rest = merged.filter("kind = 1"), merged.filter("kind = 0")
     for block in blocks[1:]:
@@ -478,7 +486,7 @@ def _repeats(texts: DataFrame, length: int) -> DataFrame:
             later = finer.join(stash(first, "windows"), "bytes").filter(F.struct("d", "x", start.alias("s")) != F.col("first"))
             out = out.unionByName(later.select(F.lit(1).alias("kind"), "d", "x", "place", F.lit(None).cast("binary").alias("bytes")))
         else:
-            merged = stash(_merged(_dealt(finer).select(*[c.split()[0] for c in _STRINGS.split(", ")]), length), "merged")
+            merged = stash(_merged(_dealt(finer, length).select(*[c.split()[0] for c in _STRINGS.split(", ")]), length), "merged")
             out, rest = out.unionByName(merged.filter("kind = 1")), merged.filter("kind = 0")
     n = F.col("place").bitwiseAND(F.lit((1 << _REL) - 1))
     return out.select("d", "x", start.alias("start"), (start + n + (length - 1)).alias("stop"))
