@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm import exact, packing, secrets, simhash, toxicity
-from tallgrass.llm.common import scratch_path
+from tallgrass.llm.common import clear_scratch, scratch_mark, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written and read again as the next one's input."""
+    """Applies the stages to documents, each written and read again as the next one's input.
+
+    Null texts count as empty, rows that repeat are copies of each other, an
+    empty table gives no pieces, and columns beside doc_id and text are carried
+    up to the last stage; see the stages' operators.  What a stage has written
+    on its way is removed when its result stands.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch_path(spark, "pipeline")
+    folder, mark = scratch_path(spark, "pipeline"), scratch_mark(spark)
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clear_scratch(spark, mark)
     return docs

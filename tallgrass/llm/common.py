@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,32 +9,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..sources.scratch import shared_path
+
+#: Folders of tables that this process has written, by the session's application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset as in tests, one of this process's own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    return _OWN.setdefault("folder", tempfile.mkdtemp(prefix="tallgrass-"))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share."""
+    path = shared_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a table to the shared folder and reads it again, so that a lost executor costs no more than the step at hand."""
+    """Writes a table to the shared folder and reads it again, so that a lost executor costs no more than the step at hand.
+
+    The tables stay for as long as results may be read from them; see clear_scratch.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark(spark: SparkSession) -> int:
+    """A mark for clear_scratch: what is written from now on."""
+    return len(_WRITTEN.setdefault(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, but: str | None = None) -> int:
+    """Removes the intermediate tables that this process has written since a mark, but for those in a folder, and says how many.
+
+    Results that rest on them and aren't written elsewhere are lost.
+    """
+    held = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    gone = [p for p in held[since:] if not but or not p.startswith(but)]
+    held[since:] = [p for p in held[since:] if p not in gone]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(gone)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
