@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -208,30 +205,6 @@ def backfill_union(spark, sf_dir):
     return rows.distinct().join(old, ["owner", "v"], "left_anti").select("owner", "kind", "v")
 
 
-@query("""
-WITH t AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(p_name, ' ')) AS w FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 3) AS jaccard FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) > 0""")
-def token_jaccard(spark, sf_dir):
-    """Token overlap of names within a block (brand and size)."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("w").alias("wa")), p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("wb"))
-    j = a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & F.arrays_overlap("wa", "wb"))
-    return j.select("a", "b", R.jaccard(F.col("wa"), F.col("wb")).alias("jaccard"))
-
-
-@query()
-def name_similarity(spark, sf_dir):
-    """The larger of token overlap and the matching-blocks ratio of sorted tokens, for names of one block that share a token."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 3) for x, y in zip(a, b)])
-
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("w").alias("wa")), p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("wb"))
-    j = a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & F.arrays_overlap("wa", "wb"))
-    return j.select("a", "b", F.greatest(R.jaccard(F.col("wa"), F.col("wb")), ratio(F.array_join("wa", ""), F.array_join("wb", ""))).alias("similarity"))
-
-
 @query("""
 WITH s AS (SELECT o_custkey AS user_id, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders GROUP BY 1)
 SELECT c_custkey, c_mktsegment, orders, CAST(spent AS DOUBLE) AS spent, CAST(least(100, orders * 3 + CASE WHEN c_acctbal > 5000 THEN 25 ELSE 5 END + CASE WHEN spent > 2000000 THEN 30 ELSE 10 END) AS BIGINT) AS score FROM customer JOIN s ON c_custkey = user_id
