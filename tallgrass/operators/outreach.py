@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of replies, of opt-outs and of raw mail; what suppresses an address; moves that an event may cause.
+from .lifecycle import moving_to
+
+#: Words of replies, of opt-outs and of raw mail; what suppresses an address.
 REPLIES = {
     "not_interested": ["not interested", "no thanks", "not for us", "please remove", "no thank you"],
     "wrong_person": ["wrong person", "not the right person", "reach out to", "forward this to", "try contacting"],
@@ -21,8 +23,6 @@ RAW = {
     "complaint": ["abuse report", "spam complaint", "this is spam", "arf report", "feedback loop"],
 }
 SUPPRESSES = ["bounce_hard", "complaint", "unsubscribe"]
-BOUNCED_FROM, REPLIED_FROM = ["sent", "unknown"], ["sent"]
-NEVER_OPTED_OUT = ["opted_out", "done"]
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -84,16 +84,16 @@ def ingested(events: DataFrame, messages: DataFrame, contacts: DataFrame) -> Dat
 def states_after(targets: DataFrame, events: DataFrame) -> DataFrame:
     """(target, state) after all events, as if each came in turn; moves that aren't allowed are ignored.
 
-    Events only ask for bounced, replied and opted_out, and each of these
+    Events only ask for bounced, replied and opted_out, and of these each
     leaves only opted_out open, so the first event of each kind decides: three
     minima per target, however many events it has.
     """
     first = lambda s: F.min(F.when(F.col("asked") == s, F.struct("occurred_at", "dedupe_key")))
     asked = events.filter("target IS NOT NULL").groupBy("target").agg(first("bounced").alias("b"), first("replied").alias("r"), first("opted_out").alias("o"))
     s = F.col("state")
-    bounces, replies = s.isin(BOUNCED_FROM) & F.col("b").isNotNull(), s.isin(REPLIED_FROM) & F.col("r").isNotNull()
+    bounces, replies = s.isin(moving_to("bounced")) & F.col("b").isNotNull(), s.isin(moving_to("replied")) & F.col("r").isNotNull()
     state = (
-        F.when(F.col("o").isNotNull() & ~s.isin(NEVER_OPTED_OUT), "opted_out").when(bounces & replies, F.when(F.col("b") < F.col("r"), "bounced").otherwise("replied"))
+        F.when(F.col("o").isNotNull() & s.isin(moving_to("opted_out")), "opted_out").when(bounces & replies, F.when(F.col("b") < F.col("r"), "bounced").otherwise("replied"))
         .when(bounces, "bounced").when(replies, "replied").otherwise(s)
     )
     return targets.join(asked, "target", "left").select("target", state.alias("state"))

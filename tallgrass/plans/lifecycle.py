@@ -7,20 +7,51 @@ from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
 from ..sources.scratch import shared_path
+from ..streaming import advance as A
 from ..streaming import events as S
 from .base import query, table
 
-STATE_SQL = "CASE event_type WHEN 'signup' THEN 'enrolled' WHEN 'view' THEN 'drafted' WHEN 'click' THEN 'sent' WHEN 'purchase' THEN 'replied' WHEN 'error' THEN 'bounced' END"
+#: What an event asks for, by its kind, and rarer moves by its value.
+ASKS = {"signup": "drafted", "view": "approved", "click": "queued", "purchase": "sent", "error": "bounced"}
+RARE = [(99.7, "opted_out"), (99.4, "done"), (92, "follow_up"), (86, "no_response"), (78, "replied"), (75, "unknown"), (72, None)]
+ASKED_SQL = "CASE " + " ".join(f"WHEN value > {v} THEN {repr(s) if s else 'NULL'}" for v, s in RARE) + " ELSE CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ASKS.items()) + " END END"
+MOVES_SQL = ", ".join(f"'{a}>{b}'" for a, to in L.TARGET_MOVES.items() for b in to)
+
+
+def asked():
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in ASKS.items()])
+    out = kind
+    for v, s in reversed(RARE):
+        out = F.when(F.col("value") > v, F.lit(s)).otherwise(out)
+    return out
+
+
+def asking(spark, sf_dir):
+    """Events with the state that they ask for."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("target"), F.col("ts").cast("timestamp").alias("ts"), "event_id", asked().alias("asked"))
 
 
 @query(f"""
-WITH s AS (SELECT user_id, event_id, {STATE_SQL} AS after, lag({STATE_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT user_id, event_id, coalesce(before, 'none') AS before, after, before IS NULL OR before = after OR (before || '>' || after) IN ('enrolled>drafted','enrolled>opted_out','drafted>sent','drafted>opted_out','sent>replied','sent>bounced','sent>opted_out','replied>opted_out') AS valid FROM s""")
+WITH s AS (SELECT user_id, event_id, {ASKED_SQL} AS after, lag({ASKED_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, event_id, before, after, CASE WHEN after IS NULL THEN 'unknown state' WHEN before IS NULL THEN 'missing' WHEN before = after THEN 'noop' WHEN before || '>' || after IN ({MOVES_SQL}) THEN 'ok' ELSE 'illegal' END AS verdict FROM s""")
 def state_transitions_valid(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("after", L.state_of(F.col("event_type")))
-    e = e.withColumn("before", F.lag("after").over(w))
-    return e.select("user_id", "event_id", F.coalesce("before", F.lit("none")).alias("before"), "after", L.allowed(F.col("before"), F.col("after")).alias("valid"))
+    """What each asked move is, seen from what was asked before it."""
+    w = Window.partitionBy("target").orderBy("ts", "event_id")
+    e = asking(spark, sf_dir).withColumns({"before": F.lag("asked").over(w), "after": F.col("asked")})
+    return e.select(F.col("target").alias("user_id"), "event_id", "before", "after", L.verdict(F.col("before"), F.col("after")).alias("verdict"))
+
+
+MESSAGE_SQL = ", ".join(f"'{a}>{b}'" for a, to in L.MESSAGE_MOVES.items() for b in to)
+
+
+@query(f"""
+WITH m AS (SELECT *, list_extract({list(L.MESSAGE_MOVES)!r}, CAST(o_orderkey % 7 + 1 AS INT)) AS before, list_extract({[*L.MESSAGE_MOVES, "lost"]!r}, CAST(o_custkey % 8 + 1 AS INT)) AS after FROM orders)
+SELECT before, after, CASE WHEN after = 'lost' THEN 'unknown state' WHEN before = after THEN 'noop' WHEN before || '>' || after IN ({MESSAGE_SQL}) THEN 'ok' ELSE 'illegal' END AS verdict, count(*) AS n FROM m GROUP BY ALL""")
+def message_moves(spark, sf_dir):
+    """Moves of messages by what they are."""
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select(pick(list(L.MESSAGE_MOVES), F.col("o_orderkey")).alias("before"), pick([*L.MESSAGE_MOVES, "lost"], F.col("o_custkey")).alias("after"))
+    return o.withColumn("verdict", L.verdict(F.col("before"), F.col("after"), "message")).groupBy("before", "after", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -88,42 +119,58 @@ def sessions(spark, sf_dir):
     return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-FOLD_SQL = """
-WITH m(before, after) AS (VALUES ('none', 'enrolled'), ('enrolled', 'drafted'), ('drafted', 'sent'), ('sent', 'replied'), ('sent', 'bounced')),
-t AS (SELECT list(before || '>' || after) AS moves FROM m),
-l AS (SELECT user_id, count(*) AS n, list(CASE event_type WHEN 'signup' THEN 'enrolled' WHEN 'view' THEN 'drafted' WHEN 'click' THEN 'sent' WHEN 'purchase' THEN 'replied' WHEN 'error' THEN 'bounced' END ORDER BY ts, event_id) AS asked FROM events GROUP BY 1)
-SELECT user_id, nullif(list_reduce(list_prepend('none', asked), lambda s, a: CASE WHEN list_contains(moves, s || '>' || a) THEN a ELSE s END), 'none') AS state, n FROM l, t"""
+FOLD_SQL = f"""
+WITH l AS (SELECT user_id, count(*) AS n, list({ASKED_SQL} ORDER BY ts, event_id) AS asked FROM events GROUP BY 1)
+SELECT user_id, list_reduce(list_prepend('{L.FIRST}', asked), lambda s, a: CASE WHEN list_contains([{MOVES_SQL}], s || '>' || a) THEN a ELSE s END) AS state, n FROM l"""
 
 
 @query(FOLD_SQL)
 def lifecycle_fold(spark, sf_dir):
-    """Every user's last state by the ordered fold, in batch."""
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    return L.ordered_maps(e).select("user_id", L.applied(F.lit(0)).alias("state"), "n")
+    """Every target's last state by the ordered fold, in batch."""
+    return L.ordered_maps(asking(spark, sf_dir)).select(F.col("target").alias("user_id"), L.applied().alias("state"), "n")
+
+
+@query(FOLD_SQL)
+def stream_state_machine(spark, sf_dir):
+    """The same from a stream in disorder, with timers and a store of what isn't final."""
+    path = shared_path(spark, "events")
+    delay, _ = S.staged(asking(spark, sf_dir), path, slices=5)
+    A.with_rocks(spark)
+    rows = S.run_to_table(A.advanced(S.read_events(spark, path), delay), shared_path(spark, "states"), "append")
+    return rows.groupBy(F.col("target").alias("user_id")).agg(F.max_by("state", "n").alias("state"), F.max("n").alias("n"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS business, o_orderkey AS observation, o_orderdate AS ts, o_orderdate + to_days(CAST(o_orderkey % 400 AS INT)) AS deadline FROM orders)
+SELECT business, observation, deadline FROM o WHERE observation % 5 <> 0 AND deadline < (SELECT max(ts) FROM o) + INTERVAL 1 DAY""")
+def stream_observations_due(spark, sf_dir):
+    """Observations as their deadlines come, until the end of what is known."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("business"), F.col("o_orderkey").alias("observation"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    o = o.withColumn("deadline", F.when(F.col("observation") % 5 != 0, F.timestamp_micros(F.unix_micros("ts") + F.col("observation") % 400 * 86_400_000_000)))
+    path = shared_path(spark, "observations")
+    delay, _ = S.staged(o, path, slices=4)
+    A.with_rocks(spark)
+    rows = S.run_to_table(A.due(S.read_events(spark, path), delay), shared_path(spark, "due"), "append")
+    return rows.withColumn("deadline", F.col("deadline").cast("timestamp_ntz"))
 
 
 @query("""
 SELECT substr(sha1(event_type || '|' || user_id || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')), 1, 20) AS dedupe_key, user_id, event_type FROM events GROUP BY ALL""")
 def stream_event_dedupe(spark, sf_dir):
     """A stream of events, the first of each key."""
-    path = f"{sf_dir}/events.parquet"
-    found = S.deduplicated(S.read_events(spark, path), S.whole_span(spark, path)).select("dedupe_key", "user_id", "event_type")
+    path = shared_path(spark, "events")
+    delay, _ = S.staged(table(spark, sf_dir, "events"), path)
+    found = S.deduplicated(S.read_events(spark, path).filter("event_id IS NOT NULL"), delay).select("dedupe_key", "user_id", "event_type")
     return S.run_to_table(found, shared_path(spark, "dedupe"), "append")
 
 
-@query(FOLD_SQL)
-def stream_state_machine(spark, sf_dir):
-    """The lifecycle as a stateful stream."""
-    events = S.read_events(spark, f"{sf_dir}/events.parquet", files=None).select("user_id", "ts", "event_id", "event_type")
-    return S.run_to_table(events, shared_path(spark, "states"), "append", ["user_id"], S.states, S.STATES)
-
-
 @query("""
 WITH s AS (SELECT event_type, epoch_us(ts) // 1800000000 AS h FROM events), w AS (SELECT event_type, h - CAST(unnest([0, 1]) AS BIGINT) AS h FROM s)
 SELECT h * 1800 AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_windowed_counts(spark, sf_dir):
     """Events of each hour, sliding by half an hour, from a stream in update mode."""
-    path = f"{sf_dir}/events.parquet"
-    found = S.windowed(S.read_events(spark, path), delay=S.whole_span(spark, path))
+    path = shared_path(spark, "events")
+    delay, _ = S.staged(table(spark, sf_dir, "events"), path)
+    found = S.windowed(S.read_events(spark, path), delay=delay).filter("event_type IS NOT NULL")
     rows = S.run_to_table(found, shared_path(spark, "windows"), "update", ["start", "event_type"])
     return rows.select(F.unix_timestamp("start").alias("start"), "event_type", "n")

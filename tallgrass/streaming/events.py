@@ -1,4 +1,4 @@
-"""Events as streams: deduplicated within a watermark, folded into a state per target, and counted by windows."""
+"""Events as streams: staged by time, deduplicated within a watermark, and counted by windows; states and deadlines are in advance.py."""
 
 from __future__ import annotations
 
@@ -8,27 +8,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lifecycle import applied, numbered, ordered_maps
 
 
-def read_events(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
-    """A stream of a table's files (one file, or a folder of part files), with event times in UTC; files None: all of them at once."""
+def read_events(spark: SparkSession, path: str, files: int = 8, time: str = "ts") -> DataFrame:
+    """A stream of a table's files (one file, or a folder of part files), the earlier written first, with event times in UTC."""
     schema = spark.read.parquet(path).schema
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
         # A stream takes a single file only as what a pattern finds.
         path = re.sub(r"([{}\[\]?*\\])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
-    reader = spark.readStream.schema(schema)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
-def whole_span(spark: SparkSession, path: str) -> str:
-    """A delay by which no row of a table is late, whatever the order of its files."""
-    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
-    span = spark.read.parquet(path).agg((F.max(ts) - F.min(ts)).alias("s")).first().s
-    return f"{(span or 0) + 86_400} seconds"
+def staged(rows: DataFrame, path: str, slices: int = 10, time: str = "ts") -> tuple[str, int]:
+    """Writes a table as the files of a stream, slice by slice of its time span, and a closing row; returns the delay in which no row is late, and the span's end in microseconds.
+
+    Within a slice rows stand in any order.  The closing row has a time beyond
+    the end and nulls elsewhere; it lets the watermark pass the end.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        rows.limit(0).write.parquet(path)
+        return "1 hour", 0
+    width = (high - low) // slices + 1
+    for k in range(slices):
+        part = rows.filter((at >= low + k * width) & (at < low + (k + 1) * width))
+        part.write.mode("append").parquet(path)
+    delay = width // 1_000_000 + 3600
+    kind = rows.schema[time].dataType
+    closing = F.timestamp_micros(F.lit(high + delay * 1_000_000 + 86_400_000_000))
+    one = rows.sparkSession.range(1).select(*[(closing.cast(kind) if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    one.coalesce(1).write.mode("append").parquet(path)
+    return f"{delay} seconds", high
 
 
 def dedupe_key() -> F.Column:
@@ -41,24 +53,6 @@ def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
     return events.withColumn("dedupe_key", dedupe_key()).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-STATES = "user_id long, state string, n long"
-
-
-def states(events: DataFrame, kept: DataFrame | None) -> DataFrame:
-    """(user_id, state, n) of a batch's targets: an ordered fold that goes on from the states kept of earlier batches.
-
-    A batch's events are folded in the order of time and id, in tasks that
-    stream by; a target's events must arrive in the order of batches, so a table
-    whose files have no order comes as one batch (read_events with files None).
-    """
-    found = ordered_maps(events)
-    if kept is None:
-        return found.select("user_id", applied(F.lit(0)).alias("state"), "n")
-    old = kept.select(F.col("user_id").alias("_user"), F.col("state").alias("_state"), F.col("n").alias("_n"))
-    found = found.join(old, F.col("user_id").eqNullSafe(F.col("_user")), "left")
-    return found.select("user_id", applied(numbered(F.col("_state"))).alias("state"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-
-
 def windowed(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     w = F.window("ts", width, slide)
     return events.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

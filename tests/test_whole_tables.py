@@ -50,27 +50,30 @@ def test_lifecycle_of_a_user_of_many_events(spark, tmp_path):
     import random
 
     from tallgrass.operators import lifecycle as L
+    from tallgrass.plans.lifecycle import ASKS
 
     r = random.Random(3)
-    kinds = [*L.ASKS, "other"]
+    kinds = [*ASKS, "other"]
     rows = [(7 if r.random() < 0.6 else r.randrange(8, 60), i, r.randrange(10_000), r.choice(kinds)) for i in range(5_000)]
     df = spark.createDataFrame(rows, "user_id long, event_id long, s long, event_type string")
-    df.select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"), "event_type").repartition(9).write.parquet(str(tmp_path / "events.parquet"))
+    df.select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"), "event_type", F.lit(1.0).alias("value")).repartition(9).write.parquet(str(tmp_path / "events.parquet"))
     want = {}
     for user, _, _, kind in sorted(rows, key=lambda x: (x[2], x[1])):
-        state, n = want.get(user, (None, 0))
-        want[user] = L.step(state, L.ASKS.get(kind)), n + 1
+        state, n = want.get(user, (L.FIRST, 0))
+        want[user] = L.step(state, ASKS.get(kind)), n + 1
     found = catalogue.QUERIES["lifecycle_fold"](spark, str(tmp_path))
     assert {x.user_id: (x.state, x.n) for x in found.collect()} == want
     assert "InPandas" not in found._jdf.queryExecution().toString()  # no user's events meet in one frame
 
 
 def test_states_go_on_from_earlier_batches(spark):
-    from tallgrass.streaming import events as S
+    from tallgrass.operators import lifecycle as L
+    from tallgrass.plans.lifecycle import asking
 
-    e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    e = asking(spark, SF)
     cut = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.4)).first()[0]
     early, late = e.filter(F.unix_micros("ts") <= cut), e.filter(F.unix_micros("ts") > cut)
-    kept = S.states(early, None)
-    got = {r.user_id: (r.state, r.n) for r in kept.collect()} | {r.user_id: (r.state, r.n) for r in S.states(late, kept).collect()}
-    assert got == {r.user_id: (r.state, r.n) for r in catalogue.QUERIES["lifecycle_fold"](spark, SF).collect()}
+    kept = L.ordered_maps(early).select("target", L.applied().alias("kept"))
+    again = L.ordered_maps(late).join(kept, "target", "full").select("target", F.when(F.col("maps").isNull(), F.col("kept")).otherwise(L.applied(F.col("kept"))).alias("state"))
+    got = {r.target: r.state for r in again.collect()}
+    assert got == {r.user_id: r.state for r in catalogue.QUERIES["lifecycle_fold"](spark, SF).collect()}
