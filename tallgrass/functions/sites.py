@@ -83,9 +83,23 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def _firsts(xs: Column, key) -> Column:
-    """Of elements of one key the first."""
-    return T.let(F.transform(xs, lambda x: key(x)), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+def _firsts(xs: Column, key, most: int | None = None) -> Column:
+    """Of elements of one key the first, in order, and at most so many of them; by one sort, whatever their number."""
+    def first(keyed: Column) -> Column:
+        new = F.filter(keyed, lambda x, j: (j == 0) | (F.get(keyed, j - 1)["k"] != x["k"]))
+        at = F.array_sort(F.transform(new, lambda x: x["i"]))
+        return F.transform(F.slice(at, 1, most) if most else at, lambda i: F.get(xs, i))
+
+    return T.let(F.array_sort(F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))), first)
+
+
+def running(xs: Column, rounds: int = 7) -> Column:
+    """Running sums of an array of up to 8 ** rounds numbers: each round adds what stands 1 to 7 steps of 8 ** k before."""
+    for k in range(rounds):
+        before = lambda a, i, n=8**k: sum((F.coalesce(F.get(a, i - F.lit(j * n)), F.lit(0)) for j in range(2, 8)), F.coalesce(F.get(a, i - F.lit(n)), F.lit(0)))
+        step = lambda a, n=8**k, before=before: F.when(F.size(a) > n, F.transform(a, lambda x, i: x + before(a, i))).otherwise(a)
+        xs = T.let(xs, step)
+    return xs
 
 
 def visible_text(html: Column) -> Column:
@@ -215,15 +229,30 @@ def headcount_range(n: Column) -> Column:
 
 
 def windows(text: Column, pattern: str, most: int | None = None) -> Column:
-    """(start from 0, match) of a pattern's matches, the first ones where most is given."""
+    """(start from 0, match) of a pattern's matches, the first ones where most is given; linear in the text."""
     def placed(x: Column) -> Column:
-        parts, found = x["parts"], x["found"]
-        before = lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
-        return F.transform(F.slice(found, 1, most) if most else found, lambda m, i: F.struct(before(i).alias("start"), m.alias("match")))
+        found = F.slice(x["found"], 1, most) if most else x["found"]
+        steps = F.transform(found, lambda m, i: F.length(F.get(x["parts"], i)) + F.coalesce(F.length(F.get(x["found"], i - 1)), F.lit(0)))
+        return T.let(running(steps), lambda at: F.transform(found, lambda m, i: F.struct(F.get(at, i).alias("start"), m.alias("match"))))
 
     return T.let(F.struct(F.split(text, pattern, -1).alias("parts"), _all(text, pattern, 0).alias("found")), placed)
 
 
+#: Characters of a piece of a text, and those that it repeats of its neighbours; a passage is cut from its piece, as a cut walks from the beginning.
+PIECE, PAD = 2048, 512
+
+
+def pieces(text: Column) -> Column:
+    each = lambda i: F.substring(text, F.greatest(i * PIECE - PAD, F.lit(0)) + 1, F.lit(PIECE + 2 * PAD))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), each)
+
+
+def passage(pieces: Column, start: Column, length: Column) -> Column:
+    """The characters from start (from 0) on, up to PAD of them, by the pieces of a text."""
+    i = F.floor(start / PIECE).cast("int")
+    return F.substring(F.get(pieces, i), start - F.greatest(i * PIECE - PAD, F.lit(0)) + 1, length)
+
+
 def _around(text: Column, w: Column, before: int, after: int) -> Column:
     start = F.greatest(w["start"] - before, F.lit(0))
     return F.substring(text, start + 1, w["start"] + F.length(w["match"]) + after - start)
@@ -258,15 +287,17 @@ def people(text: Column, url: Column, most: int = 8) -> Column:
     """Names beside titles: an array of (name, title, context), context team or other. A name behind its title is preferred to one before it."""
     good = lambda zone: F.filter(_all(zone, NAME), lambda n: ~F.lower(n).isin(NO_NAMES) & ~n.rlike(TITLES) & ~F.exists(F.split(F.lower(n), r"\s+"), lambda t: t.isin(NO_NAME_WORDS)))
 
-    def found(t: Column) -> Column:
+    def found(x: Column) -> Column:
+        cut = lambda start, end: passage(x["pieces"], start, F.least(end - start, F.lit(PAD)))
         end = lambda w: w["start"] + F.length(w["match"])
-        after = lambda w: F.get(good(F.substring(t, end(w) + 1, F.lit(60))), F.lit(0))
-        zone = lambda w: F.substring(t, F.greatest(w["start"] - 59, F.lit(1)), F.least(w["start"], F.lit(60)))
+        after = lambda w: F.get(good(cut(end(w), end(w) + 60)), F.lit(0))
+        zone = lambda w: cut(F.greatest(w["start"] - 60, F.lit(0)), w["start"])
         name = lambda w: F.coalesce(after(w), F.try_element_at(good(zone(w)), F.lit(-1)))
-        around = lambda w: _around(t, w, 120, 120)
+        around = lambda w: cut(F.greatest(w["start"] - 120, F.lit(0)), end(w) + 120)
         team = lambda w: around(w).rlike(TEAM_TEXT) | F.coalesce(url.rlike(TEAM_URL), F.lit(False))
-        hits = F.filter(windows(t, TITLES), lambda w: ~review_noise(around(w)))
+        hits = F.filter(x["hits"], lambda w: ~review_noise(around(w)))
         people = F.transform(hits, lambda w: F.struct(name(w).alias("name"), F.initcap(w["match"]).alias("title"), F.when(team(w), "team").otherwise("other").alias("context")))
         return F.filter(people, lambda p: p["name"].isNotNull())
 
-    return F.slice(T.let(T.let(text, found), lambda ps: _firsts(ps, lambda p: F.lower(p["name"]))), 1, most)
+    parted = T.let(text, lambda t: F.struct(pieces(t).alias("pieces"), windows(t, TITLES).alias("hits")))
+    return T.let(T.let(parted, found), lambda ps: _firsts(ps, lambda p: F.lower(p["name"]), most))

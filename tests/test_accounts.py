@@ -137,3 +137,24 @@ def test_letters(spark):
         L.letter("{{a}} {{b}} {{c}}", {"a": F.lit("x")})
     body = L.letter("\n {{a}}-{{b}}\n", {"a": F.lit("x {{b}}"), "b": F.lit(None).cast("string")})
     assert spark.range(1).select(body.alias("t")).first().t == "x {{b}}-\n"
+
+
+def test_windows_and_people_of_long_pages(spark):
+    """Places by running sums over thousands of matches, with characters of several bytes, and people across the pieces of a text."""
+    import random
+    import re
+    import time
+
+    r = random.Random(1)
+    words = ["Owner é", "director", "xx", "zz ", "日本", "Manager"]
+    long = " ".join(r.choice(words) for _ in range(6000))
+    rows = spark.createDataFrame([(long,), ("",), ("Owner",), (None,)], "t string")
+    got = [r.w if r.w is None else [tuple(x) for x in r.w] for r in rows.select(S.windows(F.col("t"), S.TITLES).alias("w")).collect()]
+    assert got == [[(m.start(), m[0]) for m in re.finditer(S.TITLES, long)], [], [(0, "Owner")], None]
+    name = lambda i: "Jo" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    page = "".join(f"Owner {name(i)} Doe ok é. " for i in range(20_000))
+    big = spark.createDataFrame([(page,)], "t string")
+    began = time.time()
+    found = big.select(S.people(F.col("t"), F.lit("https://x.com/"), 20_000).alias("p")).first().p
+    assert [p.name for p in found] == [f"{name(i)} Doe" for i in range(17_576)] and {p.title for p in found} == {"Owner"}
+    assert time.time() - began < 60
