@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     missing = text.groupBy("digest").agg(F.min(own).alias("own")).join(known(), "digest", "left_anti")
     missing = stash(missing.select("digest", "own"), "missing")
-    texts = text.select("digest", own.alias("own"), "text").join(missing, ["digest", "own"], "left_semi").dropDuplicates(["digest"])
+    texts = text.select("digest", own.alias("own"), "text").join(missing, ["digest", "own"], "left_semi").dropDuplicates(["digest", "own"])
     counted = texts.mapInArrow(encode, "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     rows = text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
