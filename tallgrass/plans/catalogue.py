@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounts, analytics, decisions, entities, extraction, imports, lifecycle, listings, phones, profiles, register, rules, search, sheets  # noqa: F401
+from . import accounts, analytics, connectors, decisions, entities, extraction, imports, lifecycle, listings, phones, profiles, register, rules, search, sheets  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -158,16 +158,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in files.upserted(old, new, ["k"], "at").collect()} == {(1, 1, "a"), (2, 2, "c")}
 
 
-def test_paged_source(spark, tmp_path):
-    from tallgrass.sources.paged import PagedSearch
-
-    item = lambda n, s, c: {"company_number": n, "company_name": n, "company_status": s, "sic_codes": c, "registered_office_address": {"locality": "X"}}
-    (tmp_path / "1.json").write_text(json.dumps({"items": [item("1", "active", ["1"]), item("2", "dissolved", ["1"])]}))
-    (tmp_path / "2.json").write_text(json.dumps({"items": [item("3", "active", ["82200"])]}))
-    spark.dataSource.register(PagedSearch)
-    found = spark.read.format("paged_search").option("folder", str(tmp_path)).option("exclude", "82200").load()
-    assert [r.number for r in found.collect()] == ["1"]
-
 
 def test_stages_resume(spark, tmp_path):
     plan = [("double", lambda s, d: d.withColumn("id", F.col("id") * 2)), ("keep", lambda s, d: d.filter("id > 2"))]
