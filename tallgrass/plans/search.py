@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import code as C
 from ..operators import retrieve as R
 from .base import query, table
 
@@ -122,3 +123,39 @@ def text_chunks(spark, sf_dir):
     """Paragraphs of documents as chunks."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\n+")).alias("part")).filter("part <> ''")
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("part")).cast("long").alias("longest"))
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in C.STOP)
+_LETTERS = "regexp_replace(text, '[^A-Za-z]+', '_', 'g')"
+
+
+def sources(spark, sf_dir):
+    """Turns as source files: a module with a class, a method with a function in it, and a coroutine; every seventh has an error."""
+    c, k = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    name = F.concat(F.lit("src/c"), k, F.lit("/t"), F.col("turn"), F.lit(".py"))
+    lines = ['"""Turn of {role}."""', "import os", "", "class Conv{k}(dict):", '    """Holds {k}."""', "    def say(self, x, *rest, flag=1, **more):", "        def inner():", "            return 1", "        return x", "", "async def go{turn}(a, /, b):", '    return "{text}"']
+    text = F.lit("\n".join(lines) + "\n")
+    for slot, value in {"{role}": F.col("role"), "{k}": k.cast("string"), "{turn}": F.col("turn").cast("string"), "{text}": F.regexp_replace("text", "[^A-Za-z]+", "_")}.items():
+        text = F.replace(text, F.lit(slot), value)
+    return c.filter("text IS NOT NULL").select(name.alias("path"), F.concat(text, F.when(k % 7 == 0, "def (").otherwise("")).alias("text"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id AS k, turn, role, {_LETTERS} AS t, 'src/c' || conv_id || '/t' || turn || '.py' AS path FROM conversations WHERE text IS NOT NULL AND conv_id % 7 <> 0),
+go AS (SELECT *, 'async def go' || turn || '(a, /, b):' || chr(10) || '    return "' || t || '"' AS body FROM c),
+x AS (SELECT path, 'module' AS kind, 1 AS a, 12 AS b, 't' || turn AS name, 0 AS words, length(path) FROM c UNION ALL SELECT path, 'class', 4, 9, 'Conv' || k, 0, 0 FROM c UNION ALL SELECT path, 'method', 6, 9, 'Conv' || k || '.say', 0, 0 FROM c
+  UNION ALL SELECT path, 'method', 7, 8, 'Conv' || k || '.inner', 0, 0 FROM c UNION ALL SELECT path, 'function', 11, 12, 'go' || turn, length(path || chr(10) || 'go' || turn || chr(10) || 'async def go' || turn || '(a, b)' || chr(10) || body), 0 FROM go)
+SELECT path || ':' || kind || ':' || CASE WHEN kind = 'module' THEN '1' ELSE name || ':' || a END AS id, kind, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, name, CAST(CASE WHEN kind = 'function' THEN words END AS INT) AS size FROM x""")
+def code_chunks(spark, sf_dir):
+    """Modules, classes and functions of source files, with their lines."""
+    return C.file_chunks(sources(spark, sf_dir)).select("id", "kind", "start_line", "end_line", "name", F.when(F.col("kind") == "function", F.length("text")).alias("size"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(replace(text, 'on ', 'on_')), '[a-z_][a-z0-9_]*'), lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL})) AS ws FROM documents),
+t AS (SELECT doc_id, flatten(list_transform(ws, lambda x: CASE WHEN contains(x, '_') THEN list_prepend(x, list_filter(string_split(x, '_'), lambda p: length(p) > 1 AND p NOT IN ({STOP_SQL}))) ELSE [x] END)) AS ts FROM w)
+SELECT doc_id, CAST(len(ts) AS INT) AS terms, CAST(len(list_distinct(ts)) AS INT) AS different, sha256(array_to_string(ts, ' ')) AS digest FROM t""")
+def identifier_terms(spark, sf_dir):
+    """Words of identifiers and their parts, in order."""
+    ts = C.identifiers(F.replace("text", F.lit("on "), F.lit("on_")))
+    return table(spark, sf_dir, "documents").select("doc_id", ts.alias("ts")).select("doc_id", F.size("ts").alias("terms"), F.size(F.array_distinct("ts")).alias("different"), F.sha2(F.array_join("ts", " "), 256).alias("digest"))
