@@ -243,7 +243,11 @@ def coder(path: str, pattern: str) -> tuple[MatrixBPE, SegmentEncoder]:
 
 
 def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Adds ids array<int> to documents (doc_id, text); null and empty texts have none."""
+    """Adds ids array<int> to documents (doc_id, text).
+
+    Null and empty texts have none; repeated rows and null ids stay; an empty
+    table gives none; other columns go.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts = coder(ranks, pattern)[1].batch(batch.column("text"))

@@ -58,7 +58,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int
     """The pieces of each document: doc_id, piece, start, length, ids_crc32.
 
     Ids by the tokenizers library, then end_id.  Longer documents than size are
-    cut so that all pieces but the first have size tokens.
+    cut so that all pieces but the first have size tokens.  Null and empty texts
+    are the end id alone; repeated rows and null ids stay; an empty table gives
+    none; other columns are ignored.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -217,7 +217,11 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Dat
 
 
 def span_digest(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
-    """doc_id, n_<kind> of the base rules, base_sha256 and all spans as text, for each document."""
+    """doc_id, n_<kind> of the base rules, base_sha256 and all spans as text, for each row.
+
+    Null texts count as empty and have no spans; repeated rows and null ids
+    stay; an empty table gives none; other columns are ignored.
+    """
     base = [r.kind for r in BASE]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -236,7 +240,11 @@ def span_digest(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Data
 
 
 def mask_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span of every kind in text by a mark (overlapping spans by one); all columns and rows stay, and n_chars, if there, is counted anew."""
+    """Replaces every span of every kind in text by a mark (overlapping spans by one); all columns and rows stay, and n_chars, if there, is counted anew.
+
+    Null and empty texts stay as they are, and so do repeated rows; an empty
+    table gives none.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")

@@ -320,7 +320,11 @@ def _sums(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """All columns of documents and their score, 0 to 1; null and empty texts are scored as texts without a match."""
+    """All columns of documents and their score, 0 to 1.
+
+    Null and empty texts are scored as texts without a match; repeated rows
+    stay; an empty table gives none; a column of that name must not be there.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = _of_worker(model)
