@@ -4,7 +4,7 @@ Unit vectors are turned onto the principal axes of all vectors, so that leading
 coordinates hold most of a product.  Tiles are compared a few coordinates at a
 time; what the rest can add is bounded by the product of the suffix norms, and
 a pair is given up when even that bound stays under the threshold.  The first
-coordinate also deals vectors into cells of which only neighbours can link.
+coordinates also deal vectors into cells of which only neighbours can link.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from .common import components, forest, runs, stash, tiled
 CUTS = (8, 16, 32)
 #: Vectors of a tile, and of a block of it that is compared at a time.
 TILE, BLOCK = 4096, 1024
+#: Coordinates that deal vectors into cells.
+AXES = 2
+#: Cells of all matrices of products that are turned into axes; vectors of lengths beyond keep the axes they have.
+CELLS = 1 << 24
 #: Products this near to the threshold are taken again from the vectors as given.
 NEAR = 1e-9
 
@@ -47,7 +51,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     """For each vector length the eigenvectors of the summed products of coordinates over all rows, largest first.
 
-    Each task sums its own rows; what reaches the driver is one square matrix for each length.
+    Each task sums its own rows; what reaches the driver is one square matrix
+    for each length, of CELLS cells in all; longer ones have no axes here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +65,13 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
         for dim, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, dim, np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(list(s), pa.list_(pa.float64()))], names=["dim", "i", "row"])
 
-    rows = classes.select("dim", "embedding").mapInArrow(run, "dim int, i int, row array<double>")
+    wanted, room = [], CELLS
+    for (dim,) in sorted(tuple(r) for r in classes.select("dim").distinct().collect()):
+        if dim * dim <= room:
+            wanted.append(dim)
+            room -= dim * dim
+    few = classes.select("dim", "embedding").filter(F.col("dim").isin(wanted)) if wanted else classes.select("dim", "embedding").limit(0)
+    rows = few.mapInArrow(run, "dim int, i int, row array<double>")
     cells = rows.select("dim", "i", F.posexplode("row").alias("j", "s")).groupBy("dim", "i", "j").agg(F.sum("s").alias("s"))
     found = cells.toPandas()
     axes = {}
@@ -71,6 +82,12 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
+def turned(vectors: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Vectors at length one, on the principal axes of their length if it has some."""
+    x, own = _unit(vectors), axes.get(vectors.shape[1])
+    return x if own is None else x @ own
+
+
 def tails(x: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
     """Norms of what each row has behind each cut."""
     return [np.sqrt((x[:, c:] ** 2).sum(axis=1)) for c in cuts]
@@ -106,7 +123,7 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, upper: bool = False)
             yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
-KEYS = ["label", "dim", "cell", "lo", "hi"]
+KEYS = ["label", "dim", "c0", "c1", "lo", "hi"]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -123,11 +140,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _sides(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-    """Which rows of a pair of tiles meet: a cell's own with its own and with those of the cell below; True: the same rows on both sides."""
+    """Which rows of a pair of tiles meet; True: the same rows on both sides.
+
+    A row's side says by its bits along which axes it comes from the cell above;
+    two rows that both do along one axis meet in another cell.
+    """
     side, tile = table["side"].to_numpy(), table["tile"].to_numpy()
     lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-    own = [np.flatnonzero((side == s) & (tile == t)) for s in (0, 1) for t in (lo, hi)]
-    pairs = [(own[0], own[0], True), (own[0], own[2], False)] if lo == hi else [(own[0], own[1], False), (own[0], own[3], False), (own[1], own[2], False)]
+    own = {(s, t): np.flatnonzero((side == s) & (tile == t)) for s in range(1 << AXES) for t in {lo, hi}}
+    both = [(a, b) for a in range(1 << AXES) for b in range(1 << AXES) if not a & b and (lo != hi or a <= b)]
+    pairs = [(own[a, lo], own[b, hi], lo == hi and a == b) for a, b in both]
     return [p for p in pairs if len(p[0]) and len(p[1])]
 
 
@@ -158,7 +180,7 @@ def _found(dealt: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> D
 
     def group(table: pa.Table) -> pa.RecordBatch | None:
         given = _matrix(table["embedding"].combine_chunks())
-        data = _unit(given) @ axes[given.shape[1]]
+        data = turned(given, axes)
         node, copies = table["row"].to_numpy(), table["copies"].to_numpy()
         links, a, b = np.zeros(len(node), np.int64), [node[:0]], [node[:0]]
         for left, right, upper in _sides(table):
@@ -216,15 +238,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                turned = _unit(_matrix(part.column("embedding"))) @ axes[int(dim)]
+                data = turned(_matrix(part.column("embedding")), axes)
                 cut = min(CUTS[0], int(dim))
-                lead = pa.array([r.tobytes() for r in np.column_stack((turned[:, :cut], tails(turned, [cut])[0]))])
-                cell = np.floor(turned[:, 0] / width).astype(np.int32)
-                for side in (0, 1):  # a cell meets itself and the next one
-                    yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), pa.array(cell - side), pa.array(np.full(len(part), side, np.int32)), part.column("row"), lead], names=["label", "dim", "cell", "side", "row", "lead"])
-
-    entries = classes.select("label", "dim", "row", "embedding").mapInArrow(turn, "label long, dim int, cell int, side int, row long, lead binary")
-    dealt = tiled(entries, ["label", "dim", "cell"], F.col("row"), TILE, F.min("side") == 0)
+                lead = pa.array([r.tobytes() for r in np.column_stack((data[:, :cut], tails(data, [cut])[0]))])
+                cells = np.zeros((len(part), AXES), np.int32)
+                cells[:, : min(AXES, int(dim))] = np.floor(data[:, :AXES] / width)
+                for side in range(1 << AXES):  # a cell meets itself and, along each axis, the next one
+                    at = [pa.array(cells[:, k] - (side >> k & 1)) for k in range(AXES)]
+                    yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), *at, pa.array(np.full(len(part), side, np.int32)), part.column("row"), lead], names=["label", "dim", "c0", "c1", "side", "row", "lead"])
+
+    entries = classes.select("label", "dim", "row", "embedding").mapInArrow(turn, "label long, dim int, c0 int, c1 int, side int, row long, lead binary")
+    dealt = tiled(entries, ["label", "dim", "c0", "c1"], F.col("row"), TILE, F.bit_and("side") == 0)
     near = stash(_candidates(dealt, threshold), "candidates")
     # Whole vectors go only to the pairs of tiles in which they may link.
     whole = near.join(classes.select("row", "copies", "embedding"), "row")
