@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import lists as N
 from ..sources import search as Q
 from ..sources import spool as P
 from ..sources.scratch import shared_path
@@ -41,3 +42,23 @@ def stream_event_spool(spark, sf_dir):
     e.select(F.col("event_type").alias("kind"), F.concat("user_id", F.lit("@x.com")).alias("email"), F.col("ts").cast("string").alias("occurred_at"), F.lit("").alias("body"), F.lit(1).alias("other")).write.json(folder)
     rows = S.run_to_table(P.read_spool(spark, folder, stream=True), shared_path(spark, "spooled"), "append")
     return rows.filter("problem IS NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("email").alias("addresses"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Firm "' || c_custkey || '", Ltd; x' ELSE c_name END AS company, CASE WHEN c_custkey % 4 <> 3 THEN '+1 555 ' || c_custkey END AS phone, CASE WHEN c_custkey // 100 % 2 = 0 THEN c_mktsegment END AS segment FROM customer""")
+def lists_sniffed(spark, sf_dir):
+    """Lists of a hundred customers, with commas, tabs or semicolons, headers of several names and lines before them, read by what each file shows."""
+    k = F.col("c_custkey")
+    batch = F.floor(k / 100)
+    sep = F.when(batch % 3 == 0, ",").when(batch % 3 == 1, "\t").otherwise(";")
+    company = F.when(k % 5 == 0, F.concat(F.lit('"Firm ""'), k, F.lit('"", Ltd; x"'))).otherwise(F.col("c_name"))
+    phone, even = F.when(k % 4 != 3, F.concat(F.lit("+1 555 "), k)).otherwise(" "), batch % 2 == 0
+    parted = lambda *cs: F.concat(*[x for c in cs for x in (sep, c)][1:])
+    line = F.when(even, parted(company, k.cast("string"), phone, F.col("c_mktsegment"))).otherwise(parted(k.cast("string"), phone, company))
+    head = F.when(even, parted(*map(F.lit, ("Company", "Customer Key", "Primary Phone", "Segment")))).otherwise(parted(*map(F.lit, ("customer key", "PHONE", " company "))))
+    rows = table(spark, sf_dir, "customer").select(batch.alias("batch"), k.alias("k"), line.alias("line"), F.when(even, head).otherwise(F.concat(F.lit("Our customers\n\n"), head)).alias("head"))
+    files = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("ls"), F.first("head").alias("head"))  # a hundred lines
+    folder = shared_path(spark, "lists")
+    P.write_letters(files.select(F.concat(F.lit("list"), "batch").alias("name"), F.concat("head", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("content")), folder, "csv")
+    f = lambda name: F.col("fields")[name].alias(name)
+    return N.read_lists(spark, folder).select(F.col("fields")["customer_key"].cast("long").alias("c_custkey"), f("company"), f("phone"), f("segment"))
