@@ -13,13 +13,16 @@ their own.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
+from ..sources.scratch import kept
 
 #: Words that say nothing about which company is meant.
 LEGAL_TOKENS = ["ltd", "limited", "llp", "plc", "the", "and", "co", "company", "uk", "group", "holdings", "services"]
@@ -45,13 +48,29 @@ def characters(key: Column) -> Column:
     return F.transform(F.array_sort(found), lambda x: x["at"] * 4096 - x["k"])
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(jaccard: pd.Series, most: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """The larger of jaccard and the matching-blocks ratio, which is only worked out where it can be larger."""
-    out = []
-    for j, bound, x, y in zip(jaccard, most, a, b):
-        out.append(round(j if bound <= j else max(j, difflib.SequenceMatcher(None, x.replace(" ", ""), y.replace(" ", "")).ratio()), 3))
-    return pd.Series(out, dtype=float)
+def likeness(jaccard: float, a: str, b: str, least: float) -> float:
+    """The larger of jaccard and the matching-blocks ratio of two keys; the ratio only where their lengths and characters let it count."""
+    x, y, floor = a.replace(" ", ""), b.replace(" ", ""), max(jaccard, least)
+    if 2 * min(len(x), len(y)) >= floor * (len(x) + len(y)):
+        m = difflib.SequenceMatcher(None, x, y)
+        if m.quick_ratio() >= floor:  # what their characters in common allow
+            jaccard = max(jaccard, m.ratio())
+    return round(jaccard, 3)
+
+
+def _verified(pairs: DataFrame, jaccard: Column, threshold: float, least: float) -> DataFrame:
+    """Pairs with their similarity, those of the threshold or more; each is worked out once, where a function of columns would be for the filter, too."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([likeness(j, a, b, least) for j, a, b in zip(*(batch.column(c).to_pylist() for c in ("_jaccard", "a", "b")))], np.float64)
+            keep = pa.array(np.flatnonzero(found >= threshold))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in names), pa.array(found).take(keep)], names=[*names, "similarity"])
+
+    # Pairs are small and dear: by their bytes alone they would be gathered in a few tasks.
+    dealt = pairs.withColumn("_jaccard", jaccard).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return dealt.mapInArrow(run, StructType([*pairs.schema.fields, StructField("similarity", DoubleType())]))
 
 
 def _ceil(c: Column) -> Column:
@@ -104,7 +123,7 @@ def similar_keys(left: DataFrame, right: DataFrame, threshold: float, block: lis
     """
     block, least = list(block), threshold - ROUNDING
     there = F.col("key") != ""
-    left, right = left.filter(there), right.filter(there)
+    left, right = kept(left.filter(there), "names"), kept(right.filter(there), "names")
     pairs = _by_words(left, right, block, least)
     if ratio:
         pairs = pairs.unionByName(_by_characters(left, right, block, least)).distinct()
@@ -113,11 +132,7 @@ def similar_keys(left: DataFrame, right: DataFrame, threshold: float, block: lis
     jaccard = common / (F.size(a) + F.size(b) - common)
     if not ratio:
         return pairs.withColumn("similarity", F.bround(jaccard, 3)).filter(F.col("similarity") >= threshold)
-    shared = F.size(F.array_intersect(characters(F.col("a")), characters(F.col("b"))))
-    letters = lambda c: F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))
-    most = 2 * shared / (letters("a") + letters("b"))
-    known = pairs.withColumns({"_jaccard": jaccard, "_most": most}).filter(F.greatest("_jaccard", "_most") >= least)
-    return known.withColumn("similarity", _similarity("_jaccard", "_most", "a", "b")).filter(F.col("similarity") >= threshold).drop("_jaccard", "_most")
+    return _verified(pairs, jaccard, threshold, least)
 
 
 def place_keys(city: Column, postal: Column) -> Column:
@@ -159,7 +174,7 @@ def registry_lookup(listings: DataFrame, companies: DataFrame, min_similarity: f
     a = listings.select("id", name_key(F.col("name")).alias("key"), F.explode(place_keys(F.col("city"), F.col("postal"))).alias("place"))
     b = known.select("number", F.col("name").alias("legal_name"), name_key(F.col("name")).alias("key"), F.lower("address").alias("whole"))
     places = substrings_held(a.select(F.col("place").alias("part")).distinct(), b.select("whole").filter("whole <> ''").distinct())
-    b = b.join(places.withColumnRenamed("part", "place"), "whole").drop("whole")
+    b = kept(b.join(places.withColumnRenamed("part", "place"), "whole").drop("whole"), "companies")
     pairs = similar_keys(a.select("place", "key").distinct(), b.select("place", "key").distinct(), min_similarity, ["place"])
     # Of the companies of one key and place the smallest number is as good as any.
     best = b.groupBy("place", F.col("key").alias("b")).agg(F.min(F.struct("number", "legal_name")).alias("c"), F.count(F.lit(1)).alias("n"))

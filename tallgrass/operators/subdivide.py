@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_path
+from ..sources.scratch import kept
 
 KEY = ["text", "depth", "ix", "iy"]
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cell(v: Column, low: float, high: float, n: Column) -> Column:
     """The cell of a value among n equal ones; those outside lie at the rim."""
     return F.greatest(F.lit(0), F.least(n - 1, F.floor((v - low) / (high - low) * n))).cast("long")
@@ -47,22 +41,22 @@ def subdivided(planned: DataFrame, places: DataFrame, box: tuple[float, float, f
         for depth in range(deepest + 1):
             found = hits(resumed.filter(F.col("depth") == depth).select(*KEY), depth).select("id")
             seen = found if seen is None else seen.unionByName(found)
-        seen = _kept(seen.distinct(), "seen")
+        seen = kept(seen.distinct(), "seen")
     frontier = planned.select("text", F.lit(0).alias("depth"), F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("place").cast("long").alias("place"))
     for depth in range(deepest + 1):
         if resumed is not None:
             frontier = frontier.join(resumed.select(*KEY), KEY, "left_anti")
-        frontier = _kept(frontier, "frontier")
+        frontier = kept(frontier, "frontier")
         if frontier.isEmpty():
             break
-        found = _kept(hits(frontier, depth).select("id", "place"), "found")
+        found = kept(hits(frontier, depth).select("id", "place"), "found")
         fresh = found if seen is None else found.join(seen, "id", "left_anti")
-        fresh = _kept(fresh.groupBy("id").agg(F.min("place").alias("place")), "fresh")
+        fresh = kept(fresh.groupBy("id").agg(F.min("place").alias("place")), "fresh")
         results, new = (df.groupBy("place").agg(F.count(F.lit(1)).alias(name)) for df, name in ((found, "results"), (fresh, "new")))
         round_ = frontier.join(results, "place", "left").join(new, "place", "left").fillna(0, ["results", "new"])
-        round_ = _kept(round_.withColumn("split", (F.col("results") >= full) & (F.col("new") >= max(0, least_new)) & F.lit(depth < deepest)).select(*KEY, "place", "results", "new", "split"), "round")
+        round_ = kept(round_.withColumn("split", (F.col("results") >= full) & (F.col("new") >= max(0, least_new)) & F.lit(depth < deepest)).select(*KEY, "place", "results", "new", "split"), "round")
         done.append(round_)
-        seen = fresh.select("id") if seen is None else _kept(seen.unionByName(fresh.select("id")), "seen")
+        seen = fresh.select("id") if seen is None else kept(seen.unionByName(fresh.select("id")), "seen")
         quarter = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(q % 2).alias("dx"), F.lit(q // 2).alias("dy")) for q in range(4)]))
         parts = round_.filter("split").withColumn("part", quarter)
         frontier = parts.select("text", (F.col("depth") + 1).alias("depth"), (2 * F.col("ix") + F.col("part.dx")).alias("ix"), (2 * F.col("iy") + F.col("part.dy")).alias("iy"), (4 * F.col("place") + F.col("part.q")).alias("place"))
