@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .cards import ascii_fold
+from .text import let
 
 #: Particles that belong to a surname, and words that show a name to be a company's.
 PARTICLES = ["de", "del", "della", "der", "van", "von", "da", "di", "du", "la", "le", "el", "bin", "ibn", "al", "st", "mac", "mc", "o"]
@@ -112,10 +113,12 @@ def message_footer(name: Column, email: Column, postal: Column, privacy: Column,
 
 def decode_hidden_email(code: Column) -> Column:
     """An address hidden as hex, each byte xored with the first one; null where none comes out. ASCII only."""
-    byte = lambda i: F.conv(F.substring(code, 2 * i + F.lit(1), F.lit(2)), 16, 10).cast("int")
-    ok = code.rlike("^([0-9A-Fa-f]{2}){2,}$")
-    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(code) / 2 - 1, F.lit(1)).cast("int")), lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(0))))), "")
-    return F.when(ok & plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), plain)
+    # let: the code may be a long expression, and each of its bytes is looked at.
+    byte = lambda c, i: F.conv(F.substring(c, 2 * i + F.lit(1), F.lit(2)), 16, 10).cast("int")
+    places = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c) / 2 - 1, F.lit(1)).cast("int"))
+    plain = lambda c: let(byte(c, F.lit(0)), lambda key: F.array_join(F.transform(places(c), lambda i: F.char(byte(c, i).bitwiseXOR(key))), ""))
+    address = lambda p: F.when(p.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), p)
+    return let(code, lambda c: F.when(c.rlike("^([0-9A-Fa-f]{2}){2,}$"), let(plain(c), address)))
 
 
 def classify_phone(phone: Column, context: Column, main: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 from .base import businesses, query, table, with_businesses
 
 KEY = b"message-id"
@@ -130,8 +131,10 @@ def hidden_email_decode(spark, sf_dir):
     k = F.col("c_custkey")
     email = F.concat(F.lit("who"), k.cast("string"), F.lit("@shop.example.com"))
     key = (k % 200 + 7).cast("int")
-    code = F.array_join(F.transform(F.sequence(F.lit(1), F.length(email)), lambda i: F.lpad(F.hex(F.ascii(F.substring(email, i, F.lit(1))).bitwiseXOR(key)), 2, "0")), "")
-    code = F.concat(F.lpad(F.hex(key), 2, "0"), F.when(k % 6 == 0, F.replace(code, F.right(code, F.lit(2)), F.lit("zz"))).otherwise(code))
+    xored = lambda e, i: F.lpad(F.hex(F.ascii(F.substring(e, i, F.lit(1))).bitwiseXOR(key)), 2, "0")
+    body = T.let(email, lambda e: F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: xored(e, i)), ""))
+    body = T.let(body, lambda b: F.when(k % 6 == 0, F.replace(b, F.right(b, F.lit(2)), F.lit("zz"))).otherwise(b))
+    code = F.concat(F.lpad(F.hex(key), 2, "0"), body)
     return table(spark, sf_dir, "customer").select("c_custkey", R.decode_hidden_email(code).alias("email"))
 
 
