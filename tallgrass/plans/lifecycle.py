@@ -136,7 +136,7 @@ def stream_state_machine(spark, sf_dir):
     path = shared_path(spark, "events")
     delay, _ = S.staged(asking(spark, sf_dir), path, slices=5)
     A.with_rocks(spark)
-    rows = S.run_to_table(A.advanced(S.read_events(spark, path), delay), shared_path(spark, "states"), "append")
+    rows = S.run_to_table(A.advanced(S.read_events(spark, path, S.slice_files(spark)), delay), shared_path(spark, "states"), "append")
     return rows.groupBy(F.col("target").alias("user_id")).agg(F.max_by("state", "n").alias("state"), F.max("n").alias("n"))
 
 
@@ -150,7 +150,7 @@ def stream_observations_due(spark, sf_dir):
     path = shared_path(spark, "observations")
     delay, _ = S.staged(o, path, slices=4)
     A.with_rocks(spark)
-    rows = S.run_to_table(A.due(S.read_events(spark, path), delay), shared_path(spark, "due"), "append")
+    rows = S.run_to_table(A.due(S.read_events(spark, path, S.slice_files(spark)), delay), shared_path(spark, "due"), "append")
     return rows.withColumn("deadline", F.col("deadline").cast("timestamp_ntz"))
 
 
@@ -160,7 +160,7 @@ def stream_event_dedupe(spark, sf_dir):
     """A stream of events, the first of each key."""
     path = shared_path(spark, "events")
     delay, _ = S.staged(table(spark, sf_dir, "events"), path)
-    found = S.deduplicated(S.read_events(spark, path).filter("event_id IS NOT NULL"), delay).select("dedupe_key", "user_id", "event_type")
+    found = S.deduplicated(S.read_events(spark, path, S.slice_files(spark)).filter("event_id IS NOT NULL"), delay).select("dedupe_key", "user_id", "event_type")
     return S.run_to_table(found, shared_path(spark, "dedupe"), "append")
 
 
@@ -171,6 +171,6 @@ def stream_windowed_counts(spark, sf_dir):
     """Events of each hour, sliding by half an hour, from a stream in update mode."""
     path = shared_path(spark, "events")
     delay, _ = S.staged(table(spark, sf_dir, "events"), path)
-    found = S.windowed(S.read_events(spark, path), delay=delay).filter("event_type IS NOT NULL")
+    found = S.windowed(S.read_events(spark, path, S.slice_files(spark)), delay=delay).filter("event_type IS NOT NULL")
     rows = S.run_to_table(found, shared_path(spark, "windows"), "update", ["start", "event_type"])
     return rows.select(F.unix_timestamp("start").alias("start"), "event_type", "n")

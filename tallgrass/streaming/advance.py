@@ -1,17 +1,21 @@
 """States of targets and deadlines of observations as streams with timers.
 
 Events arrive in any order within a delay.  What isn't older than the watermark
-waits in the store of its target; a timer at the earliest of it folds all that
-has become final, in the order of time.  Only the state stays.  Deadlines wait
-likewise until the watermark reaches them.
+waits in a store; a timer at the earliest of it folds all that has become final,
+in the order of time.  Only the state stays.  Deadlines wait likewise until the
+watermark reaches them.
+
+A store keeps what it holds of a bucket of keys as arrays, read and written once
+a batch: calls to the store grow with batches and buckets, not with rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -22,58 +26,91 @@ ADVANCED = "target long, state string, n long, moved_at timestamp, late long"
 DUE = "business long, observation long, deadline timestamp"
 #: Stands for a null key, which groups of a stream can't have; its rows only move the watermark.
 NOBODY = -(1 << 63)
+#: Parts into which keys are dealt by hash; each is a group of the stream.
+BUCKETS = 512
+KNOWN = np.dtype([("target", "i8"), ("state", "i4"), ("n", "i8"), ("moved_at", "i8"), ("last_ts", "i8"), ("last_id", "i8"), ("late", "i8")])
+WAITING = np.dtype([("target", "i8"), ("ts", "i8"), ("event_id", "i8"), ("ask", "i4")])
+OPEN = np.dtype([("business", "i8"), ("observation", "i8"), ("ts", "i8"), ("deadline", "i8")])
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _array(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), kind)
+    for name, values in zip(kind.names, columns, strict=True):
+        out[name] = values
+    return out
 
 
 class Advance(StatefulProcessor):
-    """Folds a target's events (target, ts, event_id, asked) into its state."""
+    """Folds the events (target, ts, event_id, asked) of a bucket's targets into their states."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "state int, n long, moved_at long, last_ts long, last_id long, late long")
-        self.waiting = handle.getListState("waiting", "ts long, event_id long, ask int")
+        self.store = handle.getValueState("targets", "known binary, waiting binary")
         self.names, table = steps()
         self.table = table.tolist()
 
-    def _fold(self, key, fresh: list[tuple[int, int, int]], mark: int) -> Iterator[pd.DataFrame]:
+    def _fold(self, fresh: np.ndarray, mark: int) -> Iterator[pd.DataFrame]:
         """Takes in what is older than the mark (milliseconds); the rest waits for a timer at the earliest of it."""
-        known = self.state.get() if self.state.exists() else (self.names.index(FIRST), 0, 0, -(1 << 62), 0, 0)
-        state, n, moved, last_ts, last_id, late = known
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        stored = self.store.get() if self.store.exists() else (b"", b"")
+        known, held = np.frombuffer(stored[0], KNOWN), np.frombuffer(stored[1], WAITING)
         # What is older than something that is folded already can't have its turn any more.
-        fine = [r for r in fresh if r[:2] > (last_ts, last_id)]
-        late += len(fresh) - len(fine)
-        rows = sorted(held + fine)
-        final = [r for r in rows if r[0] < mark * 1000]
-        later = rows[len(final) :]
-        if later:
-            if fine or final:
-                self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        elif held:
-            self.waiting.clear()
-        for ts, _, ask in final:
-            now = self.table[ask][state]
-            moved = ts if now != state else moved
-            state = now
-        if final:
-            n, last_ts, last_id = n + len(final), *final[-1][:2]
-        found = state, n, moved, last_ts, last_id, late
-        if found != known:
-            self.state.update(found)
-            yield pd.DataFrame({"target": [key[0]], "state": [self.names[state]], "n": [n], "moved_at": [pd.Timestamp(moved, unit="us")], "late": [late]})
+        at = np.searchsorted(known["target"], fresh["target"])
+        last = known[np.minimum(at, len(known) - 1)] if len(known) else np.zeros(len(fresh), KNOWN)
+        seen = (last["target"] == fresh["target"]) & (len(known) > 0)
+        late = seen & ((fresh["ts"] < last["last_ts"]) | (fresh["ts"] == last["last_ts"]) & (fresh["event_id"] <= last["last_id"]))
+        rows = np.concatenate((held, fresh[~late]))
+        ready = rows["ts"] < mark * 1000
+        final, later = rows[ready], rows[~ready]
+        if len(later):
+            self.handle.registerTimer(int(later["ts"].min()) // 1000 + 1)
+        moved = np.unique(np.concatenate((final["target"], fresh["target"][late])))
+        if len(moved):
+            known = self._added(known, moved)
+            place = np.searchsorted(known["target"], moved)
+            known["late"] += np.bincount(np.searchsorted(known["target"], fresh["target"][late]), minlength=len(known))
+            self._apply(known, final[np.lexsort([final[c] for c in ("ask", "event_id", "ts", "target")])])
+        if len(moved) or len(fresh) > late.sum():
+            self.store.update((known.tobytes(), later.tobytes()))
+        if len(moved):
+            k = known[place]
+            yield pd.DataFrame({"target": k["target"], "state": [self.names[i] for i in k["state"]], "n": k["n"], "moved_at": k["moved_at"].astype("datetime64[us]"), "late": k["late"]})
+
+    def _added(self, known: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """What is known, in the order of targets, with those that are new."""
+        new = np.zeros(len(add := np.setdiff1d(targets, known["target"])), KNOWN)
+        new["target"], new["state"], new["last_ts"] = add, self.names.index(FIRST), -(1 << 62)
+        both = np.concatenate((known, new))
+        return both[np.argsort(both["target"], kind="stable")]
+
+    def _apply(self, known: np.ndarray, final: np.ndarray) -> None:
+        """Folds events, in the order of target and time, into known."""
+        at = np.searchsorted(known["target"], final["target"])
+        state, moved = known["state"].tolist(), known["moved_at"].tolist()
+        for i, ts, ask in zip(at.tolist(), final["ts"].tolist(), final["ask"].tolist()):
+            now = self.table[ask][state[i]]
+            if now != state[i]:
+                state[i], moved[i] = now, ts
+        known["state"], known["moved_at"] = state, moved
+        known["n"] += np.bincount(at, minlength=len(known))
+        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else at
+        known["last_ts"][at[ends]], known["last_id"][at[ends]] = final["ts"][ends], final["event_id"][ends]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] == NOBODY:
-            return
         code = {s: k for k, s in enumerate(self.names)}
-        fresh: list[tuple[int, int, int]] = []
+        fresh = [np.empty(0, WAITING)]
         for part in rows:
-            ts = part["ts"].astype("datetime64[us]").astype("int64").tolist()
-            fresh += [(t, int(e), code.get(a, len(self.names))) for t, e, a in zip(ts, part["event_id"], part["asked"])]
-        yield from self._fold(key, fresh, timerValues.getCurrentWatermarkInMs())
+            part = part[part["target"] != NOBODY]
+            ask = np.fromiter((code.get(a, len(self.names)) for a in part["asked"]), np.int32, len(part))
+            fresh.append(_array(WAITING, part["target"], _micros(part["ts"]), part["event_id"], ask))
+        if any(map(len, fresh)):
+            yield from self._fold(np.concatenate(fresh), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._fold(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._fold(np.empty(0, WAITING), timerValues.getCurrentWatermarkInMs())
 
 
 class Due(StatefulProcessor):
@@ -85,67 +122,73 @@ class Due(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.deadlines = handle.getMapState("deadlines", "observation long", "ts long, deadline long")
-
-    def _ripe(self, key, mark: int) -> Iterator[pd.DataFrame]:
-        held = [(k[0], v[1]) for k, v in self.deadlines.iterator()]
-        ripe = sorted((d, o) for o, d in held if d < mark * 1000)
-        for _, o in ripe:
-            self.deadlines.removeKey((o,))
-        rest = [d for _, d in held if d >= mark * 1000]
-        if rest:
-            self.handle.registerTimer(min(rest) // 1000 + 1)
-        if ripe:
-            yield self._rows(key, ripe)
-
-    def _rows(self, key, found: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({"business": [key[0]] * len(found), "observation": [o for _, o in found], "deadline": [pd.Timestamp(d, unit="us") for d, _ in found]})
+        self.store = handle.getValueState("deadlines", "open binary")
+
+    def _ripe(self, fresh: np.ndarray, mark: int) -> Iterator[pd.DataFrame]:
+        held = np.frombuffer(self.store.get()[0], OPEN) if self.store.exists() else np.empty(0, OPEN)
+        rows, new = np.concatenate((held, fresh)), np.arange(len(held) + len(fresh)) >= len(held)
+        order = np.lexsort((rows["deadline"], new, rows["ts"], rows["observation"], rows["business"]))
+        rows, new = rows[order], new[order]
+        same = (rows["business"][1:] == rows["business"][:-1]) & (rows["observation"][1:] == rows["observation"][:-1])
+        # Rows of an observation that stand before the known one are older than it.
+        group = np.cumsum(np.append(True, ~same)[: len(rows)]) - 1
+        known = np.zeros(int(group[-1]) + 1 if len(rows) else 0, np.int64)
+        known[group[~new]] = np.flatnonzero(~new)
+        stays = np.arange(len(rows)) >= known[group]
+        rows, group = rows[stays], group[stays]
+        replaced = np.append(group[1:] == group[:-1], False)[: len(rows)]
+        after = np.append(rows["ts"][1:], 0)[: len(rows)]
+        past = replaced & (rows["deadline"] <= after)  # it had come before the observation was seen anew
+        ripe = ~replaced & (rows["deadline"] < mark * 1000)
+        rest = rows[~replaced & ~ripe]
+        if len(rest):
+            self.handle.registerTimer(int(rest["deadline"].min()) // 1000 + 1)
+            if len(fresh) or ripe.any():
+                self.store.update((rest.tobytes(),))
+        elif len(held):
+            self.store.clear()
+        for found in (rows[past], rows[ripe]):
+            if len(found):
+                yield pd.DataFrame({"business": found["business"], "observation": found["observation"], "deadline": found["deadline"].astype("datetime64[us]")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] == NOBODY:
-            return
-        seen: list[tuple[int, int, int]] = []
+        fresh = [np.empty(0, OPEN)]
         for part in rows:
-            part = part[part["deadline"].notna() & part["observation"].notna()]
-            times = [part[c].astype("datetime64[us]").astype("int64").tolist() for c in ("ts", "deadline")]
-            seen += list(zip(*times, part["observation"].astype("int64").tolist()))
-        past = []
-        for ts, deadline, o in sorted(seen):
-            known = self.deadlines.getValue((o,)) if self.deadlines.containsKey((o,)) else None
-            if known and known[0] > ts:
-                continue
-            if known and known[1] <= ts:
-                past.append((known[1], o))  # it had come before the observation was seen anew
-            self.deadlines.updateValue((o,), (ts, deadline))
-        if past:
-            yield self._rows(key, past)
-        yield from self._ripe(key, timerValues.getCurrentWatermarkInMs())
+            part = part[(part["business"] != NOBODY) & part["deadline"].notna()]
+            fresh.append(_array(OPEN, part["business"], part["observation"], _micros(part["ts"]), _micros(part["deadline"])))
+        if any(map(len, fresh)):
+            yield from self._ripe(np.concatenate(fresh), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._ripe(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._ripe(np.empty(0, OPEN), timerValues.getCurrentWatermarkInMs())
+
+
+def _dealt(rows: DataFrame, key: str, buckets: int) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("bucket")
 
 
-def advanced(events: DataFrame, delay: str) -> DataFrame:
+def advanced(events: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """A stream of (target, state, n, moved_at, late): a row whenever more of a target's events have become final; n counts all of them.
 
     events: target, ts, event_id, asked (a state, or anything else for none).
     Events are folded in the order of (ts, event_id); one that comes after a
     later one has been folded is left out, and counted in late or, once it is
     behind the watermark, by the query's progress.  Rows without a target or
-    time only move the watermark, if at all.
+    time only move the watermark, if at all; a null event_id comes first of its time.
     """
     # A filter on other columns would go below the watermark, and take its rows' times away.
-    rows = events.select(F.coalesce("target", F.lit(NOBODY)).alias("target"), "ts", "event_id", "asked").withWatermark("ts", delay).filter("ts IS NOT NULL")
-    return rows.groupBy("target").transformWithStateInPandas(Advance(), ADVANCED, "Append", "EventTime")
+    rows = events.select(F.coalesce("target", F.lit(NOBODY)).alias("target"), "ts", F.coalesce("event_id", F.lit(NOBODY)).alias("event_id"), "asked").withWatermark("ts", delay).filter("ts IS NOT NULL")
+    return _dealt(rows, "target", buckets).transformWithStateInPandas(Advance(), ADVANCED, "Append", "EventTime")
 
 
-def due(observations: DataFrame, delay: str) -> DataFrame:
+def due(observations: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """A stream of (business, observation, deadline), each when the watermark passes its deadline.
 
     observations: business, observation, ts, deadline (null: never due).
     """
-    rows = observations.select(F.coalesce("business", F.lit(NOBODY)).alias("business"), "observation", "ts", "deadline").withWatermark("ts", delay).filter("ts IS NOT NULL")
-    return rows.groupBy("business").transformWithStateInPandas(Due(), DUE, "Append", "EventTime")
+    deadline = F.when(F.col("observation").isNotNull(), F.col("deadline")).alias("deadline")
+    rows = observations.select(F.coalesce("business", F.lit(NOBODY)).alias("business"), F.coalesce("observation", F.lit(NOBODY)).alias("observation"), "ts", deadline).withWatermark("ts", delay).filter("ts IS NOT NULL")
+    return _dealt(rows, "business", buckets).transformWithStateInPandas(Due(), DUE, "Append", "EventTime")
 
 
 def with_rocks(spark: SparkSession) -> None:

@@ -20,10 +20,16 @@ def read_events(spark: SparkSession, path: str, files: int = 8, time: str = "ts"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
+def slice_files(spark: SparkSession) -> int:
+    """Files of a slice of a staged table."""
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 def staged(rows: DataFrame, path: str, slices: int = 10, time: str = "ts") -> tuple[str, int]:
     """Writes a table as the files of a stream, slice by slice of its time span, and a closing row; returns the delay in which no row is late, and the span's end in microseconds.
 
-    Within a slice rows stand in any order.  The closing row has a time beyond
+    Within a slice rows stand in any order, in slice_files at most: whoever reads
+    as many at once has no more batches for a longer table.  The closing row has a time beyond
     the end and nulls elsewhere; it lets the watermark pass the end.
     """
     at = F.unix_micros(F.col(time).cast("timestamp"))
@@ -34,7 +40,7 @@ def staged(rows: DataFrame, path: str, slices: int = 10, time: str = "ts") -> tu
     width = (high - low) // slices + 1
     for k in range(slices):
         part = rows.filter((at >= low + k * width) & (at < low + (k + 1) * width))
-        part.write.mode("append").parquet(path)
+        part.coalesce(slice_files(rows.sparkSession)).write.mode("append").parquet(path)
     delay = width // 1_000_000 + 3600
     kind = rows.schema[time].dataType
     closing = F.timestamp_micros(F.lit(high + delay * 1_000_000 + 86_400_000_000))

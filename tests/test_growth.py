@@ -1,8 +1,13 @@
 """What queries need must grow no faster than their tables."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallgrass.functions import rules as R
+from tallgrass.operators import lifecycle as L
+from tallgrass.streaming import advance as A
 
 
 def test_a_hidden_address_is_worked_out_once(spark):
@@ -11,3 +16,73 @@ def test_a_hidden_address_is_worked_out_once(spark):
     got = df.select(R.decode_hidden_email(F.upper("c")).alias("email"))
     assert [r.email for r in got.collect()] == ["a.b@one.com", "a.b@one.co", None, None, None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+class Store:
+    """A value's state, and the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        pass
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.value = None
+
+
+def _batches(r, columns, rows):
+    """Batches of random rows, each with the watermark before it."""
+    for k in range(12):
+        yield 100 * k, pd.DataFrame([rows(r) for _ in range(300)], columns=columns)
+
+
+def test_deadlines_of_a_bucket_are_kept_as_arrays():
+    r, store, due, got, want, open_ = random.Random(4), Store(), A.Due(), [], [], {}
+    due.init(store)
+    for mark, part in _batches(r, ["business", "observation", "ts", "deadline"], lambda r: (r.randrange(40), r.randrange(25), r.randrange(1300), r.choice([None, r.randrange(2500)]))):
+        times = {c: pd.to_datetime(part[c], unit="ms") for c in ("ts", "deadline")}
+        for found in due.handleInputRows((0,), iter([part.assign(**times)]), type("T", (), {"getCurrentWatermarkInMs": lambda self: mark})()):
+            got += [(b, o, int(d.value) // 1_000_000) for b, o, d in found.astype({"deadline": "datetime64[ns]"}).itertuples(index=False)]
+        for ts, d, o, b in sorted((ts, d, o, b) for b, o, ts, d in part.itertuples(index=False) if d == d):
+            known = open_.get((b, o))
+            if known and known[0] > ts:
+                continue
+            if known and known[1] <= ts:
+                want.append((b, o, known[1]))
+            open_[b, o] = ts, d
+        for key in [k for k, v in open_.items() if v[1] < mark]:
+            want.append((*key, open_.pop(key)[1]))
+    assert sorted(got) == sorted(want) and len(want) > 500
+    assert store.calls == 12  # 3,600 rows of 1,000 observations
+
+
+def test_states_of_a_bucket_are_kept_as_arrays():
+    r, store, advance, got, rows = random.Random(5), Store(), A.Advance(), {}, []
+    advance.init(store)
+    asks = [*L.TARGET_MOVES, None, "lost"]
+    for k in range(13):
+        mark = 100 * k if k < 12 else 10_000
+        part = pd.DataFrame([(r.randrange(50), 100 * k + r.randrange(150), 1000 * k + i, r.choice(asks)) for i in range(200)], columns=["target", "ts", "event_id", "asked"])
+        rows += part.itertuples(index=False) if k < 12 else []
+        part["ts"] = pd.to_datetime(part["ts"], unit="ms")
+        timers = type("T", (), {"getCurrentWatermarkInMs": lambda self: mark})()
+        for found in advance.handleInputRows((0,), iter([part]), timers) if k < 12 else advance.handleExpiredTimer((0,), timers, None):
+            got |= {t: (s, n, late) for t, s, n, _, late in found.itertuples(index=False)}
+    want = {}
+    for t, _, _, asked in sorted(rows, key=lambda e: (e[1], e[2])):
+        state, n, _ = want.get(t, (L.FIRST, 0, 0))
+        want[t] = L.step(state, asked), n + 1, 0
+    assert got == want and store.calls <= 13
