@@ -53,11 +53,18 @@ def same_business(name_a: Column, postal_a: Column, name_b: Column, postal_b: Co
 
 
 def phone_matches(listings: DataFrame, registers: DataFrame) -> DataFrame:
-    """(drop_id, keep_id): each register row gets at most one listing of its phone, the earliest that may be the same business."""
-    a = listings.select(F.col("id").alias("keep_id"), F.col("phone"), F.col("name").alias("_n1"), F.col("postal").alias("_p1"), F.col("seq").alias("_s1"))
-    b = registers.select(F.col("id").alias("drop_id"), "phone", F.col("name").alias("_n2"), F.col("postal").alias("_p2"))
-    pairs = a.join(b, "phone").filter(same_business(F.col("_n1"), F.col("_p1"), F.col("_n2"), F.col("_p2")))
-    return pairs.groupBy("drop_id").agg(F.min_by("keep_id", "_s1").alias("keep_id"))
+    """(drop_id, keep_id): each register row gets at most one listing of its phone, the earliest that may be the same business.
+
+    Listings are an index of one row per phone and token or postal district, so
+    a phone that many share makes no pairs of rows.  Of listings of one seq the
+    smallest id counts.
+    """
+    district = F.concat(F.lit("\t"), F.substring_index(F.col("postal"), " ", 1))  # no token has a tab
+    marks = F.explode(F.array_distinct(F.concat(F.coalesce(F.array_compact(T.name_tokens(F.col("name"))), F.array().cast("array<string>")), F.array_compact(F.array(district)))))
+    index = listings.filter("phone IS NOT NULL").select("id", "seq", "phone", marks.alias("mark"))
+    index = index.groupBy("phone", "mark").agg(F.min(F.when(F.col("seq").isNotNull(), F.struct("seq", "id"))).alias("_first"))
+    hits = registers.filter("phone IS NOT NULL").select(F.col("id").alias("drop_id"), "phone", marks.alias("mark")).join(index, ["phone", "mark"])
+    return hits.groupBy("drop_id").agg(F.min("_first").alias("_first")).select("drop_id", F.col("_first.id").alias("keep_id"))
 
 
 def repoint(children: DataFrame, mapping: DataFrame, column: str, unique: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import rules as R
 from tallgrass.operators import lifecycle as L
+from tallgrass.operators import resolve as R2
 from tallgrass.streaming import advance as A
 
 
@@ -86,3 +87,14 @@ def test_states_of_a_bucket_are_kept_as_arrays():
         state, n, _ = want.get(t, (L.FIRST, 0, 0))
         want[t] = L.step(state, asked), n + 1, 0
     assert got == want and store.calls <= 13
+
+
+def test_a_shared_phone_makes_no_pairs(spark):
+    cols = "id string, phone string, name string, postal string, seq long"
+    many = [(f"m{i}", "1", f"Firm {i % 7}", f"AB{i % 3} 1", 1000 - i) for i in range(300)]
+    a = spark.createDataFrame([*many, ("x", "2", "Other", "", 1), ("y", "2", "Thing", None, 2), ("z", None, "Firm", "AB1 1", 3)], cols)
+    b = spark.createDataFrame([(f"r{i}", "1", "Firm ab", "ZZ 9", i) for i in range(40)] + [("s", "2", "None", "", 1), ("t", "2", "None", None, 1), ("u", "1", "None", "AB1", 1), ("v", None, "Firm", "AB1", 1)], cols)
+    got = R2.phone_matches(a, b)
+    assert {(r.drop_id, r.keep_id) for r in got.collect()} == {(f"r{i}", "m299") for i in range(40)} | {("s", "x"), ("u", "m298")}
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "mark" in joins[0]
