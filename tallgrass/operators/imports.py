@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phones as P
 from ..functions import text as T
+from ..sources.scratch import kept
 
 #: What callers write for an outcome, where it isn't its name with lines for blanks and slashes.
 OUTCOMES = {
@@ -40,13 +41,31 @@ def mail_mark(value: Column) -> Column:
     return T.absent(F.lower(F.trim(F.coalesce(value, F.lit("")))))
 
 
+def looked_up(rows: DataFrame, on: dict[str, Column], index: DataFrame) -> DataFrame:
+    """Adds the columns of the index's row of the same keys (on: a key of the index and what it must equal), nulls where there is none.
+
+    The index is written, so that Spark splits keys that many rows have.  Rows
+    with a null among their keys match nothing; a hash of theirs is one more
+    key, so that they don't meet in one task.
+    """
+    bare = F.lit(False)
+    for c in on.values():
+        bare = bare | c.isNull()
+    own = {f"_of_{k}": c for k, c in on.items()} | {"_own": F.when(bare, F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))}
+    same = F.col("_own") == F.col("_none")
+    for k in on:
+        same = same & (F.col(f"_of_{k}") == F.col(k))
+    held = kept(index.withColumn("_none", F.lit(0).cast("long")), "index")
+    return rows.withColumns(own).join(held, same, "left").drop(*own, "_none")
+
+
 def matched(rows: DataFrame, businesses: DataFrame, contacts: DataFrame) -> DataFrame:
     """Adds business and reason to rows (row, business_id, site, phone, email: marks as above): the first key that knows exactly one business.
 
     A key that knows several ends the search as ambiguous_<key>; a business_id
     that nobody has is passed over.  businesses: id, domain, phone; contacts:
     business, value.  Each key's index has one row per value, whatever the
-    number of businesses that share it.
+    number of businesses that share it.  The result is a written table.
     """
     index = lambda df, key, id_, name: (
         df.filter(key.isNotNull()).groupBy(key.alias(f"_{name}")).agg(F.countDistinct(id_).alias(f"_n_{name}"), F.min(id_).alias(f"_id_{name}"))
@@ -59,13 +78,13 @@ def matched(rows: DataFrame, businesses: DataFrame, contacts: DataFrame) -> Data
     }
     out = rows
     for name, (column, found) in known.items():
-        out = out.join(found, F.col(column) == F.col(f"_{name}"), "left")
+        out = looked_up(out, {f"_{name}": F.col(column)}, found)
     business, reason = F.lit(None).cast("string"), F.lit("unmatched")
     for name in reversed(known):
         n = F.col(f"_n_{name}")
         business = F.when(n == 1, F.col(f"_id_{name}")).when(n > 1, F.lit(None).cast("string")).otherwise(business)
         reason = F.when(n == 1, name).when(n > 1, f"ambiguous_{name}").otherwise(reason)
-    return out.select(*rows.columns, business.alias("business"), reason.alias("reason"))
+    return kept(out.select(*rows.columns, business.alias("business"), reason.alias("reason")), "matched")
 
 
 def _unmatched(reason: Column) -> Column:
@@ -96,16 +115,15 @@ def import_outcomes(rows: DataFrame, businesses: DataFrame, contacts: DataFrame,
         "channel": F.coalesce(T.absent(F.col("channel")), F.lit("phone")), "result": outcome_of(F.col("outcome")), "at": T.first_present(F.col("call_date"), F.col("contacted_at")),
         "notes": F.coalesce("notes", F.lit("")),
     })
-    group = ["business", "channel", "result", "notes"]
-    there = outcomes.withColumns({"notes": F.coalesce("notes", F.lit("")), "at": F.col("contacted_at")}).select(*group, "at")
-    old_any = there.groupBy(*group).agg(F.lit(True).alias("_any"))
-    old_at = there.filter("at IS NOT NULL").groupBy(*group, "at").agg(F.lit(True).alias("_same"))
-    hits = m.filter("business IS NOT NULL")
-    first = hits.groupBy(*group).agg(F.min("row").alias("_first"))
-    first_at = hits.filter("at IS NOT NULL").groupBy(*group, "at").agg(F.min("row").alias("_first_at"))
-    told = m.join(first, group, "left").join(first_at, [*group, "at"], "left").join(old_any, group, "left").join(old_at, [*group, "at"], "left")
-    no = F.lit(False)
-    again = F.when(F.col("at").isNull(), F.coalesce("_any", no) | (F.col("row") > F.col("_first"))).otherwise(F.coalesce("_same", no) | (F.col("row") > F.col("_first_at")))
+    group, no, late = ["business", "channel", "result", "notes"], F.lit(False), F.lit(None).cast("long")
+    there = outcomes.select("business", "channel", "result", F.coalesce("notes", F.lit("")).alias("notes"), F.col("contacted_at").alias("at"), late.alias("row"), F.lit(True).alias("_old"))
+    both = m.filter("business IS NOT NULL").select(*group, "at", "row", no.alias("_old")).unionByName(there)
+    # What counts for rows without a time, and what for those of each time.
+    whose = F.explode(F.array_compact(F.array(F.lit(""), F.when(F.col("at").isNotNull(), F.concat(F.lit("at "), "at")))))
+    seen = both.withColumn("time", whose).groupBy(*[F.col(c).alias(f"_{c}") for c in (*group, "time")]).agg(F.min("row").alias("_first"), F.max("_old").alias("_old"))
+    time = F.coalesce(F.concat(F.lit("at "), "at"), F.lit(""))
+    told = looked_up(m, {f"_{c}": F.col(c) for c in group} | {"_time": time}, seen)
+    again = F.coalesce("_old", no) | (F.col("row") > F.col("_first"))
     action = F.coalesce(_unmatched(F.col("reason")), F.when(again, "duplicate").otherwise("imported"))
     told = told.withColumn("action", action)
     new = told.filter("action = 'imported'").select("business", "channel", "result", F.col("at").alias("contacted_at"), "notes", "recorded_by")
@@ -139,9 +157,10 @@ def import_people(rows: DataFrame, businesses: DataFrame, contacts: DataFrame, o
     each = m.withColumn("person", person).withColumn("x", F.explode_outer(both)).select("row", "business", "reason", "name", "title", "person", "source", "source_url", "x.*")
     key = ["business", "field", "value", "source", "_person"]
     each = each.withColumn("_person", F.coalesce("person", F.lit("")))
-    first = each.filter("business IS NOT NULL AND field IS NOT NULL").groupBy(*key).agg(F.min("row").alias("_first"))
-    old = observations.withColumn("_person", F.coalesce("person", F.lit(""))).select(*key).distinct().withColumn("_old", F.lit(True))
-    told = each.join(first, key, "left").join(old, key, "left")
+    new, late = each.filter("business IS NOT NULL AND field IS NOT NULL").select(*key, "row", F.lit(False).alias("_old")), F.lit(None).cast("long")
+    old = observations.withColumn("_person", F.coalesce("person", F.lit(""))).select(*key, late.alias("row"), F.lit(True).alias("_old"))
+    seen = new.unionByName(old).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.min("row").alias("_first"), F.max("_old").alias("_old"))
+    told = looked_up(each, {f"_{c}": F.col(c) for c in key}, seen)
     action = F.coalesce(_unmatched(F.col("reason")), F.when(F.col("field").isNull(), F.when(F.col("name") != "", "person").otherwise("empty")).when(F.col("_old") | (F.col("row") > F.col("_first")), "duplicate").otherwise("imported"))
     told = told.withColumn("action", action)
     new = told.filter("action = 'imported'")

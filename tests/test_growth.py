@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallgrass.functions import rules as R
+from tallgrass.operators import imports as I
 from tallgrass.operators import lifecycle as L
 from tallgrass.operators import resolve as R2
 from tallgrass.streaming import advance as A
@@ -98,3 +99,30 @@ def test_a_shared_phone_makes_no_pairs(spark):
     assert {(r.drop_id, r.keep_id) for r in got.collect()} == {(f"r{i}", "m299") for i in range(40)} | {("s", "x"), ("u", "m298")}
     joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) == 1 and "mark" in joins[0]
+
+
+def test_rows_without_a_match_are_spread(spark):
+    rows = spark.range(4000).select(F.col("id").alias("row"), F.when(F.col("id") % 4 == 0, F.col("id") % 8).alias("k"), F.lit("a").alias("x"))
+    index = spark.createDataFrame([(0, "zero"), (None, "none"), (5, "five")], "key long, v string")
+    found = I.looked_up(rows, {"key": F.col("k")}, index)
+    assert found.columns == ["row", "k", "x", "key", "v"]
+    assert {(r.k, r.v): r["count"] for r in found.groupBy("k", "v").count().collect()} == {(None, None): 3000, (0, "zero"): 500, (4, None): 500}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        tasks = I.looked_up(rows, {"key": F.col("k")}, index).groupBy(F.spark_partition_id()).agg(F.count_if(F.col("k").isNull()).alias("n")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert max(r.n for r in tasks) < 1000  # all 3,000 met in one of four tasks before
+
+
+def test_imports_join_each_row_once_to_what_stands(spark):
+    rows = spark.createDataFrame([(i, "b", "x", "t" if i % 2 else None) for i in range(6)], "row long, business_id string, outcome string, contacted_at string")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("domain", "website", "phone", "email", "channel", "call_date", "notes", "recorded_by")})
+    businesses = spark.createDataFrame([("b", None, None)], "id string, domain string, phone string")
+    old = spark.createDataFrame([("b", "phone", "x", "u", None)], "business string, channel string, result string, contacted_at string, notes string")
+    found = I.import_outcomes(rows, businesses, spark.createDataFrame([], "business string, value string"), old).routes
+    assert {r.row: r.action for r in found.collect()} == {1: "imported", **dict.fromkeys((0, 2, 3, 4, 5), "duplicate")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
