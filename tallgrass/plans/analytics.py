@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import planning as P
 from ..operators import resolve as R
+from ..sources.scratch import kept
 from .base import businesses, query, table, with_businesses
 
 money = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
@@ -244,5 +245,21 @@ def chain_reservation(spark, sf_dir):
 @query("""
 SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS quarter, round(percent_rank() OVER w, 6) AS share FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)""")
 def rank_functions(spark, sf_dir):
-    o, w = table(spark, sf_dir, "orders"), Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
-    return o.select("o_orderkey", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice", "o_orderkey")).cast("long").alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("share"))
+    """Ranks from counts of distinct values, and places from those of ranges, so that no task holds a whole status."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    status, n = Window.partitionBy("o_orderstatus"), F.count(F.lit(1))
+    before = lambda order: F.coalesce(F.sum("n").over(status.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Ranges of status, price and key, written, as they must stay what they are counted by.
+    o = kept(o.repartitionByRange("o_orderstatus", "o_totalprice", "o_orderkey").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = o.groupBy("o_orderstatus", "part").agg(n.alias("n")).select(F.col("o_orderstatus").alias("s"), F.col("part").alias("p"), before("part").alias("offset"), F.sum("n").over(status).alias("total"))
+    ranks = o.groupBy("o_orderstatus", "o_orderpriority").agg(n.alias("n")).select(
+        F.col("o_orderstatus").alias("rs"), F.col("o_orderpriority").alias("rp"), (before("o_orderpriority") + 1).alias("rank"), F.row_number().over(status.orderBy("o_orderpriority")).cast("long").alias("dense")
+    )
+    place = F.row_number().over(Window.partitionBy("o_orderstatus", "part").orderBy("o_totalprice", "o_orderkey"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    o = o.withColumn("place", place).join(kept(parts, "parts"), same("o_orderstatus", "s") & same("part", "p")).join(kept(ranks, "ranks"), same("o_orderstatus", "rs") & same("o_orderpriority", "rp"))
+    # Of n rows in four parts the first n % 4 have one more.
+    at, size, more = F.col("offset") + F.col("place") - 1, F.floor(F.col("total") / 4), F.col("total") % 4
+    quarter = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / size)) + 1
+    share = F.when(F.col("total") > 1, (F.col("rank") - 1) / (F.col("total") - 1)).otherwise(0.0)
+    return o.select("o_orderkey", "rank", "dense", quarter.cast("long").alias("quarter"), F.round(share, 6).alias("share"))

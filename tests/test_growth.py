@@ -3,12 +3,14 @@
 import random
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import rules as R
 from tallgrass.operators import imports as I
 from tallgrass.operators import lifecycle as L
 from tallgrass.operators import resolve as R2
+from tallgrass.plans import catalogue
 from tallgrass.streaming import advance as A
 
 
@@ -126,3 +128,16 @@ def test_imports_join_each_row_once_to_what_stands(spark):
     found = I.import_outcomes(rows, businesses, spark.createDataFrame([], "business string, value string"), old).routes
     assert {r.row: r.action for r in found.collect()} == {1: "imported", **dict.fromkeys((0, 2, 3, 4, 5), "duplicate")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_ranks_need_no_task_with_a_whole_status(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, r.choice(["F", "O", None]), r.choice(["1", "2", "3", None]), r.choice([None, float(r.randrange(40))])) for i in range(999)] + [(1000 + i, "P", "1", 1.0) for i in range(3)] + [(2000, "Q", "1", 1.0)]
+    o = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").repartition(3)
+    o.write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalogue.QUERIES["rank_functions"](spark, str(tmp_path))
+    w, by = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority"), Window.partitionBy("o_orderstatus").orderBy("o_totalprice", "o_orderkey")
+    want = o.select("o_orderkey", F.rank().over(w), F.dense_rank().over(w), F.ntile(4).over(by), F.round(F.percent_rank().over(w), 6))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window " in line]
+    assert len(windows) == 1 and "part#" in windows[0].split("windowspecdefinition(")[1].split("ASC")[0]
