@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 
 EVENTS = "kind string, email string, message_id string, occurred_at string, body string, file string, problem string"
+#: Characters of a list that are read at a time.
+CHARACTERS = 1 << 20
+BLANK = re.compile(r"[ \t\n\r]*")
 FIELDS = ("kind", "email", "message_id", "occurred_at", "body")
 
 
@@ -33,23 +38,87 @@ class Spooled(D.InputPartition):
     name: str
 
 
+def _lines(files: fs.FileSystem, path: str) -> Iterator:
+    """What the lines of a file hold; an error where one isn't JSON."""
+    with files.open_input_stream(path) as f:
+        for line in io.TextIOWrapper(f, encoding="utf-8"):
+            if line.strip():
+                try:
+                    yield json.loads(line)
+                except ValueError:  # other marks than those of lines may stand between objects
+                    yield from [json.loads(part) for part in line.splitlines() if part.strip()]
+
+
+def _listed(files: fs.FileSystem, path: str) -> Iterator:
+    """The elements of a file that is one list; an error where it isn't."""
+    decoder, text, at, last = json.JSONDecoder(), "", 0, False
+    with files.open_input_stream(path) as f:
+        source = io.TextIOWrapper(f, encoding="utf-8", newline="")
+
+        def more() -> None:
+            nonlocal text, at, last
+            part = source.read(max(CHARACTERS, len(text) - at))  # twice as much, so that long elements are read a few times only
+            text, at, last = text[at:] + part, 0, not part
+
+        def mark() -> str:
+            nonlocal at
+            while True:
+                at = BLANK.match(text, at).end()
+                if at < len(text) or last:
+                    return text[at : at + 1]
+                more()
+
+        if mark() != "[":
+            raise ValueError("not a list")
+        at += 1
+        empty = mark() == "]"
+        while not empty:
+            mark()
+            try:
+                item, end = decoder.raw_decode(text, at)
+                end = BLANK.match(text, end).end()
+                if text[end : end + 1] not in (",", "]"):  # a number may go on in what isn't read yet
+                    raise ValueError("no end of an element")
+            except ValueError:
+                if last:
+                    raise
+                more()
+                continue
+            yield item
+            at = end
+            if mark() == "]":
+                break
+            at += 1
+        at += 1
+        if mark():
+            raise ValueError("something behind the list")
+
+
 def events_of(path: str, name: str) -> Iterator[tuple]:
-    """A file's events: a list, one object, or an object on each line.  What isn't an object goes; a file that can't be read gives one row that says why."""
+    """A file's events: a list, one object, or an object on each line.  What isn't an object goes; a file that can't be read gives one row that says why.
+
+    Lists and lines are read twice, first to see whether all of the file can be
+    read, and never held as a whole; other files are.
+    """
     files, root = _where(path)
-    text = ""
-    try:
-        with files.open_input_stream(f"{root}/{name}") as f:
-            text = f.read().decode("utf-8")
-        data = json.loads(text)
-    except (OSError, ValueError) as first:
+    where = f"{root}/{name}"
+    for form in (_listed, _lines):
+        try:
+            if not sum(1 for _ in form(files, where)) and form is _lines:
+                continue
+        except (OSError, ValueError):
+            continue
+        found = form(files, where)
+        break
+    else:
         try:
-            data = [json.loads(line) for line in text.splitlines() if line.strip()]
-        except ValueError:
-            data = None
-        if not data:
-            yield (*[None] * len(FIELDS), name, f"{type(first).__name__}: {first}"[:300])
+            with files.open_input_stream(where) as f:
+                data = json.loads(f.read().decode("utf-8"))
+        except (OSError, ValueError) as e:
+            yield (*[None] * len(FIELDS), name, f"{type(e).__name__}: {e}"[:300])
             return
-    for item in data if isinstance(data, list) else [data]:
+        found = iter(data if isinstance(data, list) else [data])
+    for item in found:
         if isinstance(item, dict):
             yield (*[None if item.get(k) is None else str(item[k]) for k in FIELDS], name, None)
 

@@ -1,6 +1,8 @@
 """What queries need must grow no faster than their tables."""
 
+import json
 import random
+import tracemalloc
 
 import pandas as pd
 from pyspark.sql import Window
@@ -11,6 +13,7 @@ from tallgrass.operators import imports as I
 from tallgrass.operators import lifecycle as L
 from tallgrass.operators import resolve as R2
 from tallgrass.plans import catalogue
+from tallgrass.sources import spool as P
 from tallgrass.streaming import advance as A
 
 
@@ -141,3 +144,41 @@ def test_ranks_need_no_task_with_a_whole_status(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window " in line]
     assert len(windows) == 1 and "part#" in windows[0].split("windowspecdefinition(")[1].split("ASC")[0]
+
+
+def _as_whole(text):
+    """A file's kinds, by the definition."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        try:
+            data = [json.loads(line) for line in text.splitlines() if line.strip()]
+        except ValueError:
+            data = None
+        if not data:
+            return None
+    return [i.get("kind") for i in (data if isinstance(data, list) else [data]) if isinstance(i, dict)]
+
+
+def test_event_files_are_never_held_whole(tmp_path, monkeypatch):
+    one, two = '{"kind": "a"}', '{"kind": "b, ]\\u00e9"}'
+    texts = [
+        "", " \n", one, f"{one}\n{two}\n", f"[{one},{two}]", f" [ {one} ,\n {two} ] \n", "[]", "[ ]", "[]x", f"[{one}", f"[{one},]", f"[{one}]\n[{two}]", f"{one}\n{{broken", "7", "7\n8", f"[12, 1.5e3, null, {one}]", '{\n"kind":\n"p"}',
+        f"{one}\r{two}", f"{one}\x0b{two}", f"{one}{two}", "[1 2]", "[,]", f"[{one} {two}]", "[" + ", ".join([one, "[1, {}]", two] * 50) + "]", "[\"" + "x" * 500 + f"\"{' ' * 200},{one}]", "[", "]", f"[{one}]]",
+    ]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(P, "CHARACTERS", size)
+        for i, text in enumerate(texts):
+            (tmp_path / "f.json").write_bytes(text.encode())
+            got = list(P.events_of(str(tmp_path), "f.json"))
+            want = _as_whole(text)
+            assert ([r[0] for r in got] == want) if want is not None else (len(got) == 1 and got[0][-1]), (i, text)
+    (tmp_path / "bad.json").write_bytes(b"[\xff]")
+    assert list(P.events_of(str(tmp_path), "bad.json"))[0][-1].startswith("UnicodeDecodeError")
+    for start, between, end in (("", "\n", ""), ("[", ",", "]")):
+        (tmp_path / "big.json").write_text(start + between.join([one] * 200_000) + end)
+        tracemalloc.start()
+        assert sum(1 for _ in P.events_of(str(tmp_path), "big.json")) == 200_000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12 << 20  # over 60 MB before
