@@ -242,6 +242,13 @@ class LetterFiles(D.DataSource):
 
 
 def write_letters(rows: DataFrame, path: str, ending: str = "txt") -> None:
-    """Rows (content, perhaps name) as files of a folder, one each; equal contents without a name are one file, null contents none."""
-    rows.sparkSession.dataSource.register(LetterFiles)
+    """Rows (content, perhaps name) as files of a folder, one each; equal contents without a name are one file, null contents none.
+
+    A file takes a few calls however short it is, so equal rows go before, and
+    what is left is dealt to all tasks by hash, however few its bytes.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(LetterFiles)
+    rows = rows.filter("content IS NOT NULL").distinct()
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, *rows.columns)
     rows.write.format("letter_files").option("ending", ending).mode("append").save(path)

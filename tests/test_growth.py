@@ -3,6 +3,7 @@
 import json
 import random
 import tracemalloc
+import uuid
 
 import pandas as pd
 from pyspark.sql import Window
@@ -182,3 +183,22 @@ def test_event_files_are_never_held_whole(tmp_path, monkeypatch):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 12 << 20  # a fraction of what 200,000 dicts take
+
+
+def test_equal_letters_are_written_once_by_all_tasks(spark, tmp_path, monkeypatch):
+    class Counted(P.LetterWriter):
+        def write(self, iterator):
+            batches = list(iterator)
+            made = super().write(iter(batches))
+            (tmp_path / f"task-{uuid.uuid4().hex}").write_text(str(sum(map(len, batches))))
+            return made
+
+    class Seen(P.LetterFiles):
+        def writer(self, schema, overwrite):
+            return Counted(self.options["path"], "txt")
+
+    monkeypatch.setattr(P, "LetterFiles", Seen)
+    P.write_letters(spark.range(0, 3000, 1, 1).select(F.concat(F.lit("letter "), F.col("id") % 60).alias("content")), str(tmp_path / "letters"))
+    tasks = [int(f.read_text()) for f in tmp_path.glob("task-*")]
+    assert len(list((tmp_path / "letters").glob("*.txt"))) == 60
+    assert sum(tasks) == 60 and max(tasks) < 20  # 3,000 rows in one task before
