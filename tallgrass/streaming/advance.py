@@ -6,7 +6,9 @@ in the order of time.  Only the state stays.  Deadlines wait likewise until the
 watermark reaches them.
 
 A store keeps what it holds of a bucket of keys as arrays, read and written once
-a batch: calls to the store grow with batches and buckets, not with rows.
+a batch: calls to the store grow with batches and buckets, not with rows.  Rows
+come to it in packs of a bucket, as each row of a stateful operator costs a Python
+object for each column.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -28,6 +31,8 @@ DUE = "business long, observation long, deadline timestamp"
 NOBODY = -(1 << 63)
 #: Parts into which keys are dealt by hash; each is a group of the stream.
 BUCKETS = 512
+#: Rows that a task gathers before it makes packs of them.
+PACKED = 1 << 17
 KNOWN = np.dtype([("target", "i8"), ("state", "i4"), ("n", "i8"), ("moved_at", "i8"), ("last_ts", "i8"), ("last_id", "i8"), ("late", "i8")])
 WAITING = np.dtype([("target", "i8"), ("ts", "i8"), ("event_id", "i8"), ("ask", "i4")])
 OPEN = np.dtype([("business", "i8"), ("observation", "i8"), ("ts", "i8"), ("deadline", "i8")])
@@ -44,8 +49,12 @@ def _array(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unpacked(part: pd.DataFrame, kind: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(pack, kind) for pack in part["pack"]]
+
+
 class Advance(StatefulProcessor):
-    """Folds the events (target, ts, event_id, asked) of a bucket's targets into their states."""
+    """Folds the events (target, ts, event_id, asked) of a bucket's targets, or packs of them, into their states."""
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -57,11 +66,11 @@ class Advance(StatefulProcessor):
         """Takes in what is older than the mark (milliseconds); the rest waits for a timer at the earliest of it."""
         stored = self.store.get() if self.store.exists() else (b"", b"")
         known, held = np.frombuffer(stored[0], KNOWN), np.frombuffer(stored[1], WAITING)
-        # What is older than something that is folded already can't have its turn any more.
+        # What is older than the mark, or than something that is folded already, can't have its turn any more.
         at = np.searchsorted(known["target"], fresh["target"])
         last = known[np.minimum(at, len(known) - 1)] if len(known) else np.zeros(len(fresh), KNOWN)
         seen = (last["target"] == fresh["target"]) & (len(known) > 0)
-        late = seen & ((fresh["ts"] < last["last_ts"]) | (fresh["ts"] == last["last_ts"]) & (fresh["event_id"] <= last["last_id"]))
+        late = (fresh["ts"] < mark * 1000) | seen & ((fresh["ts"] < last["last_ts"]) | (fresh["ts"] == last["last_ts"]) & (fresh["event_id"] <= last["last_id"]))
         rows = np.concatenate((held, fresh[~late]))
         ready = rows["ts"] < mark * 1000
         final, later = rows[ready], rows[~ready]
@@ -103,6 +112,9 @@ class Advance(StatefulProcessor):
         code = {s: k for k, s in enumerate(self.names)}
         fresh = [np.empty(0, WAITING)]
         for part in rows:
+            if "pack" in part:
+                fresh += _unpacked(part, WAITING)
+                continue
             part = part[part["target"] != NOBODY]
             ask = np.fromiter((code.get(a, len(self.names)) for a in part["asked"]), np.int32, len(part))
             fresh.append(_array(WAITING, part["target"], _micros(part["ts"]), part["event_id"], ask))
@@ -114,7 +126,7 @@ class Advance(StatefulProcessor):
 
 
 class Due(StatefulProcessor):
-    """Says once of each deadline of an observation (business, observation, ts, deadline) that it has come.
+    """Says once of each deadline of an observation (business, observation, ts, deadline; or packs of these) that it has come.
 
     A later row of one observation replaces its deadline, unless that came
     before; a row older than the one known is ignored.
@@ -154,6 +166,9 @@ class Due(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [np.empty(0, OPEN)]
         for part in rows:
+            if "pack" in part:
+                fresh += [x[x["ts"] >= timerValues.getCurrentWatermarkInMs() * 1000] for x in _unpacked(part, OPEN)]
+                continue
             part = part[(part["business"] != NOBODY) & part["deadline"].notna()]
             fresh.append(_array(OPEN, part["business"], part["observation"], _micros(part["ts"]), _micros(part["deadline"])))
         if any(map(len, fresh)):
@@ -163,8 +178,41 @@ class Due(StatefulProcessor):
         yield from self._ripe(np.empty(0, OPEN), timerValues.getCurrentWatermarkInMs())
 
 
-def _dealt(rows: DataFrame, key: str, buckets: int) -> GroupedData:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("bucket")
+def _packed(rows: DataFrame, kind: np.dtype, delay: str, buckets: int) -> GroupedData:
+    """Rows with the columns of a kind (the first: the key; ts in microseconds, not null), as packs of a bucket of keys.
+
+    A pack bears the latest time in it, which moves the watermark as its rows
+    would.  Spark drops whole packs behind it; of others, who unpacks them must
+    leave out the rows behind it.  Rows of nobody, and those with a
+    null in another column, only count for the time.
+    """
+    key, size = kind.names[0], PACKED
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def packs() -> pa.RecordBatch:
+            bucket, keep, found = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(bucket, kind="stable")
+            bucket, keep, found = bucket[order], keep[order], found[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            data = [x[k].tobytes() for x, k in zip(np.split(found, first[1:]), np.split(keep, first[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.maximum.reduceat(found["ts"], first)), pa.array(data, pa.binary())], names=["bucket", "at", "pack"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "keep")), _array(kind, *(batch.column(c).to_numpy(zero_copy_only=False) for c in kind.names))))
+            n += len(batch)
+            if n >= size:
+                yield packs()
+                held, n = [], 0
+        if held:
+            yield packs()
+
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), ((F.col(key) != NOBODY) & F.forall(F.array(*[F.col(c).isNotNull() for c in kind.names]), lambda x: x)).alias("keep"), *[F.coalesce(c, F.lit(0)).alias(c) for c in kind.names])
+    found = dealt.mapInArrow(pack, "bucket int, at long, pack binary")
+    return found.select("bucket", F.timestamp_micros("at").alias("ts"), "pack").withWatermark("ts", delay).groupBy("bucket")
 
 
 def advanced(events: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame:
@@ -172,13 +220,16 @@ def advanced(events: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame
 
     events: target, ts, event_id, asked (a state, or anything else for none).
     Events are folded in the order of (ts, event_id); one that comes after a
-    later one has been folded is left out, and counted in late or, once it is
-    behind the watermark, by the query's progress.  Rows without a target or
-    time only move the watermark, if at all; a null event_id comes first of its time.
+    later one has been folded, or behind the watermark, is left out, and counted
+    in late or, where all of its pack is behind the watermark, with that as one
+    row by the query's progress.  Rows without a
+    target or time only move the watermark, if at all; a null event_id comes
+    first of its time.
     """
-    # A filter on other columns would go below the watermark, and take its rows' times away.
-    rows = events.select(F.coalesce("target", F.lit(NOBODY)).alias("target"), "ts", F.coalesce("event_id", F.lit(NOBODY)).alias("event_id"), "asked").withWatermark("ts", delay).filter("ts IS NOT NULL")
-    return _dealt(rows, "target", buckets).transformWithStateInPandas(Advance(), ADVANCED, "Append", "EventTime")
+    names = steps()[0]
+    ask = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("asked")), F.lit(0)) - 1, F.lit(len(names))).cast("int")
+    rows = events.filter("ts IS NOT NULL").select(F.coalesce("target", F.lit(NOBODY)).alias("target"), F.unix_micros("ts").alias("ts"), F.coalesce("event_id", F.lit(NOBODY)).alias("event_id"), ask.alias("ask"))
+    return _packed(rows, WAITING, delay, buckets).transformWithStateInPandas(Advance(), ADVANCED, "Append", "EventTime")
 
 
 def due(observations: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame:
@@ -186,9 +237,9 @@ def due(observations: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFram
 
     observations: business, observation, ts, deadline (null: never due).
     """
-    deadline = F.when(F.col("observation").isNotNull(), F.col("deadline")).alias("deadline")
-    rows = observations.select(F.coalesce("business", F.lit(NOBODY)).alias("business"), F.coalesce("observation", F.lit(NOBODY)).alias("observation"), "ts", deadline).withWatermark("ts", delay).filter("ts IS NOT NULL")
-    return _dealt(rows, "business", buckets).transformWithStateInPandas(Due(), DUE, "Append", "EventTime")
+    deadline = F.when(F.col("observation").isNotNull(), F.unix_micros("deadline")).alias("deadline")
+    rows = observations.filter("ts IS NOT NULL").select(F.coalesce("business", F.lit(NOBODY)).alias("business"), F.coalesce("observation", F.lit(NOBODY)).alias("observation"), F.unix_micros("ts").alias("ts"), deadline)
+    return _packed(rows, OPEN, delay, buckets).transformWithStateInPandas(Due(), DUE, "Append", "EventTime")
 
 
 def with_rocks(spark: SparkSession) -> None:

@@ -86,6 +86,13 @@ def run_to_table(rows: DataFrame, path: str, mode: str, keys: list[str] | None =
             batch = each(batch, latest(batch.sparkSession, number) if number else None)
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/batch={number:08d}")
 
-    query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    # Each partition of a store costs a load, a worker and a commit in every batch, however little it holds: as many as run at once will do.
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), slice_files(spark))))
+    try:
+        query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return latest(spark)

@@ -5,6 +5,7 @@ import random
 import tracemalloc
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tallgrass.operators import resolve as R2
 from tallgrass.plans import catalogue
 from tallgrass.sources import spool as P
 from tallgrass.streaming import advance as A
+from tallgrass.streaming import events as S
 
 
 def test_a_hidden_address_is_worked_out_once(spark):
@@ -202,3 +204,24 @@ def test_equal_letters_are_written_once_by_all_tasks(spark, tmp_path, monkeypatc
     tasks = [int(f.read_text()) for f in tmp_path.glob("task-*")]
     assert len(list((tmp_path / "letters").glob("*.txt"))) == 60
     assert sum(tasks) == 60 and max(tasks) < 20  # 3,000 rows in one task before
+
+
+def test_rows_reach_a_store_as_packs_in_as_many_tasks_as_run(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 3).select(F.when(F.col("id") % 9 > 0, F.col("id") % 300).otherwise(A.NOBODY).alias("target"), (F.col("id") * 7).alias("ts"), F.col("id").alias("event_id"), F.lit(1).alias("ask"))
+    packs = A._packed(rows, A.WAITING, "1 hour", 8).agg(F.collect_list("pack").alias("packs"), F.max("ts").alias("ts")).collect()
+    assert sum(len(r.packs) for r in packs) <= 3 * 9 and max(r.ts.microsecond for r in packs) == 19_999 * 7
+    found = [t for r in packs for p in r.packs for t in np.frombuffer(p, A.WAITING).tolist()]
+    assert sorted(found) == sorted((i % 300, i * 7, i, 1) for i in range(20_000) if i % 9)
+    events = spark.range(500).select((F.col("id") % 50).alias("target"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("event_id"), F.lit("drafted").alias("asked"))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        delay, _ = S.staged(events, str(tmp_path / "events"), 2)
+        A.with_rocks(spark)
+        out = S.run_to_table(A.advanced(S.read_events(spark, str(tmp_path / "events"), 8), delay), str(tmp_path / "run"), "append")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        assert sorted(tuple(r) for r in out.groupBy("target").agg(F.max("n"), F.max_by("state", "n")).collect()) == [(t, 10, "drafted") for t in range(50)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    stores = [p for p in (tmp_path / "run/checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert len(stores) == 8  # 40 before
