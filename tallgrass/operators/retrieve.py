@@ -96,6 +96,21 @@ def top_k(scores: DataFrame, k: int, order: list[Column] | None = None) -> DataF
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def reachable(plain: DataFrame, leaders: DataFrame, k: int, columns: float = 0.0, slack: float = 1e-5) -> DataFrame:
+    """(query, docs, most, least): the most that a row outside docs can have without its keyword part, and what it needs to be among the k best.
+
+    plain: (query, doc, score), the best of all rows without that part, as many
+    as one likes; leaders: whole scores of some rows; columns: the most of rows
+    without a vector. Fewer than k rows bound nothing. The slack is more than
+    what rounding takes away.
+    """
+    most = plain.groupBy("query").agg(F.min("score").alias("most"), F.collect_set("doc").alias("docs"))
+    known = plain.unionByName(leaders).groupBy("query", "doc").agg(F.max("score").alias("score"))
+    last = top_k(known, k).filter(F.col("place") == k).select("query", (F.col("score") - slack).alias("least"))
+    every = known.select("query").distinct().join(most, "query", "left").join(last, "query", "left")
+    return every.select("query", F.coalesce("docs", F.array().cast("array<long>")).alias("docs"), F.greatest("most", F.lit(columns)).alias("most"), F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+
+
 def sound(vector: Column) -> Column:
     """A vector in double precision; null if it is null or zero, or has null or non-finite parts."""
     v = vector.cast("array<double>")

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import code as C
 from ..operators import retrieve as R
+from ..sources.scratch import kept
 from .base import query, table
 
+#: A query's best rows by keywords, and by vector and columns, whose scores bound the others'.
+LEADERS = 50
+
 BM25_SQL = """
 WITH w AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents), d AS (SELECT * FROM w WHERE length(term) >= 3), tf AS (SELECT id, term, count(*) AS tf FROM d GROUP BY 1, 2), sizes AS (SELECT id, count(*) AS size FROM d GROUP BY 1),
 tot AS (SELECT count(*) AS n_docs, avg(size) AS mean FROM sizes), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), qw AS (SELECT item_id AS query, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark), q AS (SELECT DISTINCT * FROM qw WHERE length(term) >= 3),
@@ -66,21 +70,32 @@ def hybrid_topk(spark, sf_dir):
 
     The vector of a document or item is the one of its number. A document can
     only be among a query's best with its keyword score, or as one of the best
-    by vector and columns, or of those without a vector by columns alone.
+    by vector and columns, or of those without a vector by columns alone. The
+    best of these and of the best by keywords bound what all others must reach,
+    and only rows whose keyword score lets them reach it are joined to vectors.
     """
     k = 5
-    v, s = vectors(spark, sf_dir).withColumn("vector", R.sound(F.col("vector"))), keyword_scores(spark, sf_dir)
+    v, s = vectors(spark, sf_dir).withColumn("vector", R.sound(F.col("vector"))), kept(keyword_scores(spark, sf_dir), "keywords")
     bonus = 0.08 * F.when(F.col("lang") == "en", 1).otherwise(0) + 0.04 * F.when(F.col("n_chars") > 2000, 1).otherwise(0)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), bonus.alias("bonus")).join(v, "id", "left")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).join(v, "id", "left")
-    best = s.groupBy("query").agg(F.max("score").alias("best"))
-    pairs = s.join(best, "query").join(d.select(F.col("id").alias("doc"), "bonus", F.col("vector").alias("b")), "doc").join(q.select(F.col("id").alias("query"), F.col("vector").alias("a")), "query")
-    words = pairs.select("query", "doc", F.round(0.55 * F.col("score") / F.col("best") + 0.45 * F.coalesce(R.cosine(F.col("a"), F.col("b")), F.lit(0.0)) + F.col("bonus"), 6).alias("score"))
-    near = R.nearest(q, d, k, scale=0.45)
+
+    def scored(rows):
+        """(query, doc, score) of rows (query, doc, score, best) with keyword scores."""
+        pairs = rows.join(d.select(F.col("id").alias("doc"), "bonus", F.col("vector").alias("b")), "doc").join(q.select(F.col("id").alias("query"), F.col("vector").alias("a")), "query")
+        return pairs.select("query", "doc", F.round(0.55 * F.col("score") / F.col("best") + 0.45 * F.coalesce(R.cosine(F.col("a"), F.col("b")), F.lit(0.0)) + F.col("bonus"), 6).alias("score"))
+
+    near = kept(R.top_k(R.nearest(q, d, LEADERS, scale=0.45), LEADERS).select("query", "doc", "score"), "near")
     # k rows that columns alone put first: of all documents for a query without a vector, else of those without one.
     first = lambda rows: F.broadcast(rows.orderBy(F.desc("bonus"), "id").limit(k).select(F.col("id").alias("doc"), F.round("bonus", 6).alias("score")))
     asked = q.select(F.col("id").alias("query"), F.col("vector").isNull().alias("none"))
     bare = asked.filter("NOT none").join(first(d.filter("vector IS NULL")), F.lit(True)).unionByName(asked.filter("none").join(first(d), F.lit(True))).drop("none")
+    top = kept(R.top_k(s, LEADERS).select("query", "doc", "score"), "leaders")
+    best = top.groupBy("query").agg(F.max("score").alias("best"))
+    leaders = scored(top.join(best, "query"))
+    bounds = kept(R.reachable(near, leaders, k, 0.12).join(best, "query"), "bounds")
+    reach = 0.55 * F.col("score") / F.col("best") + F.col("most") >= F.col("least")
+    words = scored(s.join(bounds, "query").filter(reach | F.array_contains("docs", F.col("doc"))).select("query", "doc", "score", "best"))
     every = words.unionByName(near).unionByName(bare).groupBy("query", "doc").agg(F.max("score").alias("score"))
     return R.top_k(every, k).select("query", "doc", "score")
 

@@ -14,6 +14,7 @@ from tallgrass.functions import rules as R
 from tallgrass.operators import imports as I
 from tallgrass.operators import lifecycle as L
 from tallgrass.operators import resolve as R2
+from tallgrass.operators import retrieve as RT
 from tallgrass.plans import catalogue
 from tallgrass.sources import spool as P
 from tallgrass.streaming import advance as A
@@ -225,3 +226,11 @@ def test_rows_reach_a_store_as_packs_in_as_many_tasks_as_run(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     stores = [p for p in (tmp_path / "run/checkpoint/state/0").iterdir() if p.name.isdigit()]
     assert len(stores) == 8  # 40 before
+
+
+def test_rows_that_cannot_be_among_the_best_meet_no_vectors(spark):
+    cols = "query long, doc long, score double"
+    plain = spark.createDataFrame([(1, 10, 0.3), (1, 11, 0.2), (2, 10, 0.1)], cols)
+    leaders = spark.createDataFrame([(1, 10, 0.9), (1, 12, 0.8), (1, 13, 0.1), (3, 10, 0.4)], cols)
+    got = {r.query: (sorted(r.docs), r.most, round(r.least, 6)) for r in RT.reachable(plain, leaders, 2, 0.12).collect()}
+    assert got == {1: ([10, 11], 0.2, 0.79999), 2: ([10], 0.12, float("-inf")), 3: ([], 0.12, float("-inf"))}
